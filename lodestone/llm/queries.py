@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import exact_dedup, mixing, ngram_join, pieces
+from lodestone.llm import exact_dedup, mixing, ngram_join, pieces, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -34,6 +38,14 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents")).drop("class_size")
 
 
+OP2_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 20
+"""
+
 OP7_SQL = r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
@@ -74,8 +86,8 @@ SELECT n.doc_id, n.n_shingles, min(r.at) AS component_id FROM n JOIN r USING (do
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_exact_dedup": op7_exact_dedup, "op8_sentencepiece": op8_sentencepiece, "op9_source_mixing": op9_source_mixing, "op10_ngram_jaccard": op10_ngram_jaccard}
+    return {"op2_exact_topk": op2_exact_topk, "op7_exact_dedup": op7_exact_dedup, "op8_sentencepiece": op8_sentencepiece, "op9_source_mixing": op9_source_mixing, "op10_ngram_jaccard": op10_ngram_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7_SQL, "op9_source_mixing": OP9_SQL, "op10_ngram_jaccard": OP10_SQL}
+    return {"op2_exact_topk": OP2_SQL, "op7_exact_dedup": OP7_SQL, "op9_source_mixing": OP9_SQL, "op10_ngram_jaccard": OP10_SQL}
