@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import exact_dedup, mixing, ngram_join, pieces, topk
+from lodestone.llm import exact_dedup, mixing, ngram_join, pieces, quality, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -86,7 +90,7 @@ SELECT n.doc_id, n.n_shingles, min(r.at) AS component_id FROM n JOIN r USING (do
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_exact_topk": op2_exact_topk, "op7_exact_dedup": op7_exact_dedup, "op8_sentencepiece": op8_sentencepiece, "op9_source_mixing": op9_source_mixing, "op10_ngram_jaccard": op10_ngram_jaccard}
+    return {"op2_exact_topk": op2_exact_topk, "op3_quality": op3_quality, "op7_exact_dedup": op7_exact_dedup, "op8_sentencepiece": op8_sentencepiece, "op9_source_mixing": op9_source_mixing, "op10_ngram_jaccard": op10_ngram_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:
