@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import exact_dedup, html_text, mixing, ngram_join, pieces, quality, reply_trees, topk, warc
+from lodestone.llm import exact_dedup, html_text, mixing, ngram_join, pieces, pii, quality, reply_trees, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -123,7 +127,7 @@ SELECT n.doc_id, n.n_shingles, min(r.at) AS component_id FROM n JOIN r USING (do
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_exact_topk": op2_exact_topk, "op3_quality": op3_quality, "op4_html_text": op4_html_text, "op5_warc": op5_warc, "op6_reply_trees": op6_reply_trees, "op7_exact_dedup": op7_exact_dedup, "op8_sentencepiece": op8_sentencepiece, "op9_source_mixing": op9_source_mixing, "op10_ngram_jaccard": op10_ngram_jaccard}
+    return {"op1_pii": op1_pii, "op2_exact_topk": op2_exact_topk, "op3_quality": op3_quality, "op4_html_text": op4_html_text, "op5_warc": op5_warc, "op6_reply_trees": op6_reply_trees, "op7_exact_dedup": op7_exact_dedup, "op8_sentencepiece": op8_sentencepiece, "op9_source_mixing": op9_source_mixing, "op10_ngram_jaccard": op10_ngram_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:
