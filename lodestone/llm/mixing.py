@@ -40,9 +40,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_r
     each = each.withColumn("total", F.sum("source_size").over(every)).withColumn("w_all", F.sum("w").over(every))
     before = tightest.rowsBetween(W.unboundedPreceding, -1)
     each = each.withColumn("cap_before", F.coalesce(F.sum("cap").over(before), F.lit(0))).withColumn("w_before", F.coalesce(F.sum("w").over(before), F.lit(0)))
-    # words per unit of weight if exactly the tighter sources are capped; the first level that a source's own cap admits holds
+    # words per unit of weight if exactly the tighter sources are capped; the first level (from the tightest on) that its source's own cap admits holds
+    each = each.withColumn("place", F.row_number().over(tightest))
     each = each.withColumn("level", (F.col("total") - F.col("cap_before")).cast("double") / (F.col("w_all") - F.col("w_before")))
-    each = each.withColumn("level", F.min(F.when(F.col("level") <= F.col("cap") / F.col("w"), F.col("level"))).over(every))
+    fits = F.when(F.col("level") <= F.col("cap") / F.col("w"), F.struct("place", "level"))
+    each = each.withColumn("level", F.min(fits).over(every)["level"])
     each = each.withColumn("target", F.least(F.col("cap").cast("double"), F.col("w") * F.col("level")))
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_repeats)))).otherwise(F.lit(0.0))
     return each.select("source", "source_size", "target", rate.alias("rate"))

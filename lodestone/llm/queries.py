@@ -101,8 +101,8 @@ w AS (SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::
 c AS (SELECT *, coalesce(sum(cap) OVER o, 0)::BIGINT AS cap_before, coalesce(sum(w) OVER o, 0)::BIGINT AS w_before,
              (sum(source_size) OVER ())::BIGINT AS total, (sum(w) OVER ())::BIGINT AS w_all FROM w
       WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-l AS (SELECT *, (total - cap_before)::DOUBLE / (w_all - w_before) AS lv FROM c),
-m AS (SELECT *, min(CASE WHEN lv <= cap / w THEN lv END) OVER () AS level FROM l),
+l AS (SELECT *, (total - cap_before)::DOUBLE / (w_all - w_before) AS lv, row_number() OVER (ORDER BY cap / w, source NULLS LAST) AS place FROM c),
+m AS (SELECT *, arg_min(lv, place) FILTER (WHERE lv <= cap / w) OVER () AS level FROM l),
 t AS (SELECT source, source_size, least(cap::DOUBLE, w * level) AS target FROM m),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN least(target / source_size, 3.0::DOUBLE) ELSE 0.0::DOUBLE END AS rate,
              ('0x' || substr(md5('mix-1:' || coalesce(source, '')), 1, 8))::BIGINT::DOUBLE / 4294967296.0::DOUBLE AS u FROM t),
