@@ -77,20 +77,22 @@ def chained(messages: DataFrame, tree: str = "conv_id", turn: str = "turn", role
 def paths(nodes: DataFrame) -> DataFrame:
     """(tree, leaf, node, back): each leaf's messages up to its root, with their distance from the leaf."""
     keys = nodes.select("tree", "node", "parent")
-    up = keys.join(keys.select(F.col("tree").alias("t"), F.col("node").alias("p")), F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("p")), "left").select("tree", "node", F.col("p").alias("up"))
+    parent = keys.select(F.col("tree").alias("t"), F.col("node").alias("p")).distinct()
+    # the rows of messages that have an ancestor so many steps up; fewer in each round
+    up = keys.join(parent, F.col("tree").eqNullSafe(F.col("t")) & (F.col("parent") == F.col("p"))).select("tree", "node", F.col("p").alias("up"))
     up = written(up.distinct(), "tree-up")
-    parents = up.where("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("up").alias("p")).distinct()
-    leaves = up.join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
+    parents = up.select(F.col("tree").alias("t"), F.col("up").alias("p")).distinct()
+    leaves = keys.select("tree", "node").distinct().join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
     found = written(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back")), "tree-paths")
     step = 1
-    while not up.where("up IS NOT NULL").isEmpty():
-        jump = up.where("up IS NOT NULL").select(F.col("tree").alias("t"), F.col("node").alias("from"), "up")
+    while not up.isEmpty():
+        jump = up.select(F.col("tree").alias("t"), F.col("node").alias("from"), "up")
         more = found.join(jump, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("from"))).select("tree", "leaf", F.col("up").alias("node"), (F.col("back") + step).alias("back"))
         grown = found.count()
         found = written(found.unionByName(more), "tree-paths")
         if found.count() == grown:  # only cycles are left to climb
             break
-        up = written(up.join(jump.withColumnRenamed("up", "next"), F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("from")), "left").select("tree", "node", F.col("next").alias("up")), "tree-up")
+        up = written(up.join(jump.withColumnRenamed("up", "next"), F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("from"))).select("tree", "node", F.col("next").alias("up")), "tree-up")
         step *= 2
     return found
 
