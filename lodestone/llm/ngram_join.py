@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
@@ -328,15 +329,21 @@ def residual(bad: DataFrame, star: DataFrame, pairs: DataFrame, classes: DataFra
     known = written(known, "shingle-known")
     sigs = known.join(bad.select("a", "b"), ["a", "b"], "left_semi").select("sig").distinct()
     members = known.join(sigs, "sig").select("sig", F.explode(F.array("a", "b")).alias("cid")).distinct()
-    # near classes share a hub, so they come into the same blocks
+    # near classes follow each other in order of region (joined by hubs) and hub, and the order is cut into blocks
     hub = pairs.groupBy("a").agg(F.min("b").alias("hub"))
     near = members.select("cid").distinct().join(hub.withColumnRenamed("a", "cid"), "cid", "left").withColumn("hub", F.coalesce("hub", "cid"))
-    count = near.groupBy("hub").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("parts"))
-    block = written(near.join(count, "hub").select("cid", F.xxhash64("hub", F.pmod(F.xxhash64("cid"), F.col("parts"))).alias("block")), "shingle-blocks")
+    region = components(near.select(F.col("cid").alias("a"), F.col("hub").alias("b")))
+    near = written(near.join(region, F.col("cid") == F.col("node"), "left").select("cid", "hub", F.coalesce("component", "cid").alias("region")), "shingle-near")
+    place = near.repartitionByRange("region", "hub", "cid").sortWithinPartitions("region", "hub", "cid").select("cid", F.monotonically_increasing_id().alias("at"))
+    place = written(place, "shingle-order").withColumn("part", F.shiftright("at", 33))
+    sizes = place.groupBy("part").agg(F.count("*").alias("rows"), F.min("at").alias("first"))  # one row a partition
+    sizes = sizes.withColumn("before", F.sum("rows").over(W.orderBy("part")) - F.col("rows"))
+    block = place.join(F.broadcast(sizes), "part").select("cid", F.floor((F.col("at") - F.col("first") + F.col("before")) / BLOCK_ROWS).alias("block"))
+    block = written(block, "shingle-blocks")
     seen = members.join(block, "cid").select("sig", "block").distinct()
     two = seen.select("sig", F.col("block").alias("x")).join(seen.select("sig", F.col("block").alias("y")), "sig").where("x <= y").select("x", "y").distinct()
     full = classes.join(block, "cid").join(at, F.col("cid") == F.col("node"), "left").select("block", F.struct("cid", F.coalesce("component", "cid").alias("at"), "n", "sketch").alias("c"))
-    full = full.groupBy("block").agg(F.collect_list("c").alias("rows"))  # about BLOCK_ROWS each, by the parts counted above
+    full = full.groupBy("block").agg(F.collect_list("c").alias("rows"))  # BLOCK_ROWS at most
     of = lambda c: full.select(F.col("block").alias(c), F.col("rows").alias(f"{c}rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
