@@ -138,7 +138,7 @@ def numeric(token: Column) -> Column:
 
 def line_numbers(line: Column) -> Column:
     """The number tokens of a line, in order."""
-    return F.filter(F.transform(F.regexp_extract_all(line, F.lit(V.CELL_NUMBER), F.lit(0)), F.trim), lambda t: numeric(t).isNotNull())
+    return F.filter(F.transform(F.regexp_extract_all(line, F.lit(V.CELL_NUMBER), F.lit(0)), lambda t: F.trim(t)), lambda t: numeric(t).isNotNull())
 
 
 def unit(line: Column, context: Column) -> Column:

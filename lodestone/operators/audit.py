@@ -23,7 +23,7 @@ def fallback(parser: Column, errors: Column) -> Column:
 
 def text_stats(markdown: Column, page_count: Column) -> Column:
     """struct(total, empty, average) over what lies between page comments; a blank start is no page."""
-    parts = F.transform(F.split(markdown, PAGE), F.trim)
+    parts = F.transform(F.split(markdown, PAGE), lambda p: F.trim(p))
     pages = F.when(F.element_at(parts, 1) == "", F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
     full = F.filter(pages, lambda p: p != "")
     total = F.aggregate(full, F.lit(0), lambda s, p: s + F.length(p))
