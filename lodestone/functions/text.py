@@ -18,6 +18,11 @@ def collapsed(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))
 
 
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def filled(text: Column) -> Column:
     """Null where empty, for joining texts."""
     return F.nullif(text, F.lit(""))

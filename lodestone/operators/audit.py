@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import stripped
+
 PAGE = r"<!--\s*page\s+[0-9]+\s*-->"
 # Lines that look like rows of a table, references to figures and captions.
 TABLE_LINE = r"\S+(?:[ \t]{2,}|\t)\S+"
@@ -23,11 +25,11 @@ def fallback(parser: Column, errors: Column) -> Column:
 
 def text_stats(markdown: Column, page_count: Column) -> Column:
     """struct(total, empty, average) over what lies between page comments; a blank start is no page."""
-    parts = F.transform(F.split(markdown, PAGE), lambda p: F.trim(p))
+    parts = F.transform(F.split(markdown, PAGE), stripped)
     pages = F.when(F.element_at(parts, 1) == "", F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
     full = F.filter(pages, lambda p: p != "")
     total = F.aggregate(full, F.lit(0), lambda s, p: s + F.length(p))
-    n, alone = F.size(full), F.length(F.trim(markdown))
+    n, alone = F.size(full), F.length(stripped(markdown))
     return F.struct(
         F.when(n == 0, alone).otherwise(total).cast("long").alias("total"), F.when(n == 0, 0).otherwise(F.size(pages) - n).alias("empty"),
         F.when(n == 0, alone / F.greatest(page_count, F.lit(1))).otherwise(total / F.greatest(n, F.lit(1))).alias("average"),

@@ -7,13 +7,14 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-from lodestone.functions.text import abstains_in_evaluation, citation_ids, token_recall, tokens
+from lodestone.functions.text import abstains_in_evaluation, citation_ids, stripped, token_recall, tokens
 
 
 def scored(results: DataFrame) -> DataFrame:
     """(expected, answer, evidence, should_abstain) with the metrics of an answer. Recalls and gap are null where nothing is expected."""
-    answer = F.trim(F.coalesce("answer", F.lit("")))
+    answer = stripped(F.coalesce("answer", F.lit("")))
     some = F.size(tokens(F.col("expected"))) > 0
     out = results.withColumn("answer_recall", token_recall(F.col("expected"), answer)).withColumn("evidence_recall", token_recall(F.col("expected"), F.coalesce("evidence", F.lit(""))))
     declined = abstains_in_evaluation(answer)
@@ -49,7 +50,7 @@ def summarized(rows: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio, as the standard library computes it, to 4 places."""
     return pd.Series([round(difflib.SequenceMatcher(None, x or "", y or "").ratio(), 4) for x, y in zip(a, b, strict=True)])

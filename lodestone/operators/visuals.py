@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import vocabulary as V
-from lodestone.functions.text import figure_label
+from lodestone.functions.text import figure_label, stripped
 
 
 def pictures(docs: DataFrame) -> DataFrame:
@@ -36,5 +36,5 @@ def figure_candidates(docs: DataFrame) -> DataFrame:
     first = found.groupBy("content_hash", "label").agg(F.min("at").alias("at"), F.min_by("markdown", "at").alias("markdown"))
     before = F.substring(F.col("markdown"), F.lit(1), F.col("at"))
     marks = F.regexp_extract_all(before, F.lit(r"(?i)<!--\s*page\s+([0-9]+)\s*-->"), F.lit(1))
-    context = F.trim(F.substring(F.col("markdown"), F.greatest(F.lit(1), F.col("at") - 150), F.lit(300)))
+    context = stripped(F.substring(F.col("markdown"), F.greatest(F.lit(1), F.col("at") - 150), F.lit(300)))
     return first.select("content_hash", "label", F.try_element_at(marks, F.lit(-1)).try_cast("int").alias("page"), context.alias("nearby_text"))
