@@ -19,6 +19,7 @@ space, as in SentencePiece, and decodes to one; rows with equal or null ids are
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from lodestone.llm.shared import written
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_CHARS = 32_768
 SPACE = "▁"
-CACHED_WORDS, CACHED_LENGTH = 300_000, 32
+CACHED_WORDS, CACHED_LENGTH = 120_000, 32
 
 
 class Vocabulary:
@@ -40,25 +41,33 @@ class Vocabulary:
     def __init__(self, model: bytes):
         import sentencepiece
 
-        loaded = sentencepiece.SentencePieceProcessor(model_proto=model)
-        n = loaded.get_piece_size()
-        text = [loaded.id_to_piece(i) for i in range(n)]
-        plain = [i for i in range(n) if not (loaded.is_control(i) or loaded.is_unknown(i) or loaded.is_byte(i) or loaded.is_unused(i))]
-        self.score = {text[i]: loaded.get_score(i) for i in plain}
+        m = sentencepiece.SentencePieceProcessor(model_proto=model)
+        n = m.get_piece_size()
+        text = [m.id_to_piece(i) for i in range(n)]
+        plain = [i for i in range(n) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
+        self.score = {text[i]: m.get_score(i) for i in plain}
         self.id = {text[i]: i for i in plain}
         bad = [t for t in self.id if SPACE in t.lstrip(SPACE)]
         if bad:
             raise ValueError(f"pieces with a space after another character, such as {bad[0]!r}, are not supported")
-        self.byte = {int(text[i][3:5], 16): i for i in range(n) if loaded.is_byte(i)}
-        self.unknown = loaded.unk_id()
+        self.byte = {int(text[i][3:5], 16): i for i in range(n) if m.is_byte(i)}
+        self.unknown = m.unk_id()
         self.max_len = max(map(len, self.id))
-        self.raw = [bytes([int(t[3:5], 16)]) if loaded.is_byte(i) else b"" if loaded.is_control(i) else t.encode() for i, t in enumerate(text)]
-        self.follows: dict[tuple[str, str], bool] = {}
-        # each prefix of a piece, and whether it is a piece that is the encoding of its own text
-        self.known = {t[:n]: False for t in self.id for n in range(1, len(t) + 1)}
-        self.known |= {t: self.merge(t) == [t] for t in self.id} | {t: True for t in self.known if len(t) == 1}
-        self.words: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.follows: dict[str, dict[str, bool]] = {}
+        self.known = {t: self.merge(t) == [t] for t in self.id}
+        # a tree by character: (children, the piece that ends here if it is the encoding of its own text)
+        self.tree: dict = {}
+        for t, whole in self.known.items():
+            level = self.tree
+            for n, ch in enumerate(t, 1):
+                level = level.setdefault(ch, [{}, None])
+                if n == len(t) and whole:
+                    level[1] = t
+                level = level[0]
+        for ch, node in self.tree.items():
+            node[1] = ch  # a character stands for itself
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, text: str) -> list[str]:
         """Greedy merging, for short strings: the best-scored adjacent pair first, the leftmost of equals."""
@@ -79,10 +88,9 @@ class Vocabulary:
         return self.known.get(piece, len(piece) == 1)
 
     def compatible(self, a: str, b: str) -> bool:
-        if (got := self.follows.get((a, b))) is None:
-            if len(self.follows) > 2_000_000:
-                self.follows.clear()
-            got = self.follows[a, b] = self.merge(a + b) == [a, b]
+        after = self.follows.setdefault(a, {})
+        if (got := after.get(b)) is None:
+            got = after[b] = self.merge(a + b) == [a, b]
         return got
 
     def ids_of(self, pieces: list[str]) -> list[int]:
@@ -98,24 +106,28 @@ class Vocabulary:
     def paths(self, text: str, start: int, stop: int, before: str | None) -> list[str | None]:
         """For each end in (start, stop]: the last piece of the one valid path from ``start`` to it that follows ``before``, or None."""
         last: list[str | None] = [None] * (stop - start + 1)
-        known, follows, longest = self.known, self.follows, self.max_len
+        tree, follows, none = self.tree, self.follows, {}
         for begin in range(start, stop):
             prev = before if begin == start else last[begin - start]
             if prev is None and begin > start:
                 continue
-            for end in range(begin + 1, min(stop, begin + longest) + 1):
-                piece = text[begin:end]
-                kind = known.get(piece)
-                if kind is None:  # no piece starts like this
-                    if end - begin > 1:
+            after = none if prev is None else follows.get(prev, none)
+            level, at = tree, begin - start
+            for ch in text[begin : min(stop, begin + self.max_len)]:
+                at += 1
+                node = level.get(ch)
+                if node is None:
+                    if level is not tree:
                         break
-                    kind = True  # an unknown character stands for itself
-                if kind:
+                    level, piece = none, ch  # an unknown character stands for itself
+                else:
+                    level, piece = node
+                if piece is not None and last[at] is None:
                     if prev is not None:
-                        fits = follows.get((prev, piece))
+                        fits = after.get(piece)
                         if not (self.compatible(prev, piece) if fits is None else fits):
                             continue
-                    last[end - start] = piece
+                    last[at] = piece
         return last
 
     def back(self, last: list[str | None], length: int) -> list[str]:
@@ -127,34 +139,98 @@ class Vocabulary:
             length -= len(piece)
         return out[::-1]
 
-    def word(self, word: str) -> tuple[int, ...]:
-        """Ids of a stretch that starts with the only run of spaces in it, or has none; it starts and ends where all paths meet."""
-        got = self.words.get(word) or self.older.get(word)
+    def word(self, word: str) -> bytes:
+        """Ids (int32) of a space and ``word``, which has no space; all paths meet where it starts and where it ends."""
+        got = self.older.get(word)
         if got is None:
-            got = tuple(self.ids_of(self.back(self.paths(word, 0, len(word), None), len(word))))
+            got = self.solved(SPACE + word)
         if len(word) <= CACHED_LENGTH:
             if len(self.words) >= CACHED_WORDS:  # words not met since the last change are forgotten
                 self.words, self.older = {}, self.words
             self.words[word] = got
         return got
 
-    def stretches(self, text: str) -> list[int]:
-        """Ids of a text (spaces as U+2581) that starts and ends where all paths meet."""
-        out: list[int] = []
-        parts = text.split(SPACE)
-        if parts[0]:
-            out += self.word(parts[0])
-        run, add = 0, out.extend
-        for w in parts[1:]:
-            run += 1
+    def starting(self, text: str, at: int) -> list[str]:
+        """The pieces that a text has at a place, the longest last."""
+        level, out = self.tree, []
+        for ch in text[at : at + self.max_len]:
+            node = level.get(ch)
+            if node is None:
+                if level is self.tree:
+                    out.append(ch)  # an unknown character stands for itself
+                break
+            level, piece = node
+            if piece is not None:
+                out.append(piece)
+        return out
+
+    def solved(self, text: str) -> bytes:
+        """Ids (int32) of the one valid path through a text that starts and ends where all paths meet.
+
+        Depth first, longest pieces first: only one valid path leads to any place, so a place from which the end can't be
+        reached is left for good.
+        """
+        n, at, prev, path, dead, held = len(text), 0, None, [], set(), []
+        choice, follows = self.starting(text, 0), self.follows
+        while at < n:
+            while choice:
+                piece = choice.pop()
+                end = at + len(piece)
+                if end in dead:
+                    continue
+                if prev is not None:
+                    after = follows.get(prev)
+                    fits = after.get(piece) if after is not None else None
+                    if not (self.compatible(prev, piece) if fits is None else fits):
+                        continue
+                held.append((at, prev, choice))
+                path.append(piece)
+                at, prev = end, piece
+                if at < n:
+                    choice = self.starting(text, at)
+                break
+            else:
+                dead.add(at)
+                at, prev, choice = held.pop()
+                path.pop()
+        ids = self.ids_of(path)
+        return struct.pack(f"{len(ids)}i", *ids)
+
+    def stretches(self, text: str, fresh: bool = True) -> np.ndarray:
+        """Ids of a text that starts and ends where all paths meet, after one more space if it starts a document."""
+        if not text:
+            return np.zeros(0, np.int32)
+        out: list[bytes] = []
+        if not fresh and text[0] != " ":
+            head, _, text = text.partition(" ")
+            out.append(self.solved(head))
+            parts = text.split(" ") if _ else []
+        else:
+            parts = text.split(" ") if fresh else text[1:].split(" ")
+        run = 0
+        for w in parts:
             if w:
-                w = SPACE * run + w
-                run = 0
-                got = self.words.get(w)
-                add(got if got is not None else self.word(w))
+                if run:
+                    out.append(self.solved(SPACE * (run + 1) + w))
+                    run = 0
+                else:
+                    out.append(self.words.get(w) or self.word(w))
+            else:
+                run += 1
         if run:
-            add(self.word(SPACE * run))
-        return out
+            out.append(self.solved(SPACE * run))
+        return np.frombuffer(b"".join(out), np.int32)
+
+
+class Spelling:
+    """The bytes that each id stands for."""
+
+    def __init__(self, model: bytes):
+        import sentencepiece
+
+        m = sentencepiece.SentencePieceProcessor(model_proto=model)
+        text = [m.id_to_piece(i) for i in range(m.get_piece_size())]
+        self.raw = [bytes([int(t[3:5], 16)]) if m.is_byte(i) else b"" if m.is_control(i) else t.encode() for i, t in enumerate(text)]
 
     def decode(self, ids: np.ndarray) -> str:
         text = b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace").replace(SPACE, " ")
@@ -165,6 +241,10 @@ def normal(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
+def spaced(text: str) -> str:
+    return text.replace(SPACE, " ") if SPACE in text else text
+
+
 class Chunk:
     """A stretch ``text[left:right]`` of a document, with some of what is before and after it. first, last: of its document."""
 
@@ -240,7 +320,8 @@ class Chunk:
             return v.ids_of(v.back(last, stop - start))
         head = v.ids_of(v.back(v.paths(self.text, start, meet[0], state[1]), meet[0] - start))
         tail = v.paths(self.text, meet[1], stop, None)
-        return head + v.stretches(self.text[meet[0] : meet[1]]) + v.ids_of(v.back(tail, stop - meet[1]))
+        middle = v.stretches(self.text[meet[0] : meet[1]].replace(SPACE, " "), fresh=False).tolist()
+        return head + middle + v.ids_of(v.back(tail, stop - meet[1]))
 
 
 def combine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -267,13 +348,13 @@ def boundary_states(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
     return list(zip([0, *exits[:-1]], exits, strict=True))
 
 
-_loaded: dict[int, Vocabulary] = {}
+_loaded: dict = {}
 
 
-def vocabulary(model: bytes) -> Vocabulary:
-    """One per worker process and model."""
-    if (k := hash(model)) not in _loaded:
-        _loaded[k] = Vocabulary(model)
+def loaded(kind: type, model: bytes):
+    """A Vocabulary or Spelling; one per worker process and model."""
+    if (k := (kind, hash(model))) not in _loaded:
+        _loaded[k] = kind(model)
     return _loaded[k]
 
 
@@ -295,16 +376,16 @@ def encode(docs: DataFrame, text_col: str = "text", carry: list[str] | None = No
     long = F.length("text") >= chunk_chars
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(sent.value)
+        v = loaded(Vocabulary, sent.value)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                ids = [np.asarray(v.stretches(normal(t)), np.int32) for t in part.column(1).to_pylist()]
+                ids = [v.stretches(spaced(t)) for t in part.column(1).to_pylist()]
                 lists = pa.ListArray.from_arrays(np.cumsum([0, *map(len, ids)], dtype=np.int32), np.concatenate(ids) if ids else np.zeros(0, np.int32))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array([1] * part.num_rows, pa.int32())], ["kept", "ids", "n_chunks"])
 
     def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        margin = vocabulary(sent.value).max_len
+        margin = loaded(Vocabulary, sent.value).max_len
         for b in batches:
             for i in range(b.num_rows):
                 windows = list(cut(normal(b.column(2)[i].as_py()), chunk_chars, margin))
@@ -316,7 +397,7 @@ def encode(docs: DataFrame, text_col: str = "text", carry: list[str] | None = No
         return Chunk(v, r["window"], r["left"], r["right"], r["k"] == 0, r["k"] == r["n"] - 1)
 
     def transfer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(sent.value)
+        v = loaded(Vocabulary, sent.value)
         for b in batches:
             for r in b.to_pylist():
                 m = chunk(v, r).matrix()
@@ -330,7 +411,7 @@ def encode(docs: DataFrame, text_col: str = "text", carry: list[str] | None = No
         return pd.DataFrame({"rid": pdf.rid.to_numpy(), "k": pdf.k.to_numpy(), "enter": [a for a, _ in got], "leave": [b for _, b in got]})
 
     def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(sent.value)
+        v = loaded(Vocabulary, sent.value)
         for b in batches:
             for i, r in enumerate(b.drop_columns(["kept"]).to_pylist()):
                 ids = chunk(v, r).trace(r["enter"], r["leave"])
@@ -356,7 +437,7 @@ def decode(encoded: DataFrame, carry: list[str], model: str = MODEL) -> DataFram
     rows = encoded.select(F.struct(*carry).alias("kept"), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(sent.value)
+        v = loaded(Spelling, sent.value)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
