@@ -155,7 +155,7 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = rows.groupBy(id_col).agg(F.min(label_col).alias("label"))
     order = [F.xxhash64(id_col), F.col(id_col)]
     picked = rows.where("label = 1").orderBy(*order).limit(sample).unionByName(rows.where("label <> 1").orderBy(*order).limit(sample))
-    texts = docs.select(F.col(id_col), F.col(text_col).alias("__text")).where(F.length("__text") <= most_chars)
+    texts = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("__text")).where(F.length("__text") <= most_chars)
     got = texts.join(F.broadcast(picked), id_col).select("__text", "label", id_col).limit(4 * sample).collect()  # at most 2 * sample ids are broadcast
     got.sort(key=lambda r: (r[id_col], r["__text"]))
     y = np.array([int(r["label"] == 1) for r in got])

@@ -81,7 +81,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     # where the kth value of each query lies: (query, low, need): the kth is the need-th largest among scores in [low, low + step * BINS)
     state = None
     while True:
-        found = met if state is None else met.join(state, "q")
+        found = met if state is None else met.join(state, "q", "left")
         kth = _located(found.join(c, "c"), step, low0, k, state is None)
         # the bounds of a block's queries, in its order: a row a block, as large as the block
         kth = written(kth, "topk-bounds")
@@ -90,7 +90,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
         state = kth.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("pos", "low", "need"))).alias("bounds"))
         step //= BINS
     state = kth.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("pos", "low", "need"))).alias("bounds"))
-    best = _kept(met.join(state, "q").join(c, "c"), k)
+    best = _kept(met.join(state, "q", "left").join(c, "c"), k)
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
@@ -112,7 +112,7 @@ def _bounds(batch: pa.RecordBatch, r: int, n: int) -> tuple[np.ndarray, np.ndarr
     """low and need of each query of a block; queries with no more than k candidates at all have none: every score counts."""
     low, need = np.full(n, np.iinfo(np.int64).min + 1), np.zeros(n, np.int64)
     b = batch.column("bounds")[r].values
-    if len(b):
+    if b is not None and len(b):
         pos = b.field("pos").to_numpy()
         low[pos], need[pos] = b.field("low").to_numpy(), b.field("need").to_numpy()
     return low, need

@@ -31,6 +31,7 @@ from lodestone.llm.shared import shared_path, written
 LEAST = 100
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+_CONTROL = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]|\r(?!\n)")
 _MEMBER = b"\x1f\x8b\x08"
 PIECE = 1 << 16
 
@@ -76,6 +77,8 @@ def _checked(data: bytes) -> tuple[dict[str, str], bytes] | str:
     end = data.find(b"\r\n\r\n")
     if end < 0:
         return "header without end"
+    if _CONTROL.search(data, 0, end):
+        return "control characters in the header"
     head = {}
     for line in data[:end].split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
