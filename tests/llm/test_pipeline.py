@@ -1,6 +1,9 @@
 """The stages of the pipeline against plain versions of themselves, and the registered queries against their SQL."""
 
+import numbers
+
 import duckdb
+import pandas as pd
 import pytest
 from test_ops import brute_components, brute_dedup, docs_of, near_texts
 
@@ -44,5 +47,11 @@ def test_query_equals_sql(spark, name):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{DIR}/{t}.parquet')")
     a, b = queries.queries()[name](spark, DIR).toPandas(), con.execute(queries.oracle_sql()[name]).df()
     cols = sorted(b.columns)
-    plain = lambda f: sorted(tuple("null" if v != v or v is None else f"{v:.6f}" if isinstance(v, float) else f"{float(v):.6f}" if isinstance(v, int) and not isinstance(v, bool) else str(v) for v in r) for r in f[cols].astype(object).itertuples(index=False))
-    assert sorted(a.columns) == cols and plain(a) == plain(b)
+
+    def plain(value):
+        if pd.isna(value):
+            return "null"
+        return f"{float(value):.6f}" if isinstance(value, numbers.Number) and not isinstance(value, bool) else str(value)
+
+    rows = lambda f: sorted(tuple(map(plain, r)) for r in f[cols].astype(object).itertuples(index=False))
+    assert sorted(a.columns) == cols and rows(a) == rows(b)
