@@ -4,10 +4,12 @@ Similar sets (100 * intersection >= percent * union) of sizes up to u differ in
 band's scheme hashes the universe of shingles into m = H + 1 segments, so two similar sets agree on all of some segment. A set
 is indexed under its own band's scheme and probes that scheme and, if its size allows, the next band's.
 
-A probe may spend the pigeonhole budget differently: a segment with one-deletion neighbourhoods (its members less any one)
-catches up to one difference and counts twice, so another segment may be left out. The cost model compares the expected rows:
-a segment with few members is shared by many sets, while a neighbourhood costs one row a member. The first ``SPARE``
-segments of a scheme are indexed with their neighbourhoods, so as many of a probe's cheapest-to-lose segments can be left out.
+Where they agree on a segment with next to no members, that says little, so the principle is taken further: with the segments
+in a ring, some segment agrees and the one after it differs in at most one member. For such segments the signature holds the
+next segment as well, in a one-deletion neighbourhood: the next segment, and the next segment less any one member. A cost
+model allocates neighbourhoods: a segment of few members is shared by many sets, a neighbourhood costs a row a member of the
+next segment; both sides decide alike, since they agree on the segment. Where nothing is left of the next segment either, the one
+after it joins in, less up to two members (three segments in a row differ in at most two).
 
 From there on no step emits all pairs of a group:
 * equal sets are one class, by a 128-bit key; classes with their least id, size and parity sketch are a written table;
@@ -15,8 +17,10 @@ From there on no step emits all pairs of a group:
   a frequent signature reaches its owner as one row a batch; the owner makes stars of those in the same way, in one pass;
 * (member, hub) pairs are dropped where the sketches differ in more bits than similar sets can; of the others, first one pair
   a member, then those between different components, are compared shingle by shingle;
-* signatures whose members are still in several components are finished by blocks of up to ``BLOCK_ROWS`` classes: each two
-  blocks that share such a signature are compared once, by sketch, and the survivors shingle by shingle.
+* signatures whose members are still in several components are finished pair by pair where they have up to ``DIRECT_ROWS``
+  members. Classes under larger ones go through the same steps again under an independent partition of the universe, where what
+  was shared by chance is not; what is left after ``LEVELS`` partitions is dense, and finished by blocks of ``BLOCK_ROWS``
+  classes in order of region (from a threshold of ``DENSE`` on, at once): each two blocks that share a signature are compared once, by sketch, and survivors by shingles.
 So each two classes that share a signature are in one component or have been compared: no link between different texts is lost.
 
 Shingles are compared as 64-bit hashes. Defined results: null and empty texts have no shingles and are linked with nothing;
@@ -34,24 +38,26 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
-from lodestone.llm.shared import written
+from lodestone.llm.shared import release, written
 from lodestone.llm.shingles import U, each_text, key_of, mix, shingle_set, sketch_of
 
-SPARE = 2
-WIDTH = 3
 BLOCK_ROWS = 128
+DIRECT_ROWS = 64
 BROADCAST_ROWS = 500_000
-EXPECTED = 10_000.0  #: sets that share an empty segment, in the cost model; a member more divides by SHRINK
-SHRINK = 8.0
+EXPECTED, SHRINK, NEXT = 100.0, 64.0, 6.0  #: cost model: rows that sharing an empty segment costs; a member more divides by SHRINK; members of a next segment
+LEVELS = 3
+DENSE = 90  #: from this threshold on, segments are large enough that what shares a signature is dense
 
 
 class Bands:
     """Size bands of a threshold in percent, and their schemes. Made up to a size when that is met first."""
 
-    def __init__(self, percent: int):
+    def __init__(self, percent: int, seed: int = 0):
         self.percent = percent
+        self.seed = 100 * seed  #: of the partition of the universe
+        self.width = 3 if percent >= 90 else 2  #: wide bands need fewer probes, but smaller segments
         self.lows = [self.smallest()]
-        self.made: dict[int, tuple[int, int]] = {}
+        self.made: dict[int, int] = {}
 
     def overlap(self, total: int) -> int:
         """The least intersection of similar sets with that sum of sizes: (100 + p) * i >= p * total."""
@@ -72,31 +78,27 @@ class Bands:
     def band(self, n: int) -> int:
         while self.lows[-1] <= n:
             low, top = self.lows[-1], self.lows[-1]
-            for _ in range(WIDTH):
+            for _ in range(self.width):
                 top = top * 100 // self.percent + 1
             self.lows.append(max(low + 1, top))
         return int(np.searchsorted(self.lows, n, side="right")) - 1
 
-    def scheme(self, band: int) -> tuple[int, int]:
-        """Segments, and how many of them have neighbourhoods."""
+    def scheme(self, band: int) -> int:
+        """The number of segments."""
         if band not in self.made:
-            while len(self.lows) < band + 2:
-                self.band(self.lows[-1])
-            most = 2 * (self.lows[band + 1] - 1)
-            h = max(s - 2 * self.overlap(s) for s in range(max(2, most - 40), most + 1))
-            m = h + 1
-            self.made[band] = m, min(SPARE, m // 2)
+            most = 2 * (self.band_low(band + 1) - 1)
+            self.made[band] = 1 + max(s - 2 * self.overlap(s) for s in range(max(2, most - 40), most + 1))
         return self.made[band]
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
-        """Signatures << 1 | (0 if probed, 1 if only indexed) of a set."""
+        """Signatures of a set under its own band's scheme and, if larger similar sets may be in the next band, under that one's."""
         n = len(s)
         if n < self.lows[0]:
             return np.zeros(0, np.int64)
         own = self.band(n)
-        out = [self._of(s, own, True)]
+        out = [self._of(s, own)]
         if self.apart(n, max(n, self.band_low(own + 1))) >= 0:
-            out.append(self._of(s, own + 1, False))
+            out.append(self._of(s, own + 1))
         return np.concatenate(out)
 
     def band_low(self, band: int) -> int:
@@ -104,35 +106,30 @@ class Bands:
             self.band(self.lows[-1])
         return self.lows[band]
 
-    def _of(self, s: np.ndarray, band: int, index: bool) -> np.ndarray:
-        m, spare = self.scheme(band)
-        place = (mix(s, 21) % U(m)).astype(np.int64)
+    def _of(self, s: np.ndarray, band: int) -> np.ndarray:
+        m = self.scheme(band)
+        tag = mix(np.arange(m, dtype=np.uint64) + U(band << 32), 23)
+        place = (mix(s, 21 + self.seed) % U(m)).astype(np.int64)
         order = np.argsort(place, kind="stable")
         value = mix(s, 22)[order]
         count = np.bincount(place, minlength=m)
         upto = np.r_[U(0), np.cumsum(value, dtype=np.uint64)]
         stop = np.cumsum(count)
         sums = upto[stop] - upto[stop - count]
-        tag = mix(np.arange(m, dtype=np.uint64) + U(band << 32), 23)
-        exact = mix(sums + tag, 24)
-        probed = np.ones(m, bool)
-        near = []
-        cost = 1 + EXPECTED / SHRINK ** np.minimum(count, 40)
-        spent = [i for i in range(spare) if count[i]]
-        lose = np.argsort(-cost, kind="stable")[: len(spent)]
-        for i in spent:
-            lost = next((int(x) for x in lose if probed[x] and x not in spent), None)
-            extra = count[i] + EXPECTED * count[i] / SHRINK ** min(int(count[i]) - 1, 40)
-            pays = lost is not None and cost[lost] > extra
-            if pays:
-                probed[lost] = False
-            if pays or index:
-                less = mix(sums[i] - value[stop[i] - count[i] : stop[i]] + tag[i], 24)
-                near.append((less & ~U(1)) | U(0 if pays else 1))
-        sigs = (exact & ~U(1)) | (~probed).astype(np.uint64)
-        if not index:
-            sigs = sigs[probed]
-        return np.concatenate([sigs, *near]).view(np.int64)
+        thin = (EXPECTED / SHRINK ** np.minimum(count, 9.0) > NEXT) & (m > 4)
+        out = [mix(sums[~thin] + tag[~thin], 24)]
+        for i in np.flatnonzero(thin):
+            j, k = (i + 1) % m, (i + 2) % m
+            near = np.r_[sums[j], sums[j] - value[stop[j] - count[j] : stop[j]]]
+            root = mix(sums[i : i + 1] + tag[i], 25)
+            if count[j] <= 1:
+                # what is left of the next segment is empty: the one after that, where the two differ in at most two members
+                near = near[: count[j]]
+                one = value[stop[k] - count[k] : stop[k]]
+                two = (one[:, None] + one[None, :])[np.triu_indices(count[k], 1)]
+                out.append(mix((sums[k] - np.r_[U(0), one, two]) ^ mix(root, 27), 28))
+            out.append(mix(near ^ root, 26))
+        return np.concatenate(out).view(np.int64)
 
 
 def _rows(cols: list, names: list[str]) -> pa.RecordBatch:
@@ -155,25 +152,23 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> Dat
     return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind}, n long, k1 long, k2 long, sketch binary")
 
 
-def stars(docs: DataFrame, text_col: str, words: int, percent: int) -> DataFrame:
+def stars(docs: DataFrame, text_col: str, words: int, percent: int, seed: int = 0) -> DataFrame:
     """Rows (sig, k1, k2, h1, h2): class k and hub h share a signature."""
     names = ["sig", "k1", "k2", "h1", "h2"]
     schema = "sig long, k1 long, k2 long, h1 long, h2 long"
 
     def combined(sig: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> pa.RecordBatch:
-        """A batch's rows, distinct; where a probed signature repeats, the first row stays and others become members of it."""
+        """A batch's rows, distinct; where a signature repeats, the first row stays and others become members of it."""
         order = np.lexsort((k2, k1, sig))
         sig, k1, k2 = sig[order], k1[order], k2[order]
         new = np.r_[True, (sig[1:] != sig[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]
         sig, k1, k2 = sig[new], k1[new], k2[new]
-        first = np.r_[True, (sig[1:] >> 1) != (sig[:-1] >> 1)]
-        hub = np.maximum.accumulate(np.where(first, np.arange(len(sig)), 0))
-        member = ~first & ((sig[hub] & 1) == 0)
-        member &= (k1 != k1[hub]) | (k2 != k2[hub])
+        member = np.r_[False, sig[1:] == sig[:-1]]
+        hub = np.maximum.accumulate(np.where(member, 0, np.arange(len(sig))))
         return _rows([sig, k1, k2, np.where(member, k1[hub], 0), np.where(member, k2[hub], 0)], names)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands = Bands(percent)
+        bands = Bands(percent, seed)
         held: list[tuple[np.ndarray, tuple[int, int]]] = []
         rows = 0
 
@@ -195,28 +190,26 @@ def stars(docs: DataFrame, text_col: str, words: int, percent: int) -> DataFrame
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by signature; only the current signature's first row is kept."""
-        at, h1, h2, live = None, 0, 0, False
+        at, h1, h2 = None, 0, 0
         for b in batches:
             sig, k1, k2, a1, a2 = (b.column(i).to_numpy() for i in range(5))
             done = (a1 != 0) | (a2 != 0)
             if done.any():
-                yield _rows([(sig[done] >> 1), k1[done], k2[done], a1[done], a2[done]], names)
+                yield _rows([sig[done], k1[done], k2[done], a1[done], a2[done]], names)
             sig, k1, k2 = sig[~done], k1[~done], k2[~done]
             if not len(sig):
                 continue
-            key = sig >> 1
-            first = np.r_[at is None or key[0] != at, key[1:] != key[:-1]]
+            first = np.r_[at is None or sig[0] != at, sig[1:] != sig[:-1]]
             hub = np.maximum.accumulate(np.where(first, np.arange(len(sig)), -1))
             own = hub >= 0
             g1, g2 = np.where(own, k1[hub], h1), np.where(own, k2[hub], h2)
-            lively = np.where(own, (sig[hub] & 1) == 0, live)
-            out = lively & ((k1 != g1) | (k2 != g2))
+            out = (k1 != g1) | (k2 != g2)
             if out.any():
-                yield _rows([key[out], k1[out], k2[out], g1[out], g2[out]], names)
-            at, h1, h2, live = key[-1], int(g1[-1]), int(g2[-1]), bool(lively[-1])
+                yield _rows([sig[out], k1[out], k2[out], g1[out], g2[out]], names)
+            at, h1, h2 = sig[-1], int(g1[-1]), int(g2[-1])
 
     signed = docs.select(text_col).mapInArrow(sign, schema)
-    return signed.repartition(F.shiftright("sig", 1)).sortWithinPartitions("sig", "k1", "k2").mapInArrow(gather, schema)
+    return signed.repartition("sig").sortWithinPartitions("sig", "k1", "k2").mapInArrow(gather, schema)
 
 
 def _close(bands: Bands, n1: np.ndarray, n2: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -226,8 +219,14 @@ def _close(bands: Bands, n1: np.ndarray, n2: np.ndarray, bits: np.ndarray) -> np
     return (least <= np.minimum(n1, n2)) & (bits <= total - 2 * least)
 
 
-def _sketches(col) -> np.ndarray:
-    return np.frombuffer(b"".join(col), np.uint64).reshape(len(col), -1)
+def differing(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ; the larger one is folded to the size of the smaller."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def sketch_pairs(pairs: DataFrame, percent: int) -> DataFrame:
@@ -239,7 +238,7 @@ def sketch_pairs(pairs: DataFrame, percent: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             a, b, an, bn = (batch.column(i).to_numpy() for i in range(4))
-            bits = np.bitwise_count(_sketches(batch.column(4).to_pylist()) ^ _sketches(batch.column(5).to_pylist())).sum(axis=1, dtype=np.int64)
+            bits = np.array([differing(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
             yield _rows([a, b, bits, _close(bands, an, bn, bits)], ["a", "b", "bits", "maybe"])
 
     return pairs.mapInArrow(run, "a long, b long, bits long, maybe boolean")
@@ -272,28 +271,39 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = prints.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("least"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.count("*").alias("class_size"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "shingle-classes")
     star = written(stars(docs, text_col, words, percent), "shingle-stars")
-
+    release(docs.sparkSession)  # the signatures' shuffle is the largest of all
     side = lambda c, k: classes.select(F.col("k1").alias(f"{k}1"), F.col("k2").alias(f"{k}2"), F.col("cid").alias(c), F.col("n").alias(f"{c}n"), F.col("sketch").alias(f"{c}sketch"))
-    pairs = star.select("k1", "k2", "h1", "h2").distinct().join(side("a", "k"), ["k1", "k2"]).join(side("b", "h"), ["h1", "h2"])
-    pairs = written(sketch_pairs(pairs.select("a", "b", "an", "bn", "asketch", "bsketch"), percent), "shingle-pairs")
-
-    # texts of the classes that need comparing, found by id and told from rows with the same id by their key
-    need = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    wanted = classes.join(need, "cid").select("cid", "k1", "k2", F.col("least").alias("__least"))
-    texts = written(_texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), wanted, words), "shingle-texts")
-
-    maybe = pairs.where("maybe")
-    one = maybe.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("x")).select("a", "x.b")
-    links = written(verified(one, texts, words, percent), "shingle-links")
-    at = components(links)
-    more = written(verified(across(maybe, at).join(one, ["a", "b"], "left_anti"), texts, words, percent), "shingle-links")
-    links = links.unionByName(more)
-    at = components(links)
-
-    bad = across(pairs, at)
-    if not bad.isEmpty():
-        late = written(verified(residual(bad, star, pairs, classes, at, percent), texts, words, percent), "shingle-links")
-        at = components(links.unionByName(late))
+    links = at = texts = None
+    direct, levels = (DIRECT_ROWS, LEVELS) if percent < DENSE else (2, 1)
+    for level in range(levels):
+        pairs = star.select("k1", "k2", "h1", "h2").distinct().join(side("a", "k"), ["k1", "k2"]).join(side("b", "h"), ["h1", "h2"])
+        pairs = written(sketch_pairs(pairs.select("a", "b", "an", "bn", "asketch", "bsketch"), percent), "shingle-pairs")
+        if texts is None:
+            # texts of the classes that may need comparing, found by id and told from rows with the same id by their key
+            need = star.select("k1", "k2").unionByName(star.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"))).distinct()
+            wanted = classes.join(need, ["k1", "k2"]).select("cid", "k1", "k2", F.col("least").alias("__least"))
+            texts = written(_texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), wanted, words), "shingle-texts")
+        maybe = pairs.where("maybe")
+        one = maybe.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("x")).select("a", "x.b")
+        if at is None:
+            links = written(verified(one, texts, words, percent), "shingle-links")
+            at = components(links)
+            maybe = maybe.join(one, ["a", "b"], "left_anti")
+        links, at = linked(links, at, across(maybe, at), texts, words, percent)
+        bad = across(pairs, at)
+        if bad.isEmpty():
+            break
+        members = unfinished(bad, star, classes)
+        if direct > 2:
+            links, at = linked(links, at, few_members(members.where(F.col("size") <= direct), classes, at, percent), texts, words, percent)
+        many = members.where(F.col("size") > direct).select("sig", "cid")
+        if many.isEmpty():
+            break
+        if level == levels - 1:
+            links, at = linked(links, at, many_members(many, pairs, classes, at, percent), texts, words, percent)
+        else:
+            star = written(stars(texts.join(many.select("cid").distinct(), "cid", "left_semi"), "text", words, percent, level + 1), "shingle-stars")
+            release(docs.sparkSession)
 
     groups = classes.join(at, F.col("cid") == F.col("node"), "left").select("k1", "k2", "least", "class_size", F.coalesce("component", "cid").alias("component"))
     groups = groups.join(groups.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("k1", "k2", "class_size", "component_id")
@@ -321,14 +331,41 @@ def across(pairs: DataFrame, at: DataFrame) -> DataFrame:
     return both.where(F.coalesce("aat", "a") != F.coalesce("bat", "b")).select(*pairs.columns)
 
 
-def residual(bad: DataFrame, star: DataFrame, pairs: DataFrame, classes: DataFrame, at: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components that share a signature and whose sketches are close, by blocks of classes."""
+def linked(links: DataFrame, at: DataFrame, pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The links with those among ``pairs``, and the components then."""
+    more = written(verified(pairs, texts, words, percent), "shingle-links")
+    if more.isEmpty():
+        return links, at
+    links = links.unionByName(more)
+    return links, components(links)
+
+
+def unfinished(bad: DataFrame, star: DataFrame, classes: DataFrame) -> DataFrame:
+    """(sig, cid, size): members of signatures with a pair across components; two members alone have been compared."""
     key = classes.select("k1", "k2", "cid")
     of = lambda c, k: key.select(F.col("k1").alias(f"{k}1"), F.col("k2").alias(f"{k}2"), F.col("cid").alias(c))
     known = star.join(of("a", "k"), ["k1", "k2"]).join(of("b", "h"), ["h1", "h2"]).select("sig", "a", "b")
     known = written(known, "shingle-known")
     sigs = known.join(bad.select("a", "b"), ["a", "b"], "left_semi").select("sig").distinct()
     members = known.join(sigs, "sig").select("sig", F.explode(F.array("a", "b")).alias("cid")).distinct()
+    sizes = members.groupBy("sig").agg(F.count("*").alias("size")).where("size > 2")
+    return written(members.join(sizes, "sig"), "shingle-members")
+
+
+def few_members(members: DataFrame, classes: DataFrame, at: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) across components under signatures with few members whose sketches are close."""
+    few = members.join(at, F.col("cid") == F.col("node"), "left").select("sig", "cid", F.coalesce("component", "cid").alias("at"))
+    few = few.join(classes.select("cid", "n"), "cid")
+    x, y = few.select("sig", F.col("cid").alias("a"), F.col("at").alias("aat"), F.col("n").alias("xn")), few.select(F.col("sig").alias("ysig"), F.col("cid").alias("b"), F.col("at").alias("bat"), F.col("n").alias("yn"))
+    least = F.ceil(percent * (F.col("xn") + F.col("yn")) / (100 + percent))
+    pairs = x.join(y, (F.col("sig") == F.col("ysig")) & (F.col("a") > F.col("b")) & (F.col("aat") != F.col("bat")) & (least <= F.least("xn", "yn"))).select("a", "b").distinct()
+    side = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"{c}n"), F.col("sketch").alias(f"{c}sketch"))
+    close = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "an", "bn", "asketch", "bsketch")
+    return sketch_pairs(close, percent).where("maybe").select("a", "b")
+
+
+def many_members(members: DataFrame, pairs: DataFrame, classes: DataFrame, at: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) across components under signatures with many members whose sketches are close, by blocks of classes."""
     # near classes follow each other in order of region (joined by hubs) and hub, and the order is cut into blocks
     hub = pairs.groupBy("a").agg(F.min("b").alias("hub"))
     near = members.select("cid").distinct().join(hub.withColumnRenamed("a", "cid"), "cid", "left").withColumn("hub", F.coalesce("hub", "cid"))
@@ -352,11 +389,13 @@ def residual(bad: DataFrame, star: DataFrame, pairs: DataFrame, classes: DataFra
             for r in range(batch.num_rows):
                 x, y = (batch.column(i)[r].values for i in (0, 1))
                 cid, comp, n = ([s.field(k).to_numpy() for s in (x, y)] for k in range(3))
-                sk = [_sketches(s.field(3).to_pylist()) for s in (x, y)]
+                sk = [s.field(3).to_pylist() for s in (x, y)]
                 a, b = [], []
                 for i in range(len(cid[0])):
-                    bits = np.bitwise_count(sk[0][i] ^ sk[1]).sum(axis=1, dtype=np.int64)
-                    hit = np.flatnonzero((comp[1] != comp[0][i]) & _close(bands, np.full(len(bits), n[0][i]), n[1], bits))
+                    # sizes and components first: few pairs of a block are left for their sketches
+                    near = np.flatnonzero((comp[1] != comp[0][i]) & _close(bands, np.full(len(n[1]), n[0][i]), n[1], np.zeros(len(n[1]), np.int64)))
+                    bits = np.array([differing(sk[0][i], sk[1][j]) for j in near], np.int64)
+                    hit = near[_close(bands, np.full(len(near), n[0][i]), n[1][near], bits)]
                     a += [cid[0][i]] * len(hit)
                     b += cid[1][hit].tolist()
                 yield _rows([np.maximum(np.array(a, np.int64), np.array(b, np.int64)), np.minimum(np.array(a, np.int64), np.array(b, np.int64))], ["a", "b"])
@@ -365,7 +404,7 @@ def residual(bad: DataFrame, star: DataFrame, pairs: DataFrame, classes: DataFra
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each component: that with the least id; rows with that id and another text are in a group of their own."""
+    """``docs`` with one row of each component: that with the least id. Of rows that share an id, one stays."""
     groups = similar_components(docs, id_col, text_col, words, percent)
     kept = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
     return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([id_col])

@@ -75,8 +75,14 @@ def key_of(s: np.ndarray) -> tuple[int, int]:
 
 
 def sketch_of(s: np.ndarray) -> bytes:
-    """Parity of the number of members in each of 1,024 places: two sketches differ in at most as many bits as the sets in members."""
-    return np.packbits((np.bincount((s & U(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1).astype(np.uint8)).tobytes()
+    """Parity of the number of members in each of at least 1,024 places, twice as many as members.
+
+    Two sketches differ in at most as many bits as their sets in members. Halves of a sketch, combined by exclusive or, are the
+    sketch of half the size.
+    """
+    bits = max(SKETCH_BITS, 1 << (2 * len(s) - 1).bit_length()) if len(s) else SKETCH_BITS
+    odd = np.bincount((s & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
 def each_text(batch: pa.RecordBatch, column: int) -> Iterator[np.ndarray]:

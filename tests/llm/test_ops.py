@@ -183,6 +183,7 @@ def test_components_are_those_of_brute_force(spark, words, percent, monkeypatch)
     for few, levels in ((64, 3), (2, 1)):  # pairs and blocks for what hubs leave
         monkeypatch.setattr(ngram_join, "DIRECT_ROWS", few)
         monkeypatch.setattr(ngram_join, "LEVELS", levels)
+        monkeypatch.setattr(ngram_join, "DENSE", 101 if few == 2 else 90)
         monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 8)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_components(docs_of(spark, texts), words=words, percent=percent).collect()}
         assert got == want
