@@ -404,7 +404,16 @@ def many_members(members: DataFrame, pairs: DataFrame, classes: DataFrame, at: D
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one row of each component: that with the least id. Of rows that share an id, one stays."""
-    groups = similar_components(docs, id_col, text_col, words, percent)
-    kept = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").dropDuplicates([id_col])
+    """``docs`` with one row of each component and every row without shingles. Of a component, the row with the least id stays
+    (null last), and of different texts with that id the one with the least digest. Rows that repeat id and text are one, if
+    they have shingles."""
+    digest = F.unhex(F.sha2(F.coalesce(text_col, F.lit("")), 256))
+    # id and text name a row; the id alone does not, as it may be null or shared by different texts
+    row = F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), digest.alias("sha"))
+    groups = similar_components(docs.select(row.alias("__row"), text_col), "__row", text_col, words, percent)
+    kept = groups.where(F.col("__row") == F.col("component_id")).groupBy("__row").agg(((F.max("n_shingles") > 0) & (F.count("*") > 1)).alias("__again"))
+    kept = written(kept.select(F.col("__row.id").alias("__id"), F.col("__row.sha").alias("__ksha"), "__again"), "shingle-kept")
+    out = docs.withColumn("__sha", digest).join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__ksha")))
+    if not kept.where("__again").isEmpty():
+        out = out.where("NOT __again").unionByName(out.where("__again").dropDuplicates([id_col, "__sha"]))
+    return out.select(*docs.columns)

@@ -34,6 +34,19 @@ def test_copies_and_near_copies(spark):
     assert got == {i for i, (_, c) in brute_components(texts, 5, 80).items() if c == i}
 
 
+def test_near_copies_with_null_and_shared_ids(spark):
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(40)) for w in "abcd")
+    near = lambda t: f"{t} end"
+    # two texts and a near copy under null; two texts under 5, one of them near to that of 3; a repeated row; texts without shingles
+    rows = [(None, a), (None, b), (None, near(a)), (5, c), (5, near(d)), (3, d), (7, "once more"), (7, "once more"), (8, "one"), (None, ""), (None, None), (8, " ")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r["doc_id"], r["text"]) for r in P.drop_near_copies(spark, docs, DIR).collect()]
+    firsts = [x for x in got if x[1] in (a, near(a))]
+    assert len(firsts) == 1 and firsts[0][0] is None
+    want = [(None, b), (5, c), (3, d), (7, "once more"), (8, "one"), (None, ""), (None, None), (8, " ")]
+    assert sorted(map(repr, got)) == sorted(map(repr, [*firsts, *want]))
+
+
 def test_run(spark):
     out = P.run(spark, DIR)
     rows = out.collect()
