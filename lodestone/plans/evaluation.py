@@ -17,7 +17,7 @@ def token_recalls(s, d):
 
 def _scored(s, d):
     extra = F.element_at(F.array(*[F.lit(a) for a in evidence.ANSWERS]), (F.col("conv_id") % len(evidence.ANSWERS) + 1).cast("int"))
-    rows = I.turns(s, d).withColumn("evidence", F.substring("answer", 1, 200)).withColumn("answer", F.concat("answer", F.lit(" "), extra)).withColumn("should_abstain", F.col("conv_id") % 3 == 0)
+    rows = I.turns(s, d).withColumn("evidence", F.col("answer")).withColumn("answer", F.concat("answer", F.lit(" "), extra)).withColumn("should_abstain", F.col("conv_id") % 3 == 0)
     return evaluate.scored(rows)
 
 
@@ -38,7 +38,7 @@ def nearest_rank_p95(s, d):
 
 
 def sequence_similarity(s, d):
-    return I.turns(s, d).select("conv_id", "turn", evaluate.similarity(F.lower(F.substring("expected", 1, 200)), F.lower(F.substring("answer", 1, 200))).alias("similarity"))
+    return I.turns(s, d).select("conv_id", "turn", evaluate.similarity(F.lower("expected"), F.lower("answer")).alias("similarity"))
 
 
 def _labelled(s, d):
