@@ -14,13 +14,16 @@ after it joins in, less up to two members (three segments in a row differ in at
 From there on no step emits all pairs of a group:
 * equal sets are one class, by a 128-bit key; classes with their least id, size and parity sketch are a written table;
 * every task keeps, for each signature, one row of its batch as a hub and turns others into (signature, member, hub) rows, so
-  a frequent signature reaches its owner as one row a batch; the owner makes stars of those in the same way, in one pass;
+  a frequent signature reaches its owner as one row a batch; the owner makes stars of those in the same way, in one pass.
+  Rows name a class by the first 64 bits of its key: should two classes share those, both are looked at, and compared;
 * (member, hub) pairs are dropped where the sketches differ in more bits than similar sets can; of the others, first one pair
   a member, then those between different components, are compared shingle by shingle;
 * signatures whose members are still in several components are finished pair by pair where they have up to ``DIRECT_ROWS``
-  members. Classes under larger ones go through the same steps again under an independent partition of the universe, where what
-  was shared by chance is not; what is left after ``LEVELS`` partitions is dense, and finished by blocks of ``BLOCK_ROWS``
-  classes in order of region (from a threshold of ``DENSE`` on, at once): each two blocks that share a signature are compared once, by sketch, and survivors by shingles.
+  members. Of the classes under larger ones, those are done with too of whose shingles too many are in no other such class:
+  each of them sets a class apart from all others, so that no more than the rest can be shared. What remains goes through the
+  same steps again under an independent partition of the universe, where what was shared by chance is not;
+* what is left after ``LEVELS`` partitions is dense, and finished by blocks of ``BLOCK_ROWS`` classes in order of region: each
+  two blocks that share a signature are compared once, by sketch, and survivors by shingles.
 So each two classes that share a signature are in one component or have been compared: no link between different texts is lost.
 
 Shingles are compared as 64-bit hashes. Defined results: null and empty texts have no shingles and are linked with nothing;
@@ -38,15 +41,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
-from lodestone.llm.shared import release, written
+from lodestone.llm.shared import emptied, shuffles_end, written
 from lodestone.llm.shingles import U, each_text, key_of, mix, shingle_set, sketch_of
 
 BLOCK_ROWS = 128
 DIRECT_ROWS = 64
 BROADCAST_ROWS = 500_000
+SIGNED_ROWS = 1_000_000  #: signatures that a task combines at a time
 EXPECTED, SHRINK, NEXT = 100.0, 64.0, 6.0  #: cost model: rows that sharing an empty segment costs; a member more divides by SHRINK; members of a next segment
-LEVELS = 3
-DENSE = 90  #: from this threshold on, segments are large enough that what shares a signature is dense
+LEVELS = 2
 
 
 class Bands:
@@ -118,17 +121,20 @@ class Bands:
         sums = upto[stop] - upto[stop - count]
         thin = (EXPECTED / SHRINK ** np.minimum(count, 9.0) > NEXT) & (m > 4)
         out = [mix(sums[~thin] + tag[~thin], 24)]
-        for i in np.flatnonzero(thin):
-            j, k = (i + 1) % m, (i + 2) % m
-            near = np.r_[sums[j], sums[j] - value[stop[j] - count[j] : stop[j]]]
-            root = mix(sums[i : i + 1] + tag[i], 25)
-            if count[j] <= 1:
-                # what is left of the next segment is empty: the one after that, where the two differ in at most two members
-                near = near[: count[j]]
-                one = value[stop[k] - count[k] : stop[k]]
-                two = (one[:, None] + one[None, :])[np.triu_indices(count[k], 1)]
-                out.append(mix((sums[k] - np.r_[U(0), one, two]) ^ mix(root, 27), 28))
-            out.append(mix(near ^ root, 26))
+        i = np.flatnonzero(thin)
+        j, root = (i + 1) % m, mix(sums[i] + tag[i], 25)
+        more = count[j] > 1
+        c, whole = count[j[more]], sums[j[more]]
+        members = np.repeat(stop[j[more]] - np.cumsum(c), c) + np.arange(c.sum())
+        out.append(mix(whole ^ root[more], 26))
+        out.append(mix((np.repeat(whole, c) - value[members]) ^ np.repeat(root[more], c), 26))
+        for x, r in zip(j[~more], root[~more, None], strict=True):
+            # what is left of the next segment may be empty: the one after that joins in, where the two differ in at most two members
+            k = (x + 1) % m
+            one = value[stop[k] - count[k] : stop[k]]
+            two = (one[:, None] + one[None, :])[np.triu_indices(count[k], 1)]
+            out.append(mix((sums[k] - np.r_[U(0), one, two]) ^ mix(r, 27), 28))
+            out.append(mix(sums[x : x + 1] ^ r, 26)[: count[x]])
         return np.concatenate(out).view(np.int64)
 
 
@@ -153,63 +159,57 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> Dat
 
 
 def stars(docs: DataFrame, text_col: str, words: int, percent: int, seed: int = 0) -> DataFrame:
-    """Rows (sig, k1, k2, h1, h2): class k and hub h share a signature."""
-    names = ["sig", "k1", "k2", "h1", "h2"]
-    schema = "sig long, k1 long, k2 long, h1 long, h2 long"
-
-    def combined(sig: np.ndarray, k1: np.ndarray, k2: np.ndarray) -> pa.RecordBatch:
-        """A batch's rows, distinct; where a signature repeats, the first row stays and others become members of it."""
-        order = np.lexsort((k2, k1, sig))
-        sig, k1, k2 = sig[order], k1[order], k2[order]
-        new = np.r_[True, (sig[1:] != sig[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])]
-        sig, k1, k2 = sig[new], k1[new], k2[new]
+    """Rows (sig, k, h): class k and hub h, by their labels, share a signature."""
+    names, schema = ["sig", "k", "h"], "sig long, k long, h long"
+
+    def combined(sig: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+        """A batch's rows, distinct; where a signature repeats, the first row stays (its hub is 0) and others become members of it."""
+        order = np.lexsort((k, sig))
+        sig, k = sig[order], k[order]
+        new = np.r_[True, (sig[1:] != sig[:-1]) | (k[1:] != k[:-1])]
+        sig, k = sig[new], k[new]
         member = np.r_[False, sig[1:] == sig[:-1]]
         hub = np.maximum.accumulate(np.where(member, 0, np.arange(len(sig))))
-        return _rows([sig, k1, k2, np.where(member, k1[hub], 0), np.where(member, k2[hub], 0)], names)
+        return _rows([sig, k, np.where(member, k[hub], 0)], names)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent, seed)
-        held: list[tuple[np.ndarray, tuple[int, int]]] = []
+        held: list[np.ndarray] = []
+        labels: list[int] = []
         rows = 0
-
-        def release() -> pa.RecordBatch:
-            size = [len(s) for s, _ in held]
-            return combined(np.concatenate([s for s, _ in held]), *(np.repeat(np.array([k[i] for _, k in held], np.int64), size) for i in (0, 1)))
-
         for b in batches:
             for data in each_text(b, 0):
                 s = shingle_set(data, words)
                 if len(sigs := bands.signatures(s)):
-                    held.append((sigs, key_of(s)))
+                    held.append(sigs), labels.append(key_of(s)[0])
                     rows += len(sigs)
-                if rows > 500_000:
-                    yield release()
-                    held, rows = [], 0
+                if rows > SIGNED_ROWS:
+                    yield combined(np.concatenate(held), np.repeat(np.array(labels, np.int64), [len(x) for x in held]))
+                    held, labels, rows = [], [], 0
         if held:
-            yield release()
+            yield combined(np.concatenate(held), np.repeat(np.array(labels, np.int64), [len(x) for x in held]))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by signature; only the current signature's first row is kept."""
-        at, h1, h2 = None, 0, 0
+        at, h = None, 0
         for b in batches:
-            sig, k1, k2, a1, a2 = (b.column(i).to_numpy() for i in range(5))
-            done = (a1 != 0) | (a2 != 0)
+            sig, k, a = (b.column(i).to_numpy() for i in range(3))
+            done = a != 0
             if done.any():
-                yield _rows([sig[done], k1[done], k2[done], a1[done], a2[done]], names)
-            sig, k1, k2 = sig[~done], k1[~done], k2[~done]
+                yield _rows([sig[done], k[done], a[done]], names)
+            sig, k = sig[~done], k[~done]
             if not len(sig):
                 continue
             first = np.r_[at is None or sig[0] != at, sig[1:] != sig[:-1]]
             hub = np.maximum.accumulate(np.where(first, np.arange(len(sig)), -1))
-            own = hub >= 0
-            g1, g2 = np.where(own, k1[hub], h1), np.where(own, k2[hub], h2)
-            out = (k1 != g1) | (k2 != g2)
+            g = np.where(hub >= 0, k[hub], h)
+            out = k != g
             if out.any():
-                yield _rows([sig[out], k1[out], k2[out], g1[out], g2[out]], names)
-            at, h1, h2 = sig[-1], int(g1[-1]), int(g2[-1])
+                yield _rows([sig[out], k[out], g[out]], names)
+            at, h = sig[-1], int(g[-1])
 
     signed = docs.select(text_col).mapInArrow(sign, schema)
-    return signed.repartition("sig").sortWithinPartitions("sig", "k1", "k2").mapInArrow(gather, schema)
+    return signed.repartition("sig").sortWithinPartitions("sig", "k").mapInArrow(gather, schema)
 
 
 def _close(bands: Bands, n1: np.ndarray, n2: np.ndarray, bits: np.ndarray) -> np.ndarray:
@@ -244,8 +244,9 @@ def sketch_pairs(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long, bits long, maybe boolean")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b) of classes, those that are similar; texts: (cid, text)."""
+def verified(pairs: DataFrame, texts: Texts) -> DataFrame:
+    """Of the pairs (a, b) of classes, a written table, those that are similar, as another one."""
+    words, percent = texts.words, texts.percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -256,8 +257,11 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
                 keep.append(100 * both >= percent * (len(s) + len(t) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    of = lambda c: texts.select(F.col("cid").alias(c), F.col("text").alias(f"{c}text"))
-    return pairs.select("a", "b").join(of("a"), "a").join(of("b"), "b").select("a", "b", "atext", "btext").mapInArrow(run, "a long, b long")
+    found = written(texts.of(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()), "shingle-texts")
+    side = lambda c: found.select(F.col("cid").alias(c), F.col("text").alias(f"{c}text"))
+    out = written(pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "atext", "btext").mapInArrow(run, "a long, b long"), "shingle-links")
+    emptied(found)
+    return out
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -265,45 +269,60 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
+class Texts:
+    """The texts of classes, found among the documents by their least id, and told from rows with the same id by their key."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, words: int, percent: int):
+        self.docs, self.classes, self.words, self.percent = docs, classes, words, percent
+
+    def of(self, cids: DataFrame) -> DataFrame:
+        """(cid, text) of each class of the table ``cids``."""
+        words = self.words
+        wanted = self.classes.join(cids, "cid").select("cid", "k1", "k2", F.col("least").alias("__least"))
+        found = self.docs.join(small(wanted), F.col("id").eqNullSafe(F.col("__least"))).select("cid", "k1", "k2", "text")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keys = zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
+                keep = [key_of(shingle_set(t, words)) == k for t, k in zip(each_text(b, 3), keys, strict=True)]
+                yield b.select([0, 3]).filter(pa.array(keep, pa.bool_()))
+
+        return found.mapInArrow(run, "cid long, text string").dropDuplicates(["cid"])
+
+
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
     """One row per row of ``docs``: id, n_shingles, class_size, component_id (the least id reachable by links)."""
     prints = written(fingerprints(docs, id_col, text_col, words), "shingle-prints")
     classes = prints.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("least"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.count("*").alias("class_size"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "shingle-classes")
+    texts = Texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), classes, words, percent)
     star = written(stars(docs, text_col, words, percent), "shingle-stars")
-    release(docs.sparkSession)  # the signatures' shuffle is the largest of all
-    side = lambda c, k: classes.select(F.col("k1").alias(f"{k}1"), F.col("k2").alias(f"{k}2"), F.col("cid").alias(c), F.col("n").alias(f"{c}n"), F.col("sketch").alias(f"{c}sketch"))
-    links = at = texts = None
-    direct, levels = (DIRECT_ROWS, LEVELS) if percent < DENSE else (2, 1)
-    for level in range(levels):
-        pairs = star.select("k1", "k2", "h1", "h2").distinct().join(side("a", "k"), ["k1", "k2"]).join(side("b", "h"), ["h1", "h2"])
-        pairs = written(sketch_pairs(pairs.select("a", "b", "an", "bn", "asketch", "bsketch"), percent), "shingle-pairs")
-        if texts is None:
-            # texts of the classes that may need comparing, found by id and told from rows with the same id by their key
-            need = star.select("k1", "k2").unionByName(star.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"))).distinct()
-            wanted = classes.join(need, ["k1", "k2"]).select("cid", "k1", "k2", F.col("least").alias("__least"))
-            texts = written(_texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), wanted, words), "shingle-texts")
+    links = at = None
+    for level in range(LEVELS):
+        pairs = written(hub_pairs(star, classes, percent, level == 0), "shingle-pairs")
         maybe = pairs.where("maybe")
-        one = maybe.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("x")).select("a", "x.b")
-        if at is None:
-            links = written(verified(one, texts, words, percent), "shingle-links")
+        if links is None:
+            one = written(maybe.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("x")).select("a", "x.b"), "shingle-one")
+            links = verified(one, texts)
             at = components(links)
             maybe = maybe.join(one, ["a", "b"], "left_anti")
-        links, at = linked(links, at, across(maybe, at), texts, words, percent)
+        links, at = linked(links, at, across(maybe, at), texts)
         bad = across(pairs, at)
-        if bad.isEmpty():
+        if holds_none(bad):
             break
         members = unfinished(bad, star, classes)
-        if direct > 2:
-            links, at = linked(links, at, few_members(members.where(F.col("size") <= direct), classes, at, percent), texts, words, percent)
-        many = members.where(F.col("size") > direct).select("sig", "cid")
+        emptied(star)
+        links, at = linked(links, at, few_members(members.where(F.col("size") <= DIRECT_ROWS), classes, at, percent), texts)
+        many = members.where(F.col("size") > DIRECT_ROWS).select("sig", "cid")
         if many.isEmpty():
             break
-        if level == levels - 1:
-            links, at = linked(links, at, many_members(many, pairs, classes, at, percent), texts, words, percent)
+        if level == LEVELS - 1:
+            links, at = linked(links, at, many_members(many, pairs, classes, at, percent), texts)
         else:
-            star = written(stars(texts.join(many.select("cid").distinct(), "cid", "left_semi"), "text", words, percent, level + 1), "shingle-stars")
-            release(docs.sparkSession)
+            left = written(texts.of(many.select("cid").distinct()), "shingle-left")
+            able = written(sharing(left, classes, words, percent), "shingle-sharing")
+            star = written(stars(left.join(small(able), "cid", "left_semi"), "text", words, percent, level + 1), "shingle-stars")
+            emptied(left, able, members, pairs)
 
     groups = classes.join(at, F.col("cid") == F.col("node"), "left").select("k1", "k2", "least", "class_size", F.coalesce("component", "cid").alias("component"))
     groups = groups.join(groups.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("k1", "k2", "class_size", "component_id")
@@ -312,16 +331,37 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_size", "component_id")
 
 
-def _texts(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    found = docs.join(small(wanted), F.col("id").eqNullSafe(F.col("__least"))).select("cid", "k1", "k2", "text")
+def sharing(texts: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """The classes (cid) that share enough of their shingles with any others among ``texts`` (cid, text) to be similar to one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
-            keep = [key_of(shingle_set(t, words)) == k for t, k in zip(each_text(b, 3), keys, strict=True)]
-            yield b.select([0, 3]).filter(pa.array(keep, pa.bool_()))
+            cids = b.column(0).to_numpy()
+            for cid, data in zip(cids, each_text(b, 1), strict=True):
+                s = shingle_set(data, words)
+                yield _rows([np.full(len(s), cid), s.view(np.int64)], ["cid", "s"])
+
+    held = texts.select("cid", "text").mapInArrow(run, "cid long, s long").groupBy("s").agg(F.count("*").alias("classes"), F.min("cid").alias("cid"))
+    alone = held.where("classes = 1").groupBy("cid").agg(F.count("*").alias("alone"))
+    return texts.select("cid").join(classes.select("cid", "n"), "cid").join(alone, "cid", "left").where(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n")).select("cid")
+
 
-    return found.mapInArrow(run, "cid long, text string").dropDuplicates(["cid"])
+def hub_pairs(star: DataFrame, classes: DataFrame, percent: int, first: bool) -> DataFrame:
+    """Pairs (a, b, bits, maybe) of members and hubs; the first time also of classes that share a label."""
+    side = lambda c, k: classes.select(F.col("k1").alias(k), F.col("cid").alias(c), F.col("n").alias(f"{c}n"), F.col("sketch").alias(f"{c}sketch"))
+    names = ["a", "b", "an", "bn", "asketch", "bsketch"]
+    pairs = star.select("k", "h").distinct().join(side("a", "k"), "k").join(side("b", "h"), "h").select(names)
+    if first:
+        shared = classes.groupBy("k1").agg(F.count("*").alias("x")).where("x > 1").select(F.col("k1").alias("k"))
+        twins = shared.join(side("a", "k"), "k").join(side("b", "k"), "k").where("a > b").select(names)
+        if not holds_none(shared):  # two keys that agree in 64 bits
+            pairs = pairs.unionByName(twins)
+    return sketch_pairs(pairs, percent)
+
+
+def holds_none(df: DataFrame) -> bool:
+    with shuffles_end(df.sparkSession):
+        return df.isEmpty()
 
 
 def across(pairs: DataFrame, at: DataFrame) -> DataFrame:
@@ -331,9 +371,13 @@ def across(pairs: DataFrame, at: DataFrame) -> DataFrame:
     return both.where(F.coalesce("aat", "a") != F.coalesce("bat", "b")).select(*pairs.columns)
 
 
-def linked(links: DataFrame, at: DataFrame, pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+def linked(links: DataFrame, at: DataFrame, pairs: DataFrame, texts: Texts) -> tuple[DataFrame, DataFrame]:
     """The links with those among ``pairs``, and the components then."""
-    more = written(verified(pairs, texts, words, percent), "shingle-links")
+    pairs = written(pairs, "shingle-compared")
+    if pairs.isEmpty():
+        return links, at
+    more = verified(pairs, texts)
+    emptied(pairs)
     if more.isEmpty():
         return links, at
     links = links.unionByName(more)
@@ -342,14 +386,14 @@ def linked(links: DataFrame, at: DataFrame, pairs: DataFrame, texts: DataFrame,
 
 def unfinished(bad: DataFrame, star: DataFrame, classes: DataFrame) -> DataFrame:
     """(sig, cid, size): members of signatures with a pair across components; two members alone have been compared."""
-    key = classes.select("k1", "k2", "cid")
-    of = lambda c, k: key.select(F.col("k1").alias(f"{k}1"), F.col("k2").alias(f"{k}2"), F.col("cid").alias(c))
-    known = star.join(of("a", "k"), ["k1", "k2"]).join(of("b", "h"), ["h1", "h2"]).select("sig", "a", "b")
-    known = written(known, "shingle-known")
+    of = lambda c, k: classes.select(F.col("k1").alias(k), F.col("cid").alias(c))
+    known = written(star.join(of("a", "k"), "k").join(of("b", "h"), "h").select("sig", "a", "b"), "shingle-known")
     sigs = known.join(bad.select("a", "b"), ["a", "b"], "left_semi").select("sig").distinct()
     members = known.join(sigs, "sig").select("sig", F.explode(F.array("a", "b")).alias("cid")).distinct()
     sizes = members.groupBy("sig").agg(F.count("*").alias("size")).where("size > 2")
-    return written(members.join(sizes, "sig"), "shingle-members")
+    out = written(members.join(sizes, "sig"), "shingle-members")
+    emptied(known)
+    return out
 
 
 def few_members(members: DataFrame, classes: DataFrame, at: DataFrame, percent: int) -> DataFrame:

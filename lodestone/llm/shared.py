@@ -2,37 +2,58 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary folder only where it is unset (tests in local mode)."""
+    """``spark.checkpoint.dir`` of the session. Where it is unset, a temporary folder in local mode; a cluster must name one."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        _own[app] = tempfile.mkdtemp(prefix="lodestone-")
-    return _own[app]
+    context = spark.sparkContext
+    if context.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if context.applicationId not in _own:
+        _own[context.applicationId] = tempfile.mkdtemp(prefix="lodestone-")
+    return _own[context.applicationId]
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/lodestone/{tag}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """Within it, Spark deletes a query's shuffle files as soon as the query has ended."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage ends there, and a lost executor costs nothing."""
+    """``df`` as a Parquet table in the shared folder: lineage ends there, a lost executor costs nothing, and the shuffles
+    that led to it are deleted."""
     path = shared_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    with shuffles_end(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps now; it does so when their plans are collected as garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def emptied(*tables: DataFrame) -> None:
+    """Frees what ``written`` tables take, once nothing will read them any more: each is overwritten by a table without rows."""
+    for df in tables:
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            df.sparkSession.range(0, numPartitions=1).write.mode("overwrite").parquet(path)

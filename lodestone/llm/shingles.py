@@ -42,11 +42,15 @@ def word_hashes(data: np.ndarray) -> np.ndarray:
         if len(starts):
             size = ends - starts
             where = np.flatnonzero(word)
-            inside = np.arange(len(where)) - np.repeat(np.cumsum(size) - size, size)
-            value = _BYTE.ravel()[(inside % SPAN) * 256 + b[where]]
+            first = np.cumsum(size) - size
+            inside = np.arange(len(where)) - np.repeat(first, size)
+            place = inside % SPAN
+            sums = np.add.reduceat(_BYTE.ravel()[place * 256 + b[where]], first if size.max() <= SPAN else np.flatnonzero(place == 0))
             if size.max() > SPAN:
-                value = value * (U(2) * (inside // SPAN).astype(np.uint64) + U(1))
-            sums = np.add.reduceat(value, np.cumsum(size) - size)
+                # each piece is mixed with its number before the pieces of a word are added up
+                number = inside[place == 0] // SPAN
+                pieces = -(-size // SPAN)
+                sums = np.add.reduceat(np.where(number > 0, mix(sums ^ mix(number.astype(np.uint64), 5), 6), sums), np.cumsum(pieces) - pieces)
             out.append(mix(sums ^ size.astype(np.uint64)))
         at = stop
     return np.concatenate(out) if out else np.zeros(0, np.uint64)

@@ -180,10 +180,9 @@ def near_texts(seed, n=220):
 def test_components_are_those_of_brute_force(spark, words, percent, monkeypatch):
     texts = near_texts(words)
     want = brute_components(texts, words, percent)
-    for few, levels in ((64, 3), (2, 1)):  # pairs and blocks for what hubs leave
+    for few, levels in ((64, 2), (2, 1), (2, 3)):  # pairs, blocks, and further partitions for what hubs leave
         monkeypatch.setattr(ngram_join, "DIRECT_ROWS", few)
         monkeypatch.setattr(ngram_join, "LEVELS", levels)
-        monkeypatch.setattr(ngram_join, "DENSE", 101 if few == 2 else 90)
         monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 8)
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.similar_components(docs_of(spark, texts), words=words, percent=percent).collect()}
         assert got == want
@@ -213,6 +212,8 @@ def test_ngram_edges(spark):
     assert got == Counter({(5, 2, 3): 2, (3, 2, 3): 1, (None, 0, None): 1, (None, 2, 3): 1})
     assert ngram_join.similar_components(docs.where("doc_id = 9")).count() == 0
     assert len(word_hashes(np.frombuffer(("y" * 300 + " z").encode(), np.uint8))) == 2
+    a, b = "a" * 64, "b" * 64  # pieces of long words in another order
+    assert len(set(word_hashes(np.frombuffer(" ".join([a + b + b + a, b + a + a + b, a + a + b + b, a + b + b + a]).encode(), np.uint8)).tolist())) == 3
     assert len(shingle_set(np.zeros(0, np.uint8))) == 0
 
 
