@@ -2,15 +2,17 @@
 
 1. Every row's normalised text gets a 64-bit key and a SHA-256; (id, key, digest) is written once to the shared folder.
 2. The directory starts with one bucket. While a bucket holds more distinct keys than its capacity, the directory doubles
-   and the overfull buckets split on the next bit of the key; a bucket keeps its own (local) depth. The directory has at
-   most ``2 ** max_depth`` slots, which bounds what is broadcast.
-3. Texts are grouped under (bucket, key) by their full bytes. Spark combines copies in the scanning task, so a group that
-   holds a third of all rows reaches its owner as one row a task. Texts that share a key form a chain of entries.
-4. The entries are written in key ranges, one range of buckets to each owner task, and every row finds its entry there by
-   key and digest. Should two texts share both, those rows are joined by text.
-
-Defined results: null text is empty; rows that repeat both id and text are one document (one result row, counted in
-``group_size``); a null id ranks after all others, so it stays only where every copy has one; an empty table gives no rows.
+   and the overfull buckets split on the next bit of the key; a bucket keeps its own (local) depth. The directory is a
+   written table; it is broadcast only where a count finds at most ``BROADCAST_SLOTS`` slots.
+3. Rows go through the directory to their bucket. A key that one row has is an entry as it is; only texts under repeated keys
+   are read again. Scanning tasks combine their copies, so a group that holds a third of all rows moves as a few rows a task.
+4. Owner tasks take ranges of (bucket, key). They compare the bytes of what shares a key: equal texts are one entry, different
+   ones form a chain of entries. The entries are written in that order, and every row finds its own by bucket, key and digest.
+   Should two texts of a chain share the digest too, those rows are looked up by text.
+
+Defined results: null text is empty; one result row for each row, also for rows that repeat both id and text (all of them are
+marked as kept where their id is); a null id ranks after all others, so it stays only where every copy has one; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,11 +20,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import written
+from lodestone.llm.shared import emptied, small, written
 
 KEY_BITS = 64
+SALTS = 16
+BROADCAST_SLOTS = 131_072
 
 
 def normalised(text: Column) -> Column:
@@ -57,7 +62,9 @@ def directory(keys: DataFrame, capacity: int, max_depth: int) -> tuple[DataFrame
         slots = slots.unionByName(more)
     width = F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(depth) - F.col("local_depth"))
     first = F.col("bucket") * width
-    return slots.select(F.explode(F.sequence(first, first + width - 1)).alias("slot"), first.alias("bucket"), "local_depth"), depth
+    slots = written(slots.select(F.explode(F.sequence(first, first + width - 1)).alias("slot"), first.alias("bucket"), "local_depth"), "directory")
+    emptied(cells)
+    return slots, depth
 
 
 def exact_duplicates(
@@ -65,27 +72,32 @@ def exact_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
     capacity: int = 50_000,
-    max_depth: int = 16,
+    max_depth: int = 24,
     key: Callable[[Column], Column] = F.xxhash64,
     digest: Callable[[Column], Column] = lambda text: F.sha2(text, 256),
 ) -> DataFrame:
-    """One row per document: id, keep_id, group_size, kept, text_sha256. See the module for the method."""
+    """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256. See the module for the method."""
     scan = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
-    rows = scan.select("id", key(F.col("norm")).alias("key"), digest(F.col("norm")).alias("digest"))
-    rows = written(rows.groupBy("id", "key", "digest").agg(F.count("*").alias("n")), "dedup-keys")
+    rows = written(scan.select("id", key(F.col("norm")).cast("long").alias("key"), digest(F.col("norm")).alias("digest")), "dedup-keys")
     slots, depth = directory(rows, capacity, max_depth)
-
-    placed = scan.withColumn("key", key(F.col("norm"))).withColumn("slot", prefix(F.col("key"), depth))
-    placed = placed.join(F.broadcast(slots), "slot")
-    entries = placed.groupBy("bucket", "key", "norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
-    entries = entries.select("bucket", "key", digest(F.col("norm")).alias("digest"), "keep_id", "group_size")
-    index = written(entries.repartitionByRange("bucket", "key", "digest").sortWithinPartitions("bucket", "key", "keep_id"), "dedup-index")
-
-    clashes = index.groupBy("key", "digest").agg(F.count("*").alias("texts")).where("texts > 1").select("key", "digest")
-    if clashes.isEmpty():
-        found = rows.select("id", "key", "digest").join(index.drop("bucket"), ["key", "digest"])
-    else:
-        found = _by_text(scan.withColumn("key", key(F.col("norm"))).withColumn("digest", digest(F.col("norm"))), rows, index, clashes)
+    places = small(slots.select("slot", "bucket"), BROADCAST_SLOTS)
+    rows = rows.withColumn("slot", prefix(F.col("key"), depth)).join(places, "slot").drop("slot")
+
+    keys = rows.groupBy("bucket", "key").agg(F.count("*").alias("n"), F.min("id").alias("keep_id"), F.min("digest").alias("digest"))
+    keys = written(keys, "dedup-buckets")
+    single = keys.where("n = 1").select("bucket", "key", "digest", "keep_id", F.col("n").alias("group_size"), F.lit(1).alias("link"))
+    again = small(keys.where("n > 1").select("bucket", "key"))
+    copies = scan.withColumn("key", key(F.col("norm")).cast("long")).join(again, "key").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    copies = copies.groupBy("bucket", "key", "norm", "salt").agg(F.min("id").alias("keep_id"), F.count("*").alias("n"))
+    owned = copies.repartitionByRange("bucket", "key").groupBy("bucket", "key", "norm").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
+    chain = F.row_number().over(W.partitionBy("bucket", "key").orderBy(F.col("keep_id").asc_nulls_last(), "norm"))
+    entries = owned.select("bucket", "key", digest(F.col("norm")).alias("digest"), "keep_id", "group_size", chain.alias("link"))
+    index = written(single.unionByName(entries), "dedup-index")
+
+    clashes = index.where("link > 1").select("key").distinct().join(index, "key").groupBy("key", "digest").agg(F.count("*").alias("texts")).where("texts > 1").select("key", "digest")
+    found = rows.join(index.drop("link"), ["bucket", "key", "digest"]).select("id", "keep_id", "group_size", "digest")
+    if not clashes.isEmpty():
+        found = _by_text(scan.withColumn("key", key(F.col("norm")).cast("long")).withColumn("digest", digest(F.col("norm"))), rows, index, clashes)
     return found.select(
         F.col("id").alias(id_col), "keep_id", F.col("group_size").cast("long").alias("group_size"),
         F.col("id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("digest").alias("text_sha256"),
@@ -94,16 +106,24 @@ def exact_duplicates(
 
 def _by_text(texts: DataFrame, rows: DataFrame, index: DataFrame, clashes: DataFrame) -> DataFrame:
     """As the usual lookup, but rows whose key and digest belong to several texts are matched by the text itself."""
-    plain = rows.select("id", "key", "digest").join(clashes, ["key", "digest"], "left_anti").join(index.drop("bucket"), ["key", "digest"])
+    plain = rows.join(clashes, ["key", "digest"], "left_anti").join(index, ["bucket", "key", "digest"]).select("id", "keep_id", "group_size", "digest")
     odd = texts.join(clashes, ["key", "digest"], "left_semi")
     chains = odd.groupBy("key", "norm").agg(F.min("id").alias("keep_id"), F.count("*").alias("group_size"))
-    odd = odd.groupBy("id", "key", "digest", "norm").agg(F.count("*").alias("n")).join(chains, ["key", "norm"])
-    return plain.unionByName(odd.select(plain.columns))
+    return plain.unionByName(odd.join(chains, ["key", "norm"]).select(plain.columns))
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns kept."""
-    kept = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
-    rows = docs.withColumn("__sha", F.sha2(normalised(F.col(text_col)), 256))
-    out = rows.join(kept.withColumnRenamed("__sha", "__ksha"), F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__ksha")), "left_semi")
-    return out.dropDuplicates([id_col, "__sha"]).drop("__sha")
+    """``docs`` with one row of each group of equal texts, all columns kept. Of rows that repeat the id that stays, one stays.
+
+    Only rows that go, and those that repeat an id, are looked up; the others pass through without a shuffle where the
+    former are few enough to be broadcast."""
+    rows = written(exact_duplicates(docs, id_col, text_col), "dedup-rows")
+    ids = [F.col(id_col).alias("__id"), F.col("text_sha256").alias("__ksha")]
+    gone = rows.where("NOT kept").select(*ids)
+    twice = written(rows.where("kept AND group_size > 1").groupBy(*ids).agg(F.count("*").alias("n")).where("n > 1").select("__id", "__ksha"), "dedup-twice")
+    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__ksha"))
+    out = docs.withColumn("__sha", F.sha2(normalised(F.col(text_col)), 256)).join(small(gone), same, "left_anti")
+    if not twice.isEmpty():
+        again = small(twice)
+        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates([id_col, "__sha"]))
+    return out.drop("__sha")

@@ -41,12 +41,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.llm.components import components
-from lodestone.llm.shared import emptied, shuffles_end, written
+from lodestone.llm.shared import emptied, shuffles_end, small, written
 from lodestone.llm.shingles import U, each_text, key_of, mix, shingle_set, sketch_of
 
 BLOCK_ROWS = 128
 DIRECT_ROWS = 64
-BROADCAST_ROWS = 500_000
 SIGNED_ROWS = 1_000_000  #: signatures that a task combines at a time
 EXPECTED, SHRINK, NEXT = 100.0, 64.0, 6.0  #: cost model: rows that sharing an empty segment costs; a member more divides by SHRINK; members of a next segment
 LEVELS = 2
@@ -264,11 +263,6 @@ def verified(pairs: DataFrame, texts: Texts) -> DataFrame:
     return out
 
 
-def small(df: DataFrame) -> DataFrame:
-    """A hint to broadcast, only where a count finds the table small; else the join shuffles."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 class Texts:
     """The texts of classes, found among the documents by their least id, and told from rows with the same id by their key."""
 

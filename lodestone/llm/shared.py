@@ -8,7 +8,9 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+BROADCAST_ROWS = 500_000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 
@@ -57,3 +59,8 @@ def emptied(*tables: DataFrame) -> None:
     for df in tables:
         for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
             df.sparkSession.range(0, numPartitions=1).write.mode("overwrite").parquet(path)
+
+
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a hint to broadcast it, only where a count finds at most ``most`` rows; else the join shuffles."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
