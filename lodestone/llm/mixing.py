@@ -76,10 +76,17 @@ def systematic_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``docs`` with each row as many times as the mix takes it. Rows that share id, source and size share their copies."""
-    plan = systematic_mix(docs, id_col, text_col, source_col).groupBy(id_col, source_col, "size").agg(F.ceil(F.sum("copies") / F.count("*")).alias("copies"))
-    plan = plan.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col("size").alias("__size"), F.col("copies").alias("__copies"))
+    """``docs`` with each row as many times as the mix takes it. Rows that agree in id, source and size share out their copies."""
+    plan = systematic_mix(docs, id_col, text_col, source_col).groupBy(id_col, source_col, "size").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
+    plan = plan.where("__copies > 0").select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col("size").alias("__size"), "__copies", "__rows")
+    plan = written(plan, "mix-plan")
     rows = docs.withColumn("__n", word_count(F.col(text_col)))
     same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size"))
-    out = rows.join(plan, same).where("__copies > 0")
+    out = rows.join(plan, same)
+    if not plan.where("__rows > 1").isEmpty():
+        # the kth of c such rows gets its part of their copies: together exactly what the plan gives them
+        k = F.row_number().over(W.partitionBy("__id", "__source", "__size").orderBy(F.xxhash64(text_col)))
+        part = F.floor(F.col("__copies") * k / F.col("__rows")) - F.floor(F.col("__copies") * (k - 1) / F.col("__rows"))
+        several = rows.join(plan.where("__rows > 1"), same).withColumn("__copies", part.cast("long")).where("__copies > 0")
+        out = rows.join(plan.where("__rows = 1"), same).unionByName(several)
     return out.withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
