@@ -32,7 +32,8 @@ from lodestone.llm.shared import written
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_CHARS = 32_768
 SPACE = "▁"
-CACHED_WORDS, CACHED_LENGTH = 120_000, 32
+CACHED_WORDS, CACHED_LENGTH, CACHED_PAIRS = 120_000, 32, 1_000_000
+SOLVED_ROWS = 256  #: matrices that a task combines, about
 
 
 class Vocabulary:
@@ -54,6 +55,7 @@ class Vocabulary:
         self.unknown = m.unk_id()
         self.max_len = max(map(len, self.id))
         self.follows: dict[str, dict[str, bool]] = {}
+        self.pairs = 0
         self.known = {t: self.merge(t) == [t] for t in self.id}
         # a tree by character: (children, the piece that ends here if it is the encoding of its own text)
         self.tree: dict = {}
@@ -90,6 +92,10 @@ class Vocabulary:
     def compatible(self, a: str, b: str) -> bool:
         after = self.follows.setdefault(a, {})
         if (got := after.get(b)) is None:
+            if self.pairs >= CACHED_PAIRS:
+                self.follows.clear()
+                self.pairs, after = 0, self.follows.setdefault(a, {})
+            self.pairs += 1
             got = after[b] = self.merge(a + b) == [a, b]
         return got
 
@@ -422,8 +428,9 @@ def encode(docs: DataFrame, text_col: str = "text", carry: list[str] | None = No
     chunks = written(giants.mapInArrow(chunked, f"rid long, kept {kind}, k int, n int, window string, left int, right int"), "pieces-chunks")
     if not chunks.isEmpty():
         moved = chunks.select("rid", "k", "n", "window", "left", "right").mapInArrow(transfer, "rid long, k int, n_in int, weights binary")
-        # one row per chunk of one document: a text is at most 2 GB, so a group is at most 65,536 small matrices
-        states = moved.groupBy("rid").applyInPandas(solve, "rid long, k int, enter int, leave int")
+        # documents are dealt to tasks of about SOLVED_ROWS matrices; a text is at most 2 GB, so one has at most 65,536 small ones
+        tasks = max(1, -(-chunks.count() // SOLVED_ROWS))
+        states = moved.repartition(tasks, "rid").groupBy("rid").applyInPandas(solve, "rid long, k int, enter int, leave int")
         traced = chunks.join(states, ["rid", "k"]).mapInArrow(trace, f"rid long, kept {kind}, k int, ids array<int>")
         whole = traced.groupBy("rid").agg(F.first("kept").alias("kept"), F.array_sort(F.collect_list(F.struct("k", "ids"))).alias("parts"))
         out = out.unionByName(whole.select("kept", F.flatten(F.col("parts.ids")).alias("ids"), F.size("parts").alias("n_chunks")))
