@@ -11,7 +11,8 @@ Inside roles and texts a backslash is put into each ``<|`` (and one more where t
 line ends in roles are escaped. The mask lists where texts of the assistant stand in the result.
 
 Defined results: null roles and texts are empty; a message whose parent is null or missing is a root; cycles belong to no root
-and are left out; ties between branches go to the smaller leaf; an empty table gives no rows. A conversation is one row of the
+and are left out, and so are branches that hang on one; rows that repeat tree and node are one message (the least parent, role
+and text, the largest score); ties between branches go to the smaller leaf; an empty table gives no rows. A conversation is one row of the
 result by its nature, and so is gathered in one task.
 """
 
@@ -84,17 +85,19 @@ def paths(nodes: DataFrame) -> DataFrame:
     parents = up.select(F.col("tree").alias("t"), F.col("up").alias("p")).distinct()
     leaves = keys.select("tree", "node").distinct().join(parents, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("p")), "left_anti")
     found = written(leaves.select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("back")), "tree-paths")
+    # a path has no more messages than its tree; what still climbs after that many steps is on a cycle or hangs on one
+    most = keys.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     step = 1
-    while not up.isEmpty():
+    while step < 2 * most and not up.isEmpty():
         jump = up.select(F.col("tree").alias("t"), F.col("node").alias("from"), "up")
         more = found.join(jump, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("from"))).select("tree", "leaf", F.col("up").alias("node"), (F.col("back") + step).alias("back"))
-        grown = found.count()
         found = written(found.unionByName(more), "tree-paths")
-        if found.count() == grown:  # only cycles are left to climb
-            break
         up = written(up.join(jump.withColumnRenamed("up", "next"), F.col("tree").eqNullSafe(F.col("t")) & (F.col("up") == F.col("from"))).select("tree", "node", F.col("next").alias("up")), "tree-up")
         step *= 2
-    return found
+    # leaves whose path ends in a root: a message without a parent among the messages
+    rooted = keys.join(parent, F.col("tree").eqNullSafe(F.col("t")) & F.col("parent").eqNullSafe(F.col("p")), "left_anti").select(F.col("tree").alias("t"), F.col("node").alias("r"))
+    ends = found.join(rooted, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("r"))).select(F.col("tree").alias("t"), F.col("leaf").alias("l"))
+    return found.join(ends, F.col("tree").eqNullSafe(F.col("t")) & (F.col("leaf") == F.col("l")), "left_semi")
 
 
 def conversations(nodes: DataFrame, best: int | None = 1) -> DataFrame:
