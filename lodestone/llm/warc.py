@@ -3,7 +3,7 @@
 Writer: equal payloads of at least ``least`` bytes are stored once, as a response under the smallest id; the others become
 revisit records that refer to it. Groups are found by digest with combining aggregates, so a payload that very many pages
 share moves as one row a task. Records are gzip members of their own, written by Spark's text sink; an empty member is the
-"line" separator, which every gzip reader skips. Files are as large as Spark's partitions.
+"line" separator, which every gzip reader skips. A file has at most ``FILE_RECORDS`` records.
 
 Reader: each file is read record by record, with or without compression. A record counts if its member inflates and passes
 gzip's checksum, its version line, header and length are whole, and its payload digest holds. Otherwise the reader looks for
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.shared import shared_path, written
 
 LEAST = 100
+FILE_RECORDS = 10_000  #: records of an archive at most, as a reader takes whole files
 EMPTY_MEMBER = gzip.compress(b"", mtime=0)
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _CONTROL = re.compile(rb"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]|\r(?!\n)")
@@ -50,7 +51,7 @@ def record(kind: str, page_id: int | None, url: str | None, body: bytes, digest:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST) -> None:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST, file_records: int = FILE_RECORDS) -> None:
     body = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), body.alias("body"), F.sha2(body, 256).alias("digest"))
     shared = rows.where(F.octet_length("body") >= least).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
@@ -67,7 +68,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 
     members_of = rows.join(shared, "digest", "left").select("id", "url", "body", "digest", "first").mapInArrow(members, "member binary")
     separator = EMPTY_MEMBER.decode("latin-1")
-    members_of.select(F.col("member").cast("string").alias("value")).write.option("lineSep", separator).option("encoding", "ISO-8859-1").text(path)
+    members_of.select(F.col("member").cast("string").alias("value")).write.option("maxRecordsPerFile", file_records).option("lineSep", separator).option("encoding", "ISO-8859-1").text(path)
 
 
 def _checked(data: bytes) -> tuple[dict[str, str], bytes] | str:
@@ -85,7 +86,7 @@ def _checked(data: bytes) -> tuple[dict[str, str], bytes] | str:
         if not colon:
             return "header line without colon"
         head[name.strip().lower().decode("latin-1")] = value.strip().decode("utf-8", "replace")
-    if not head.get("content-length", "").isdigit():
+    if not re.fullmatch("[0-9]{1,18}", head.get("content-length", "")):
         return "no length"
     size = int(head["content-length"])
     block = data[end + 4 : end + 4 + size]
@@ -150,7 +151,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
         elif m := _VERSION.match(data, at):
             # a plain record ends where its length says; without a usable length, the check fails
             head = data.find(b"\r\n\r\n", m.end())
-            size = re.search(rb"(?im)^content-length:\s*(\d+)", data[at:head]) if head >= 0 else None
+            size = re.search(rb"(?im)^content-length:[ \t]*([0-9]{1,18})[ \t]*\r?$", data[at:head]) if head >= 0 else None
             end = head + 8 + int(size[1]) if size else at
             got = _checked(data[at:end]) if size else "no length"
             if not isinstance(got, str):
@@ -202,6 +203,9 @@ def round_trip(pages: DataFrame) -> DataFrame:
     path = shared_path(spark, "warc")
     write_archives(pages, path)
     records = written(read_archives(spark, path).where("gap IS NULL"), "warc-records")
-    responses = records.where("record_type = 'response'").groupBy(F.col("page_id").alias("of")).agg(F.max("payload_bytes").alias("of_bytes"))
-    out = records.join(responses, F.col("refers_to") == F.col("of"), "left")
+    # a page id may be repeated, so the response is the one with the digest too; only responses that are referred to can move
+    asked = records.where("record_type = 'revisit'").select(F.col("refers_to").alias("page_id"), "payload_digest").distinct()
+    responses = records.where("record_type = 'response'").join(asked, ["page_id", "payload_digest"], "left_semi")
+    responses = responses.groupBy(F.col("page_id").alias("of"), F.col("payload_digest").alias("of_digest")).agg(F.max("payload_bytes").alias("of_bytes"))
+    out = records.join(responses, (F.col("refers_to") == F.col("of")) & (F.col("payload_digest") == F.col("of_digest")), "left")
     return out.select("page_id", F.coalesce("payload_bytes", "of_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
