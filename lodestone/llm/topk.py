@@ -12,8 +12,9 @@ A block of candidates reports only its upper bins, down to the one that holds it
 lower. Of ties it reports its k smallest ids, of which the overall smallest are a part.
 
 Defined results: vectors that are null or hold a null or a non-finite component, and rows with a null id, take no part; shorter
-vectors count as filled up with zeros; a query never returns its own id; rows that repeat an id are candidates of their own;
-components are limited to 2 ** 31 after scaling, and scores are 64-bit sums.
+vectors count as filled up with zeros; a query never returns its own row; other rows with its id are candidates, and rows that
+repeat an id are queries and candidates of their own. Products are exact at any size; components beyond 64 bits after scaling,
+and scores beyond them, count as the nearest number of 64 bits (the least one aside).
 """
 
 from __future__ import annotations
@@ -29,12 +30,14 @@ from pyspark.sql import functions as F
 from lodestone.llm.shared import written
 
 BINS = 256
+NONE = np.iinfo(np.int64).min  #: the score of a query with its own row
+MOST = np.iinfo(np.int64).max
 
 
 def integers(vector: Column, scale: int = 64) -> Column:
     """floor(scale * x) of each component; null where the vector takes no part."""
     x = F.transform(vector, lambda v: F.floor(F.lit(float(scale)) * v.cast("double")))
-    usable = vector.isNotNull() & F.forall(vector, lambda v: v.isNotNull() & (F.abs(v.cast("double")) < F.lit(float(2**31) / scale)) & ~F.isnan(v.cast("double")))
+    usable = vector.isNotNull() & F.forall(vector, lambda v: v.isNotNull() & (F.abs(v.cast("double")) < F.lit(float("inf"))) & ~F.isnan(v.cast("double")))
     return F.when(F.coalesce(usable, F.lit(False)), x)
 
 
@@ -42,7 +45,8 @@ def blocks(vectors: DataFrame, rows: int, name: str) -> DataFrame:
     """(id, v, at) to one row per block: name, ids, data. A block has about ``rows`` rows, by the count."""
     n = max(1, -(-vectors.count() // rows))
     spread = vectors.withColumn(name, F.pmod(F.xxhash64("at"), F.lit(n)))
-    return spread.groupBy(name).agg(F.collect_list("id").alias(f"{name}_ids"), F.flatten(F.collect_list("v")).alias(f"{name}_data"))
+    rows = F.collect_list(F.struct("id", "at", "v"))
+    return spread.groupBy(name).agg(rows.alias("r")).select(name, F.col("r.id").alias(f"{name}_ids"), F.col("r.at").alias(f"{name}_at"), F.flatten("r.v").alias(f"{name}_data"))
 
 
 def scores(ids, data) -> np.ndarray:
@@ -51,12 +55,16 @@ def scores(ids, data) -> np.ndarray:
 
 
 def _product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    bound = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
+    bound = max(abs(int(q.max(initial=0))), abs(int(q.min(initial=0)))) * max(abs(int(c.max(initial=0))), abs(int(c.min(initial=0)))) * q.shape[1]
     if bound < 2**24:
         return (q.astype(np.float32) @ c.astype(np.float32).T).astype(np.int64)
     if bound < 2**53:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    return q @ c.T
+    if bound <= MOST:
+        return q @ c.T
+    # whole numbers of any size, for the few rows that need them
+    wide = q.astype(object) @ c.astype(object).T
+    return np.clip(wide, -MOST, MOST).astype(np.int64)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, query_rows: int = 512, candidate_rows: int = 4096) -> DataFrame:
@@ -64,8 +72,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), integers(F.col(vector_col), scale).alias("v"), is_query.alias("is_query"))
     rows = rows.where("id IS NOT NULL AND v IS NOT NULL").withColumn("at", F.monotonically_increasing_id())
     rows = written(rows, "topk-vectors")
-    dim = rows.agg(F.max(F.size("v")), F.max(F.array_max(F.transform("v", F.abs)))).first()
-    width, largest = max(1, dim[0] or 0), max(1, dim[1] or 0)
+    dim = rows.agg(F.max(F.size("v")), F.max(F.array_max("v")), F.min(F.array_min("v"))).first()
+    width, largest = max(1, dim[0] or 0), max(1, abs(dim[1] or 0), abs(dim[2] or 0))
     rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size("v"))))
     q = written(blocks(rows.where("is_query"), query_rows, "q"), "topk-queries")
     c = written(blocks(rows, candidate_rows, "c"), "topk-candidates")
@@ -73,8 +81,8 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     # each query block is sent to each candidate block: queries are a stated set, met in blocks
     met = q.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, groups - 1)).cast("long"))))
 
-    span = 2 * largest * largest * width + 1
-    low0 = -largest * largest * width
+    low0 = -min(largest * largest * width, MOST)
+    span = 1 - 2 * low0
     step = 1
     while step * BINS < span:
         step *= BINS
@@ -91,26 +99,27 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
         step //= BINS
     state = kth.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("pos", "low", "need"))).alias("bounds"))
     best = _kept(met.join(state, "q", "left").join(c, "c"), k)
-    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("id"))
+    order = W.partitionBy("query_id", "query_at").orderBy(F.col("score").desc(), F.col("id"))
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
 def _blocks(batch: pa.RecordBatch, r: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query ids, candidate ids and their scores; a query's own id scores least."""
+    """Query ids, candidate ids and their scores; a query's own row scores ``NONE``."""
     qi, ci = batch.column("q_ids")[r].values.to_numpy(), batch.column("c_ids")[r].values.to_numpy()
     s = _product(scores(qi, batch.column("q_data")[r]), scores(ci, batch.column("c_data")[r]))
-    order = np.argsort(ci, kind="stable")
-    at = np.searchsorted(ci[order], qi)
-    for i, a in enumerate(at):
-        while a < len(ci) and ci[order[a]] == qi[i]:
-            s[i, order[a]] = np.iinfo(np.int64).min
-            a += 1
+    _, i, j = np.intersect1d(batch.column("q_at")[r].values.to_numpy(), batch.column("c_at")[r].values.to_numpy(), assume_unique=True, return_indices=True)
+    s[i, j] = NONE
     return qi, ci, s
 
 
+def _beyond(s: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """s - low for s >= low, as numbers of 64 bits without a sign: the range of scores may be as wide as that."""
+    return s.view(np.uint64) - np.ascontiguousarray(low, np.int64).view(np.uint64)[:, None]
+
+
 def _bounds(batch: pa.RecordBatch, r: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """low and need of each query of a block; queries with no more than k candidates at all have none: every score counts."""
-    low, need = np.full(n, np.iinfo(np.int64).min + 1), np.zeros(n, np.int64)
+    low, need = np.full(n, NONE + 1), np.zeros(n, np.int64)
     b = batch.column("bounds")[r].values
     if b is not None and len(b):
         pos = b.field("pos").to_numpy()
@@ -125,13 +134,15 @@ def _located(pairs: DataFrame, step: int, low0: int, k: int, first: bool) -> Dat
         for batch in batches:
             for r in range(batch.num_rows):
                 qi, _, s = _blocks(batch, r)
-                own = s == np.iinfo(np.int64).min
+                own = s == NONE
                 if first:
                     low, need, bins = np.full(len(qi), low0), np.full(len(qi), k), int((-2 * low0) // step) + 1
                 else:
                     (low, need), bins = _bounds(batch, r, len(qi)), BINS
-                b = (s - low[:, None]) // step
-                b[own | (b < 0) | (b >= bins)] = -1
+                b = _beyond(s, low) // np.uint64(step)
+                out = own | (s < low[:, None]) | (b >= bins)
+                b = b.astype(np.int64)
+                b[out] = -1
                 flat = (b + 1) + (np.arange(len(qi)) * (bins + 1))[:, None]
                 h = np.bincount(flat.ravel(), minlength=len(qi) * (bins + 1)).reshape(len(qi), bins + 1)[:, 1:]
                 above = np.cumsum(h[:, ::-1], axis=1)[:, ::-1] - h  # in higher bins
@@ -154,7 +165,7 @@ def _kept(pairs: DataFrame, k: int) -> DataFrame:
             for r in range(batch.num_rows):
                 qi, ci, s = _blocks(batch, r)
                 low, need = _bounds(batch, r, len(qi))
-                own = s == np.iinfo(np.int64).min
+                own = s == NONE
                 i, j = np.nonzero((s > low[:, None]) & ~own)
                 ti, tj = np.nonzero((s == low[:, None]) & ~own)
                 if len(ti):
@@ -163,6 +174,7 @@ def _kept(pairs: DataFrame, k: int) -> DataFrame:
                     place = np.arange(len(ti)) - np.searchsorted(ti, ti)
                     near = place < need[ti]
                     i, j = np.r_[i, ti[near]], np.r_[j, tj[near]]
-                yield pa.RecordBatch.from_arrays([pa.array(qi[i]), pa.array(ci[j]), pa.array(s[i, j])], ["query_id", "id", "score"])
+                at = batch.column("q_at")[r].values.to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(qi[i]), pa.array(at[i]), pa.array(ci[j]), pa.array(s[i, j])], ["query_id", "query_at", "id", "score"])
 
-    return pairs.mapInArrow(keep, "query_id long, id long, score long")
+    return pairs.mapInArrow(keep, "query_id long, query_at long, id long, score long")

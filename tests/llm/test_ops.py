@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -55,7 +56,7 @@ def test_directory_splits_only_overfull_buckets(spark):
 def test_exact_dedup_edges(spark):
     docs = spark.createDataFrame([(1, "x"), (1, "x"), (1, "y"), (None, "x"), (None, "z")], "doc_id long, text string")
     got = sorted(((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.exact_duplicates(docs).collect()), key=str)
-    assert got == sorted([(1, 1, 3, True), (1, 1, 1, True), (None, 1, 3, False), (None, None, 1, True)], key=str)
+    assert got == sorted([(1, 1, 3, True), (1, 1, 3, True), (1, 1, 1, True), (None, 1, 3, False), (None, None, 1, True)], key=str)
     assert exact_dedup.exact_duplicates(docs.where("doc_id = 9")).count() == 0
     assert exact_dedup.drop_exact_duplicates(docs.withColumn("key", F.lit(1)).withColumn("norm", F.lit(2))).count() == 3
 
@@ -93,6 +94,8 @@ def test_targets_are_filled_and_stop_at_three_times_a_source(spark):
     again = {(r["doc_id"], r["copies"]) for r in mixing.systematic_mix(docs.repartition(7)).collect()}
     assert again == {(r["doc_id"], r["copies"]) for r in got}
     assert mixing.mixed(docs).count() == sum(r["copies"] for r in got)
+    same = docs.select(F.when(F.col("doc_id") % 2 == 0, 7).alias("doc_id"), F.lit("a b").alias("text"), F.lit("s").alias("source"))  # rows that can't be told apart
+    assert mixing.mixed(same).count() == sum(r["copies"] for r in mixing.systematic_mix(same).collect())
 
 
 def test_mixing_edges(spark):
@@ -127,6 +130,15 @@ def test_pieces_are_those_of_the_library(spark, library):
     assert pieces.encode(docs.where("doc_id < 0")).count() == 0
 
 
+def test_pieces_of_a_whole_table(spark, library):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    text = {r["doc_id"]: (r["text"] or "").replace("\u2581", " ") for r in docs.collect()}
+    coded = pieces.encode(docs, carry=["doc_id"], chunk_chars=2_000)
+    got = {r["doc_id"]: r for r in coded.collect()}
+    assert {i: r["ids"] for i, r in got.items()} == {i: library.encode(t) for i, t in text.items()} and max(r["n_chunks"] for r in got.values()) > 3
+    assert {r["doc_id"]: r["text"] for r in pieces.decode(coded, ["doc_id"]).collect()} == text
+
+
 def test_max_plus_product_is_associative():
     draw = np.random.default_rng(1)
     a, b, c = (np.where(draw.random((4, 4)) < 0.4, 0, -np.inf).astype(np.float32) for _ in range(3))
@@ -294,6 +306,15 @@ def test_salvage_goes_on_after_damage():
     assert list(warc.salvage(b"junk"))[0][2] is None and list(warc.salvage(b"")) == []
 
 
+@pytest.mark.parametrize("length", ["\u00b2", "9" * 5000, "-1", "", "1e3", "99999999999999999999", "18446744073709551616"])
+def test_salvage_of_damaged_lengths(length):
+    good = warc.record("response", 1, "u", b"x" * 200, hashlib.sha256(b"x" * 200).hexdigest(), None)
+    bad = re.sub(rb"(?m)^Content-Length: [0-9]+\r$", b"Content-Length: " + length.encode() + b"\r", good, count=1)
+    for parts in ([bad, good], [gzip.compress(bad), gzip.compress(good)]):
+        found = list(warc.salvage(b"".join(parts)))
+        assert sum(h is not None for _, _, h, _ in found) == 1 and found[0][2] is None and sum(n for _, n, *_ in found) == sum(map(len, parts))
+
+
 def test_archives_round_trip(spark):
     same, small = "x" * 100, "y" * 99
     rows = [(3, "http://a", same), (1, None, same), (2, "http://b\n", same), (4, "c", small), (5, "c", small), (6, None, None), (None, "u", same), (7, "z", "é" * 60)]
@@ -303,6 +324,10 @@ def test_archives_round_trip(spark):
     kinds = {1: ("response", None), 2: ("revisit", 1), 3: ("revisit", 1), None: ("revisit", 1)}
     assert got == {i: (len(b), *kinds.get(i, ("response", None)), hashlib.sha256(b).hexdigest()) for i, b in text.items()}
     assert warc.round_trip(pages.where("page_id = 99")).count() == 0
+    # a repeated id with other payloads: a revisit has the length of the response with its digest
+    twice = spark.createDataFrame([(1, "a", "x" * 200), (1, "a", "y" * 500), (2, "b", "x" * 200), (3, "c", "z" * 300_000)], "page_id long, url string, html string")
+    got = sorted((r["page_id"], r["record_type"], r["payload_bytes"]) for r in warc.round_trip(twice).collect())
+    assert got == [(1, "response", 200), (1, "response", 500), (2, "revisit", 200), (3, "response", 300_000)]
 
 
 # chat
@@ -318,11 +343,12 @@ def test_format_can_be_undone():
 
 def test_branches_are_ranked_and_cycles_left_out(spark):
     rows = [("t", 1, None, "user", "hi", 0.0), ("t", 2, 1, "assistant", "a", 1.0), ("t", 3, 1, "assistant", "b", 2.0), ("t", 4, 2, "user", "c", 5.0), ("t", 5, 3, "user", "d", 1.0), ("t", 6, 1, "assistant", "e", 3.0), ("u", 1, 99, None, None, 0.0), ("v", 1, 2, "user", "x", 0.0), ("v", 2, 1, "user", "y", 0.0)]
+    rows += [("w", 1, 2, "user", "x", 0.0), ("w", 2, 1, "user", "y", 0.0), ("w", 3, 1, "user", "hangs on a cycle", 0.0), ("w", 4, 4, "user", "its own parent", 0.0), ("w", 5, None, "user", "root", 0.0)]
     nodes = spark.createDataFrame(rows, "tree string, node long, parent long, role string, text string, score double")
     nodes = nodes.withColumn("role", F.coalesce("role", F.lit(""))).withColumn("text", F.coalesce("text", F.lit("")))
     got = {(r["tree"], r["rank"]): [t for _, t in reply_trees.parsed(r["formatted"])] for r in reply_trees.conversations(nodes, 2).collect()}
-    assert got == {("t", 1): ["hi", "a", "c"], ("t", 2): ["hi", "b", "d"], ("u", 1): [""]}
-    assert len(reply_trees.conversations(nodes, None).collect()) == 4
+    assert got == {("t", 1): ["hi", "a", "c"], ("t", 2): ["hi", "b", "d"], ("u", 1): [""], ("w", 1): ["root"]}
+    assert len(reply_trees.conversations(nodes, None).collect()) == 5
 
 
 def test_long_and_odd_conversations(spark):
@@ -392,18 +418,36 @@ def test_personal_data_edges(spark):
 # top-k
 
 
+def brute_top_k(rows, k):
+    floors = [(i, [math.floor(64 * x) for x in np.array(e, np.float32).astype(float).tolist()]) for i, e in rows if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)]
+    want = []
+    for at, (q, e) in enumerate(floors):
+        if q % 20 == 0:
+            best = sorted((-sum(a * b for a, b in zip(e, c, strict=True)), i) for n, (i, c) in enumerate(floors) if n != at)[:k]
+            want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    return sorted(want)
+
+
 def test_top_k_is_that_of_brute_force(spark):
     draw = np.random.default_rng(9)
     rows = [(i, [float(x) for x in draw.integers(-3, 4, 6) / 64]) for i in range(200)] + [(1000 + i, [0.01, 0.02, 0.0, 0.0, 0.0, 0.03]) for i in range(60)]
-    rows += [(2000, None), (2001, [float("nan")] * 6), (2002, [None] * 6), (2003, [float("inf")] * 6), (None, [1.0] * 6), (20, [1.0] * 6)]
-    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    good = [(i, np.floor(64 * np.array(e, np.float32).astype(float)).astype(int)) for i, e in rows if i is not None and i not in (2000, 2001, 2002, 2003)]
+    rows += [(2000, None), (2001, [float("nan")] * 6), (2002, [None] * 6), (2003, [float("inf")] * 6), (None, [1.0] * 6), (20, [1.0] * 6), (40, rows[40][1])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("x")).withColumn("at", F.lit(1))
     for k in (5, 1000):
-        got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(v, F.col("vec_id") % 20 == 0, k, query_rows=7, candidate_rows=50).where("query_id <> 20").collect())
-        want = []
-        for q, e in good:
-            if q % 20 == 0 and q != 20:
-                best = sorted(((-int(e @ c), i) for i, c in good if i != q))[:k]
-                want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
-        assert got == sorted(want)
+        got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(v, F.col("vec_id") % 20 == 0, k, query_rows=7, candidate_rows=50).collect())
+        assert got == brute_top_k(rows, k)
     assert topk.top_k(v.where("vec_id < 0"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+@pytest.mark.parametrize("size", [3e5, 3e7, 5e8, 2e9])
+def test_top_k_of_large_components(spark, size):
+    draw = np.random.default_rng(10)
+    rows = [(i, [float(x) for x in draw.normal(0, size if i % 3 else 1, 4).astype(np.float32)]) for i in range(60)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(v, F.col("vec_id") % 20 == 0, 5, query_rows=2, candidate_rows=20).collect())
+    most = 2**63 - 1
+    want = brute_top_k(rows, 5)
+    if all(abs(s) <= most for *_, s in want):
+        assert got == want
+    else:
+        assert [(q, n) for q, n, *_ in got] == [(q, n) for q, n, *_ in want] and {s for *_, s in got} <= {min(s, most) for *_, s in want}
