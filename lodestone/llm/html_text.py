@@ -31,6 +31,8 @@ CONTAINERS = frozenset("article aside body details dialog div dl fieldset figure
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = frozenset("nav footer aside form menu dialog button fieldset head label".split())
 MAIN = frozenset("article main".split())
+# First parts of names that say how a page is laid out, such as has-sidebar; these mark nothing.
+LAYOUT = frozenset("has have hide hides is no not show shows with without".split())
 # Names of classes, ids and roles that mark furniture; a name counts as a whole or between hyphens and underscores.
 NAMES = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments complementary contentinfo cookie cookies disqus footer header menu menubar modal nav navbar navigation newsletter notice notices pagination popup promo promoted related reply replies respond search share sharing sidebar skip social sponsor sponsored subscribe toolbar widget".split())
 # Frequent words of English, German, French and Spanish.
@@ -67,7 +69,17 @@ class _Open:
 
 
 def _named_furniture(attributes: str) -> bool:
-    return any(n in NAMES for m in _NAMED.finditer(attributes) for x in re.split(r"\s+", (m[1] or m[2] or m[3] or "").lower()) for n in (x, *re.split(r"[-_]", x)))
+    for m in _NAMED.finditer(attributes):
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = re.split(r"[-_]", name)
+            if name in NAMES or (parts[0] not in LAYOUT and any(p in NAMES for p in parts)):
+                return True
+    return False
+
+
+def _ends_itself(tag: str, attributes: str) -> bool:
+    """Only drawings and formulas are over at a slash before the tag's end, unless the slash is a value's."""
+    return tag in ("svg", "math") and re.search(r"(?:^|[\s\"'])/$", attributes) is not None
 
 
 def blocks(page: str) -> list[Block]:
@@ -114,7 +126,7 @@ def blocks(page: str) -> list[Block]:
             continue
         tag, close = m[2].lower(), bool(m[1])
         if tag in RAW:
-            if not close and not m[3].endswith("/"):
+            if not close and not _ends_itself(tag, m[3]):
                 end = _RAW_END[tag].search(page, at)
                 at = end.end() if end else len(page)
             continue
@@ -133,7 +145,7 @@ def blocks(page: str) -> list[Block]:
                 if stack[k].tag == tag:
                     del stack[k:]
                     break
-        elif not m[3].endswith("/"):
+        else:
             top = stack[-1]
             if tag == "body":
                 del stack[1:]
@@ -172,13 +184,13 @@ def labels(found: list[Block]) -> list[bool]:
     seen: dict[int, bool] = {}
     for b, x in zip(found, first, strict=True):
         before.append(seen.get(b.part))
-        if x is not None and not (b.part and not x):  # furniture inside a main part says nothing of its neighbours
+        if x is not None and not b.furniture and not (b.part and not x):  # furniture says nothing of its neighbours
             seen[b.part] = x
     after: list[bool | None] = [None] * len(found)
     seen = {}
     for i in range(len(found) - 1, -1, -1):
         after[i] = seen.get(found[i].part)
-        if first[i] is not None and not (found[i].part and not first[i]):
+        if first[i] is not None and not found[i].furniture and not (found[i].part and not first[i]):
             seen[found[i].part] = bool(first[i])
     out = []
     for b, x, s, p, n in zip(found, first, stops, before, after, strict=True):
