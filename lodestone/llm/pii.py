@@ -7,7 +7,7 @@ to ``MOST`` tokens that begin and end with a letter, a digit or an opening mark
 whole span: its shape, length, digit count, checksum, parts, and the words before and after. Segment scores are sums of learned
 weights and of a weight for each pair of neighbouring labels. Dynamic programming over (end, label) with segments of bounded
 length chooses boundaries and types together; a segment without a digit or @ can only be outside, so stretches without
-those characters are left out before. Weights are learned on the driver from generated examples, by gradient ascent on the
+those characters are left out before, and long stretches are cut where no segment can be. Weights are learned on the driver from generated examples, by gradient ascent on the
 conditional likelihood with the forward and backward sums over all segmentations.
 
 Added kinds: email, ip, card and phone in forms that the patterns miss, and secret (assigned keys and tokens). An added span
@@ -45,6 +45,10 @@ NEAR = 40  #: characters on each side of a digit or @ that are looked at
 _TOKEN = re.compile(r"(?=[^\W\d_]*[0-9])(?=[0-9]*[^\W\d_])[^\W_]{12,}|[^\W\d_]+|[0-9]+|\s+|.", re.S)
 _MARK = re.compile(r"[0-9@]")
 _DIGIT = re.compile(r"[0-9]")
+_NUMBER = re.compile(r"[0-9]+")
+_CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
+PIECE, LEAD = 50_000, 200  #: a longer stretch is cut after so many characters; features look back so far at most
+_CUT = re.compile(r"(?<=[^\W\d_])\s+")
 
 
 def luhn(digits: str) -> bool:
@@ -58,7 +62,7 @@ def _admits(kind: str, found: str) -> bool:
     if kind == "email":
         return True
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in found.split("."))
+        return all(len(p := x.lstrip("0")) <= 3 and int(p or 0) <= 255 for x in found.split("."))
     digits = re.sub(r"[^0-9]", "", found)
     return 13 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 9 <= len(digits) <= 15
 
@@ -79,12 +83,21 @@ def _emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", seen)
 
 
+def _ips(text: str) -> Iterator[tuple[int, int]]:
+    """As the pattern finds them, in linear time: a chain of numbers between single dots holds one for each four numbers in turn."""
+    for chain in _CHAIN.finditer(text):
+        parts = list(_NUMBER.finditer(text, *chain.span()))
+        for k in range(0, len(parts) - 3, 4):
+            yield parts[k].start(), parts[k + 3].end()
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     out: list[tuple[str, int, int]] = []
     if "@" in text:
         out += [("email", a, b) for a, b in _emails(text)]
     if _DIGIT.search(text):
-        for kind in ("ip", "card", "phone"):
+        out += [("ip", a, b) for a, b in _ips(text) if _admits("ip", text[a:b])]
+        for kind in ("card", "phone"):
             if kind == "phone" and "+" not in text:
                 continue
             out += [(kind, *m.span()) for m in BASE[kind].finditer(text) if _admits(kind, m[0])]
@@ -135,6 +148,15 @@ def inner_features(span: str, shape: str) -> tuple[str, ...]:
     return tuple(out)
 
 
+def pieces(text: str, low: int, high: int) -> Iterator[tuple[int, int, int]]:
+    """(lead, start, end) of parts of a stretch: a cut is white space after a letter, which no candidate segment holds."""
+    at = low
+    while high - at > PIECE and (m := _CUT.search(text, at + PIECE, high)):
+        yield max(low, at - LEAD), at, m.end()
+        at = m.end()
+    yield max(low, at - LEAD), at, high
+
+
 def candidates(text: str, toks: list[tuple[int, int, str]]) -> list[list[tuple[int, tuple[str, ...]]]]:
     """For each end, the segments (first token, features) that may be more than outside."""
     out: list[list[tuple[int, tuple[str, ...]]]] = [[] for _ in range(len(toks) + 1)]
@@ -319,11 +341,13 @@ def added_spans(text: str, base: list[tuple[str, int, int]], model: Model) -> li
     """The model's spans that overlap no base span."""
     out = []
     for low, high in windows(text):
-        part = text[low:high]
-        toks = tokens(part)
-        for i, j, y in model.best(candidates(part, toks)):
-            a, b = low + toks[i][0], low + toks[j - 1][1]
-            out.append((LABELS[y], a, b))
+        for lead, start, end in pieces(text, low, high):
+            part = text[lead:end]
+            toks = tokens(part)
+            for i, j, y in model.best(candidates(part, toks)):
+                a, b = lead + toks[i][0], lead + toks[j - 1][1]
+                if a >= start:  # what the lead holds belongs to the piece before
+                    out.append((LABELS[y], a, b))
     if base and out:
         taken = sorted((a, b) for _, a, b in base)
         tops = list(itertools.accumulate((b for _, b in taken), max))
@@ -337,11 +361,11 @@ def listed(spans: list[tuple[str, int, int]]) -> str:
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
-    """id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added of each row."""
+    """id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_secret of each row; counts of the first four are of base spans."""
     sent = docs.sparkSession.sparkContext.broadcast(model or trained())
     rows = docs.select(id_col, text_col)
     kind = rows.schema[0].dataType.simpleString()
-    names = [id_col, *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_added"]
+    names = [id_col, *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_added", "n_secret"]
     none = hashlib.sha256(b"").hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,14 +375,14 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 out: list[tuple] = []
                 for text in b.column(1).to_pylist():
                     if not text or not _MARK.search(text):
-                        out.append((0, 0, 0, 0, none, "", 0))
+                        out.append((0, 0, 0, 0, none, "", 0, 0))
                         continue
                     base = base_spans(text)
                     more = added_spans(text, base, sent.value)
                     counts = [sum(s[0] == k for s in base) for k in BASE]
-                    out.append((*counts, hashlib.sha256(listed(base).encode()).hexdigest(), listed(base + more), len(more)))
-                types = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64()]
+                    out.append((*counts, hashlib.sha256(listed(base).encode()).hexdigest(), listed(base + more), len(more), sum(s[0] == "secret" for s in more)))
+                types = [pa.int64()] * 4 + [pa.string(), pa.string(), pa.int64(), pa.int64()]
                 cols = [pa.array([r[i] for r in out], t) for i, t in enumerate(types)]
                 yield pa.RecordBatch.from_arrays([b.column(0), *cols], names)
 
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_secret long")

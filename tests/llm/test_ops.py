@@ -240,6 +240,37 @@ def test_held_out_accuracy_on_the_small_table(spark):
     assert zlib.crc32(b"12") % 4 == spark.sql("SELECT crc32(cast('12' AS binary)) % 4").first()[0]
 
 
+def test_network_is_a_plain_convolution():
+    draw, net = random.Random(5), quality.Network(3)
+    texts = [bytes(draw.choice(b"abc \xc3\xa9") for _ in range(draw.randint(0, 200))) for _ in range(40)] + [b"word " * 30, b"", b"abc"]
+    want = []
+    for t in texts:
+        padded, top = t + b"\x00" * 60, [0.0] * quality.FILTERS
+        lag = [next((d for d in quality.LAGS if d <= p < len(t) and padded[p : p + 8] == padded[p - d : p - d + 8]), 0) for p in range(len(padded))]
+        for at in range(0, max(1, len(t)), quality.STRIDE):
+            for f in range(quality.FILTERS):
+                top[f] = max(top[f], sum(float(net.filters[j, padded[at + j], f]) + float(net.back[j, lag[at + j], f]) for j in range(quality.WIDTH)))
+        want.append(top)
+    arrays = [np.frombuffer(t, np.uint8) for t in texts]
+    got = net.pooled(arrays)
+    assert np.allclose(got, want, atol=1e-4)
+    block, quality.BLOCK = quality.BLOCK, 128  # the same in pieces
+    try:
+        assert np.allclose(net.pooled(arrays), want, atol=1e-4)
+    finally:
+        quality.BLOCK = block
+    p = 1 / (1 + np.exp(-(np.array(want) @ net.out + net.bias)))
+    assert np.allclose(net.score(arrays), p, atol=1e-4)
+
+
+def test_quality_learns_from_long_texts_too(spark):
+    rows = [(i, ("good words in a row and more of them " if i % 2 else "x9 q8 z7 !!! ") * 1500) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("label", F.lit(0)).withColumn("__text", F.lit("x"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["predicted"] for r in quality.quality_scores(docs, labels).collect()}
+    assert sum(got[i] == i % 2 for i in range(60)) >= 58
+
+
 def test_quality_edges(spark):
     docs = spark.createDataFrame([(1, None), (None, "x" * 3_000_000), (3, "")], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
@@ -270,6 +301,31 @@ def test_main_text():
     assert html_text.main_text(page) == "\n".join([(running * 3).strip(), "And so on.", (running * 2).strip()])
 
 
+@pytest.mark.parametrize("open_", ['<main class="has-sidebar">', '<div class="content with-sidebar">', '<article class="post no-comments">', "<article data-x=/a/>", "<div id=page />"])
+def test_names_and_slashes(open_):
+    text = "This is the text of the page, and it is long enough to be told by the words that are in it, as it is in the rules of old, with some more. "
+    page = f"<body>{open_}<p>{text * 2}</p><script src=/a/>var leak=1;</script><div class=comments data-x=/a/>Reader says hi</div><svg/><p>{text}</p>"
+    assert html_text.main_text(page).split("\n") == [(text * 2).strip(), text.strip()]
+
+
+def test_density_rules_alone(spark):
+    """The pages of the table without their main parts' tags: words that the rules keep, lose and take from outside."""
+    kept = lost = extra = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        want = Counter(simple(r["html"]).split())
+        got = Counter(html_text.main_text(re.sub("</?article>", "<div>", r["html"])).split())
+        kept, lost, extra = kept + (want & got).total(), lost + (want - got).total(), extra + (got - want).total()
+    print("density rules:", kept, lost, extra)
+    assert lost < 0.05 * (kept + lost) and extra < 0.05 * (kept + lost)
+
+
+def test_html_rows(spark):
+    rows = [(1, None, None), (None, "u", ""), (3, "u", "<p>" + "the word of the day is in this text " * 60_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    got = {r["page_id"]: r["text"] for r in html_text.extracted(pages).collect()}
+    assert got[1] == got[None] == "" and len(got[3]) == 36 * 60_000 - 1 and html_text.extracted(pages.where("page_id = 9")).count() == 0
+
+
 def test_pages_of_the_table(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     want = {r["page_id"]: simple(r["html"]) for r in pages.collect()}
@@ -406,12 +462,31 @@ def test_dynamic_programming_is_the_best_of_all_segmentations():
         assert tuple(model.best(found)) == walk(0, 0)[0][1]
 
 
+def test_long_numbers_and_stretches():
+    import time
+
+    began = time.perf_counter()
+    assert pii.base_spans("1" * 300_000 + " 1.2.3.4.5.6.7.8.9")[:2] == [("ip", 300_001, 300_008), ("ip", 300_009, 300_016)]
+    assert time.perf_counter() - began < 5
+    model = pii.trained(100, 2)
+    text = " ".join(f"call {i} at 555-010-{i % 10000:04d} or a{i}.b@c" for i in range(4000))
+    whole = pii.added_spans(text, [], model)
+    pii.PIECE, size = 1_000_000_000, pii.PIECE
+    try:
+        assert pii.added_spans(text, [], model) == whole and len(text) > 2 * size
+    finally:
+        pii.PIECE = size
+
+
 def test_personal_data_edges(spark):
     rows = [(1, None), (2, ""), (3, "mail a.b@c.de now"), (4, "x" * 200_000 + " 10.0.0.1"), (None, "+1 (269) 555-3296 4524132264652876 x")]
     got = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     none = hashlib.sha256(b"").hexdigest()
     assert got[1]["base_sha256"] == got[2]["base_sha256"] == none and got[3]["spans"] == "email:5:13"
     assert got[4]["spans"] == "ip:200001:200009" and got[3]["base_sha256"] == hashlib.sha256(b"email:5:13").hexdigest()
+    assert all(r["n_secret"] == 0 for r in got.values())
+    twice = spark.createDataFrame([(7, "10.0.0.1")] * 2, "doc_id long, text string").withColumn("spans", F.lit(1))
+    assert [r["n_ip"] for r in pii.personal_data(twice).collect()] == [1, 1] and pii.personal_data(twice.where("doc_id = 1")).count() == 0
     assert got[None]["n_phone"] == 0 and "phone:0:17" in got[None]["spans"] and "card:18:34" in got[None]["spans"]
 
 
