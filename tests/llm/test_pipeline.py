@@ -5,10 +5,12 @@ import numbers
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 from test_ops import brute_components, brute_dedup, docs_of, near_texts
 
 import corpus_pipeline as P
 from lodestone.llm import mixing, quality, queries
+from lodestone.llm.shared import written
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "documents embeddings pages benchmark labels conversations".split()
@@ -47,6 +49,25 @@ def test_near_copies_with_null_and_shared_ids(spark):
     assert sorted(map(repr, got)) == sorted(map(repr, [*firsts, *want]))
 
 
+@pytest.mark.parametrize("empty", [False, True])
+def test_edges_of_each_stage(spark, tmp_path, empty):
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    words = " ".join(f"word{i}" for i in range(30))
+    rows = [(None, None, None, None, None), (None, "", "en", None, 0), (1, words, "en", "a", 9), (1, words, "en", "a", 9), (2, words + " more", None, "a", None), (3, "x " * 400_000, "en", "b", 1), (None, words, "en", "b", 1)]
+    docs = spark.createDataFrame([] if empty else rows, kind).withColumn("size", F.lit(1)).withColumn("__id", F.lit("clash"))
+    spark.createDataFrame([(1, 1, 0)] if not empty else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    counts = []
+    for k, (_, stage) in enumerate(P.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        assert k == len(P.STAGES) - 1 or out.columns == P.COLUMNS
+        docs = written(out, "edges")
+        counts.append(docs.count())
+    # all have label 1; of the equal texts, and then of the near ones, doc 1 stays; what has no words isn't taken
+    assert counts == [0] * 5 if empty else counts[:3] == [7, 4, 3] and counts[3] == counts[4] > 0
+    if not empty:
+        assert {r["doc_id"] for r in docs.collect()} <= {1, 3}
+
+
 def test_run(spark):
     out = P.run(spark, DIR)
     rows = out.collect()
