@@ -1,4 +1,11 @@
-"""The corpus pipeline: each stage works on all documents that its predecessor kept."""
+"""The corpus pipeline: each stage works on all documents that its predecessor kept.
+
+Defined results, for each stage: null texts count as empty ones; null ids, sources and languages are values like others; other
+columns than those of documents go; an empty table gives an empty one. Quality: null and empty texts have a score like all
+others; without labels of both classes, every document has the share of label 1 as its score. Exact dedup: rows that repeat id
+and text are one. Near dedup: texts without words are near to nothing, and all of them stay. Mixing: rows that repeat id, source
+and size share out their copies; documents without words are not taken. Tokens: texts without words have no ids.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import exact_dedup, mixing, ngram_join, pieces, quality
-from lodestone.llm.shared import written
+from lodestone.llm.shared import emptied, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -53,7 +60,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written as Parquet in the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = written(docs, f"pipeline-{k}")
+            if k:
+                emptied(before)
     return docs
