@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.shared import small_batches
+
 # Elements by what they do to text.
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video select textarea title".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -208,6 +210,7 @@ def main_text(page: str | None) -> str:
 
 def extracted(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text of each row."""
+    small_batches(pages.sparkSession)
     rows = pages.select(id_col, url_col, F.col(html_col).alias("__html"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:2])
 

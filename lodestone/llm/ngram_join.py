@@ -33,6 +33,7 @@ rows with equal text are linked whatever their ids; a null id is greater than al
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ from lodestone.llm.shingles import U, each_text, key_of, mix, shingle_set, sketc
 
 BLOCK_ROWS = 128
 DIRECT_ROWS = 64
-SIGNED_ROWS = 1_000_000  #: signatures that a task combines at a time
+SIGNED_ROWS = 500_000  #: signatures that a task combines at a time
 EXPECTED, SHRINK, NEXT = 100.0, 64.0, 6.0  #: cost model: rows that sharing an empty segment costs; a member more divides by SHRINK; members of a next segment
 LEVELS = 2
 
@@ -60,6 +61,7 @@ class Bands:
         self.width = 3 if percent >= 90 else 2  #: wide bands need fewer probes, but smaller segments
         self.lows = [self.smallest()]
         self.made: dict[int, int] = {}
+        self.tags: dict[int, np.ndarray] = {}
 
     def overlap(self, total: int) -> int:
         """The least intersection of similar sets with that sum of sizes: (100 + p) * i >= p * total."""
@@ -98,9 +100,10 @@ class Bands:
         if n < self.lows[0]:
             return np.zeros(0, np.int64)
         own = self.band(n)
-        out = [self._of(s, own)]
+        place, value = mix(s, 21 + self.seed), mix(s, 22)
+        out = [self._of(place, value, own)]
         if self.apart(n, max(n, self.band_low(own + 1))) >= 0:
-            out.append(self._of(s, own + 1))
+            out.append(self._of(place, value, own + 1))
         return np.concatenate(out)
 
     def band_low(self, band: int) -> int:
@@ -108,12 +111,14 @@ class Bands:
             self.band(self.lows[-1])
         return self.lows[band]
 
-    def _of(self, s: np.ndarray, band: int) -> np.ndarray:
+    def _of(self, place: np.ndarray, value: np.ndarray, band: int) -> np.ndarray:
         m = self.scheme(band)
-        tag = mix(np.arange(m, dtype=np.uint64) + U(band << 32), 23)
-        place = (mix(s, 21 + self.seed) % U(m)).astype(np.int64)
+        if band not in self.tags:
+            self.tags[band] = mix(np.arange(m, dtype=np.uint64) + U(band << 32), 23)
+        tag = self.tags[band]
+        place = (place % U(m)).astype(np.int64)
         order = np.argsort(place, kind="stable")
-        value = mix(s, 22)[order]
+        value = value[order]
         count = np.bincount(place, minlength=m)
         upto = np.r_[U(0), np.cumsum(value, dtype=np.uint64)]
         stop = np.cumsum(count)
@@ -131,12 +136,17 @@ class Bands:
             # what is left of the next segment may be empty: the one after that joins in, where the two differ in at most two members
             k = (x + 1) % m
             one = value[stop[k] - count[k] : stop[k]]
-            two = (one[:, None] + one[None, :])[np.triu_indices(count[k], 1)]
+            two = (one[:, None] + one)[two_of(int(count[k]))]
             out.append(mix((sums[k] - np.r_[U(0), one, two]) ^ mix(r, 27), 28))
             out.append(mix(sums[x : x + 1] ^ r, 26)[: count[x]])
         return np.concatenate(out).view(np.int64)
 
 
+@lru_cache(64)
+def two_of(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return np.triu_indices(n, 1)
+
+
 def _rows(cols: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 

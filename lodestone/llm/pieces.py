@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import written
+from lodestone.llm.shared import small_batches, written
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 CHUNK_CHARS = 32_768
@@ -373,6 +373,7 @@ def cut(text: str, size: int, margin: int) -> Iterator[tuple[str, int, int]]:
 
 def encode(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None, model: str = MODEL, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """``carry`` columns (default: all but the text) with ids array<int> and n_chunks. The model file (bounded) goes to the workers by broadcast."""
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     carry = [c for c in docs.columns if c != text_col] if carry is None else carry
     with open(model, "rb") as f:

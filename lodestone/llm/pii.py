@@ -31,6 +31,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lodestone.llm.shared import small_batches
+
 # The base patterns, in the order in which kinds are listed.
 BASE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
@@ -362,6 +364,7 @@ def listed(spans: list[tuple[str, int, int]]) -> str:
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: Model | None = None) -> DataFrame:
     """id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_secret of each row; counts of the first four are of base spans."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model or trained())
     rows = docs.select(id_col, text_col)
     kind = rows.schema[0].dataType.simpleString()

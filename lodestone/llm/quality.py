@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.llm.shared import small_batches
 from lodestone.llm.shingles import each_text
 
 WIDTH, STRIDE, FILTERS = 8, 4, 16
@@ -173,6 +174,7 @@ def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def scored(docs: DataFrame, model: Network | float, text_col: str = "text", out_col: str = "score") -> DataFrame:
     """``docs`` with a score of each whole text."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     at = docs.columns.index(text_col)

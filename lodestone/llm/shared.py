@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 500_000
+BATCH_BYTES = 8 << 20
+BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own: dict[str, str] = {}
 
@@ -31,6 +33,12 @@ def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/lodestone/{tag}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on, rows go to Python in batches of ``BATCH_BYTES`` at most in this session, as texts may be very long."""
+    if not (size := spark.conf.get(BATCHES)).isdigit() or int(size) > BATCH_BYTES:
+        spark.conf.set(BATCHES, str(BATCH_BYTES))
+
+
 @contextmanager
 def shuffles_end(spark: SparkSession) -> Iterator[None]:
     """Within it, Spark deletes a query's shuffle files as soon as the query has ended."""
@@ -49,6 +57,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: lineage ends there, a lost executor costs nothing, and the shuffles
     that led to it are deleted."""
     path = shared_path(df.sparkSession, tag)
+    small_batches(df.sparkSession)
     with shuffles_end(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
