@@ -75,10 +75,14 @@ def exact_duplicates(
     max_depth: int = 24,
     key: Callable[[Column], Column] = F.xxhash64,
     digest: Callable[[Column], Column] = lambda text: F.sha2(text, 256),
+    tables: list[DataFrame] | None = None,
 ) -> DataFrame:
-    """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256. See the module for the method."""
+    """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256. See the module for the method.
+
+    ``tables`` gets the written tables that the result depends on, for ``emptied``."""
     scan = docs.select(F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
     rows = written(scan.select("id", key(F.col("norm")).cast("long").alias("key"), digest(F.col("norm")).alias("digest")), "dedup-keys")
+    own = [rows]
     slots, depth = directory(rows, capacity, max_depth)
     places = small(slots.select("slot", "bucket"), BROADCAST_SLOTS)
     rows = rows.withColumn("slot", prefix(F.col("key"), depth)).join(places, "slot").drop("slot")
@@ -93,6 +97,9 @@ def exact_duplicates(
     chain = F.row_number().over(W.partitionBy("bucket", "key").orderBy(F.col("keep_id").asc_nulls_last(), "norm"))
     entries = owned.select("bucket", "key", digest(F.col("norm")).alias("digest"), "keep_id", "group_size", chain.alias("link"))
     index = written(single.unionByName(entries), "dedup-index")
+    emptied(keys)
+    if tables is not None:
+        tables += [*own, index]
 
     clashes = index.where("link > 1").select("key").distinct().join(index, "key").groupBy("key", "digest").agg(F.count("*").alias("texts")).where("texts > 1").select("key", "digest")
     found = rows.join(index.drop("link"), ["bucket", "key", "digest"]).select("id", "keep_id", "group_size", "digest")
@@ -117,7 +124,9 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Only rows that go, and those that repeat an id, are looked up; the others pass through without a shuffle where the
     former are few enough to be broadcast."""
-    rows = written(exact_duplicates(docs, id_col, text_col), "dedup-rows")
+    tables: list[DataFrame] = []
+    rows = written(exact_duplicates(docs, id_col, text_col, tables=tables), "dedup-rows")
+    emptied(*tables)
     ids = [F.col(id_col).alias("__id"), F.col("text_sha256").alias("__ksha")]
     gone = rows.where("NOT kept").select(*ids)
     twice = written(rows.where("kept AND group_size > 1").groupBy(*ids).agg(F.count("*").alias("n")).where("n > 1").select("__id", "__ksha"), "dedup-twice")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lodestone.llm.shared import written
+from lodestone.llm.shared import emptied, written
 
 SEED = "mix-1"
 
@@ -56,13 +56,17 @@ def offset(source: Column, seed: str = SEED) -> Column:
     return F.conv(hexes, 16, 10).cast("long").cast("double") / F.lit(4294967296.0)
 
 
-def systematic_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, seed: str = SEED) -> DataFrame:
-    """One row per row of ``docs``: id, row_id (of the scan that numbered it), size, source, source_size, target, copies."""
+def systematic_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, seed: str = SEED, tables: list[DataFrame] | None = None) -> DataFrame:
+    """One row per row of ``docs``: id, source, size, source_size, target, copies. ``tables`` gets the written tables that the
+    result depends on, for ``emptied``."""
     sizes = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     sizes = written(sizes, "mix-sizes")
     ordered = sizes.repartitionByRange(F.col("source").asc_nulls_last(), "size", "id").sortWithinPartitions(F.col("source").asc_nulls_last(), "size", "id")
     # partition number in the upper bits, row in the partition in the lower 33
-    ordered = written(ordered.withColumn("at", F.monotonically_increasing_id()), "mix-order").withColumn("part", F.shiftright("at", 33))
+    ordered = written(ordered.withColumn("at", F.monotonically_increasing_id()), "mix-order")
+    if tables is not None:
+        tables += [sizes, ordered]
+    ordered = ordered.withColumn("part", F.shiftright("at", 33))
     counts = ordered.groupBy("part", "source").agg(F.min("at").alias("first"), F.count("*").alias("n"))
     earlier = W.partitionBy("source").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     counts = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
@@ -77,9 +81,11 @@ def systematic_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``docs`` with each row as many times as the mix takes it. Rows that agree in id, source and size share out their copies."""
-    plan = systematic_mix(docs, id_col, text_col, source_col).groupBy(id_col, source_col, "size").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
+    tables: list[DataFrame] = []
+    plan = systematic_mix(docs, id_col, text_col, source_col, tables=tables).groupBy(id_col, source_col, "size").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
     plan = plan.where("__copies > 0").select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col("size").alias("__size"), "__copies", "__rows")
-    plan = written(plan, "mix-plan")
+    plan = written(plan, "mix-plan").hint("merge")  # a row a document
+    emptied(*tables)
     rows = docs.withColumn("__n", word_count(F.col(text_col)))
     same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size"))
     out = rows.join(plan, same)

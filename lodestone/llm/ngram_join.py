@@ -13,15 +13,16 @@ after it joins in, less up to two members (three segments in a row differ in at
 
 From there on no step emits all pairs of a group:
 * equal sets are one class, by a 128-bit key; classes with their least id, size and parity sketch are a written table;
+* one part of the universe says how far a class is from all others: a shingle there that no other class has is in no
+  intersection, so a class with too many of them is similar to none and is done with;
 * every task keeps, for each signature, one row of its batch as a hub and turns others into (signature, member, hub) rows, so
   a frequent signature reaches its owner as one row a batch; the owner makes stars of those in the same way, in one pass.
   Rows name a class by the first 64 bits of its key: should two classes share those, both are looked at, and compared;
 * (member, hub) pairs are dropped where the sketches differ in more bits than similar sets can; of the others, first one pair
   a member, then those between different components, are compared shingle by shingle;
 * signatures whose members are still in several components are finished pair by pair where they have up to ``DIRECT_ROWS``
-  members. Of the classes under larger ones, those are done with too of whose shingles too many are in no other such class:
-  each of them sets a class apart from all others, so that no more than the rest can be shared. What remains goes through the
-  same steps again under an independent partition of the universe, where what was shared by chance is not;
+  members. Classes under larger ones go through the same steps again under an independent partition of the universe, where
+  what was shared by chance is not;
 * what is left after ``LEVELS`` partitions is dense, and finished by blocks of ``BLOCK_ROWS`` classes in order of region: each
   two blocks that share a signature are compared once, by sketch, and survivors by shingles.
 So each two classes that share a signature are in one component or have been compared: no link between different texts is lost.
@@ -279,8 +280,8 @@ class Texts:
     def __init__(self, docs: DataFrame, classes: DataFrame, words: int, percent: int):
         self.docs, self.classes, self.words, self.percent = docs, classes, words, percent
 
-    def of(self, cids: DataFrame) -> DataFrame:
-        """(cid, text) of each class of the table ``cids``."""
+    def rows(self, cids: DataFrame) -> DataFrame:
+        """(cid, text) of each class of the table ``cids``; several times where rows repeat id and text."""
         words = self.words
         wanted = self.classes.join(cids, "cid").select("cid", "k1", "k2", F.col("least").alias("__least"))
         found = self.docs.join(small(wanted), F.col("id").eqNullSafe(F.col("__least"))).select("cid", "k1", "k2", "text")
@@ -291,16 +292,23 @@ class Texts:
                 keep = [key_of(shingle_set(t, words)) == k for t, k in zip(each_text(b, 3), keys, strict=True)]
                 yield b.select([0, 3]).filter(pa.array(keep, pa.bool_()))
 
-        return found.mapInArrow(run, "cid long, text string").dropDuplicates(["cid"])
+        return found.mapInArrow(run, "cid long, text string")
+
+    def of(self, cids: DataFrame) -> DataFrame:
+        return self.rows(cids).dropDuplicates(["cid"])
+
 
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 90, tables: list[DataFrame] | None = None) -> DataFrame:
+    """One row per row of ``docs``: id, n_shingles, class_size, component_id (the least id reachable by links).
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
-    """One row per row of ``docs``: id, n_shingles, class_size, component_id (the least id reachable by links)."""
+    ``tables`` gets the written tables that the result depends on, for ``emptied``."""
     prints = written(fingerprints(docs, id_col, text_col, words), "shingle-prints")
     classes = prints.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("least"), F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.count("*").alias("class_size"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "shingle-classes")
     texts = Texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), classes, words, percent)
-    star = written(stars(docs, text_col, words, percent), "shingle-stars")
+    able = written(sharing(docs, classes, text_col, words, percent), "shingle-sharing")
+    star = written(stars(texts.rows(able), "text", words, percent), "shingle-stars")
+    emptied(able)
     links = at = None
     for level in range(LEVELS):
         pairs = written(hub_pairs(star, classes, percent, level == 0), "shingle-pairs")
@@ -323,10 +331,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if level == LEVELS - 1:
             links, at = linked(links, at, many_members(many, pairs, classes, at, percent), texts)
         else:
-            left = written(texts.of(many.select("cid").distinct()), "shingle-left")
-            able = written(sharing(left, classes, words, percent), "shingle-sharing")
-            star = written(stars(left.join(small(able), "cid", "left_semi"), "text", words, percent, level + 1), "shingle-stars")
-            emptied(left, able, members, pairs)
+            star = written(stars(texts.rows(many.select("cid").distinct()), "text", words, percent, level + 1), "shingle-stars")
+            emptied(members, pairs)
+    if tables is not None:
+        tables += [prints, classes, pairs]
 
     groups = classes.join(at, F.col("cid") == F.col("node"), "left").select("k1", "k2", "least", "class_size", F.coalesce("component", "cid").alias("component"))
     groups = groups.join(groups.groupBy("component").agg(F.min("least").alias("component_id")), "component").select("k1", "k2", "class_size", "component_id")
@@ -335,19 +343,27 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "class_size", "component_id")
 
 
-def sharing(texts: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """The classes (cid) that share enough of their shingles with any others among ``texts`` (cid, text) to be similar to one."""
+def sharing(docs: DataFrame, classes: DataFrame, text_col: str, words: int, percent: int) -> DataFrame:
+    """The classes (cid) that may share enough of their shingles with another one to be similar to it.
+
+    The part of the universe that is looked at is so large that a class with two fifths of its shingles to itself goes, about."""
+    below = U(min(2**64 - 1, 2**64 * (100 - percent) * 5 // 200))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cids = b.column(0).to_numpy()
-            for cid, data in zip(cids, each_text(b, 1), strict=True):
+            found, labels = [], []
+            for data in each_text(b, 0):
                 s = shingle_set(data, words)
-                yield _rows([np.full(len(s), cid), s.view(np.int64)], ["cid", "s"])
+                labels.append(key_of(s)[0])
+                found.append(s[mix(s, 31) <= below])
+            yield _rows([np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64), np.repeat(np.array(labels, np.int64), [len(x) for x in found])], ["s", "k"])
 
-    held = texts.select("cid", "text").mapInArrow(run, "cid long, s long").groupBy("s").agg(F.count("*").alias("classes"), F.min("cid").alias("cid"))
-    alone = held.where("classes = 1").groupBy("cid").agg(F.count("*").alias("alone"))
-    return texts.select("cid").join(classes.select("cid", "n"), "cid").join(alone, "cid", "left").where(100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n")).select("cid")
+    held = docs.select(text_col).mapInArrow(run, "s long, k long").groupBy("s").agg(F.min("k").alias("k"), F.max("k").alias("other"))
+    alone = held.where("k = other").groupBy("k").agg(F.count("*").alias("alone"))
+    # classes that share a label stay, as their shingles can't be told apart here
+    label = classes.groupBy("k1").agg(F.count("*").alias("twins")).join(alone.withColumnRenamed("k", "k1"), "k1", "left")
+    able = classes.select("k1", "cid", "n").join(label, "k1")
+    return able.where((F.col("twins") > 1) | (100 * (F.col("n") - F.coalesce("alone", F.lit(0))) >= percent * F.col("n"))).select("cid")
 
 
 def hub_pairs(star: DataFrame, classes: DataFrame, percent: int, first: bool) -> DataFrame:
@@ -458,9 +474,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     digest = F.unhex(F.sha2(F.coalesce(text_col, F.lit("")), 256))
     # id and text name a row; the id alone does not, as it may be null or shared by different texts
     row = F.struct(F.col(id_col).isNull().alias("missing"), F.col(id_col).alias("id"), digest.alias("sha"))
-    groups = similar_components(docs.select(row.alias("__row"), text_col), "__row", text_col, words, percent)
+    tables: list[DataFrame] = []
+    groups = similar_components(docs.select(row.alias("__row"), text_col), "__row", text_col, words, percent, tables)
     kept = groups.where(F.col("__row") == F.col("component_id")).groupBy("__row").agg(((F.max("n_shingles") > 0) & (F.count("*") > 1)).alias("__again"))
     kept = written(kept.select(F.col("__row.id").alias("__id"), F.col("__row.sha").alias("__ksha"), "__again"), "shingle-kept")
+    emptied(*tables)
     out = docs.withColumn("__sha", digest).join(kept, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__ksha")))
     if not kept.where("__again").isEmpty():
         out = out.where("NOT __again").unionByName(out.where("__again").dropDuplicates([id_col, "__sha"]))
