@@ -318,18 +318,20 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             links = verified(one, texts)
             at = components(links)
             maybe = maybe.join(one, ["a", "b"], "left_anti")
-        links, at = linked(links, at, across(maybe, at), texts)
-        bad = across(pairs, at)
-        if holds_none(bad):
-            break
-        members = unfinished(bad, star, classes)
+        known = links
+        links = linked(links, across(maybe, at), texts)
+        members = unfinished(across(pairs, at), star, classes)
         emptied(star)
-        links, at = linked(links, at, few_members(members.where(F.col("size") <= DIRECT_ROWS), classes, at, percent), texts)
+        links = linked(links, few_members(members.where(F.col("size") <= DIRECT_ROWS), classes, at, percent), texts)
+        if links is not known:
+            at = components(links)
         many = members.where(F.col("size") > DIRECT_ROWS).select("sig", "cid")
         if many.isEmpty():
             break
         if level == LEVELS - 1:
-            links, at = linked(links, at, many_members(many, pairs, classes, at, percent), texts)
+            known, links = links, linked(links, many_members(many, pairs, classes, at, percent), texts)
+            if links is not known:
+                at = components(links)
         else:
             star = written(stars(texts.rows(many.select("cid").distinct()), "text", words, percent, level + 1), "shingle-stars")
             emptied(members, pairs)
@@ -374,16 +376,12 @@ def hub_pairs(star: DataFrame, classes: DataFrame, percent: int, first: bool) ->
     if first:
         shared = classes.groupBy("k1").agg(F.count("*").alias("x")).where("x > 1").select(F.col("k1").alias("k"))
         twins = shared.join(side("a", "k"), "k").join(side("b", "k"), "k").where("a > b").select(names)
-        if not holds_none(shared):  # two keys that agree in 64 bits
-            pairs = pairs.unionByName(twins)
+        with shuffles_end(classes.sparkSession):
+            if not shared.isEmpty():  # two keys that agree in 64 bits
+                pairs = pairs.unionByName(twins)
     return sketch_pairs(pairs, percent)
 
 
-def holds_none(df: DataFrame) -> bool:
-    with shuffles_end(df.sparkSession):
-        return df.isEmpty()
-
-
 def across(pairs: DataFrame, at: DataFrame) -> DataFrame:
     """The pairs whose ends are in different components so far."""
     of = lambda c: at.select(F.col("node").alias(c), F.col("component").alias(f"{c}at"))
@@ -391,17 +389,14 @@ def across(pairs: DataFrame, at: DataFrame) -> DataFrame:
     return both.where(F.coalesce("aat", "a") != F.coalesce("bat", "b")).select(*pairs.columns)
 
 
-def linked(links: DataFrame, at: DataFrame, pairs: DataFrame, texts: Texts) -> tuple[DataFrame, DataFrame]:
-    """The links with those among ``pairs``, and the components then."""
+def linked(links: DataFrame, pairs: DataFrame, texts: Texts) -> DataFrame:
+    """The links with those among ``pairs``; the same table if there are none."""
     pairs = written(pairs, "shingle-compared")
     if pairs.isEmpty():
-        return links, at
+        return links
     more = verified(pairs, texts)
     emptied(pairs)
-    if more.isEmpty():
-        return links, at
-    links = links.unionByName(more)
-    return links, components(links)
+    return links if more.isEmpty() else links.unionByName(more)
 
 
 def unfinished(bad: DataFrame, star: DataFrame, classes: DataFrame) -> DataFrame:
