@@ -351,17 +351,43 @@ def sharing(docs: DataFrame, classes: DataFrame, text_col: str, words: int, perc
     The part of the universe that is looked at is so large that a class with two fifths of its shingles to itself goes, about."""
     below = U(min(2**64 - 1, 2**64 * (100 - percent) * 5 // 200))
 
+    def ends(s: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
+        """Of each shingle, the least and the greatest label of a batch: two at most tell whether it has one owner."""
+        order = np.lexsort((k, s))
+        s, k = s[order], k[order]
+        new, last = np.r_[True, s[1:] != s[:-1]], np.r_[s[1:] != s[:-1], True]
+        keep = new | (last & (k != k[np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))]))
+        return _rows([s[keep], k[keep]], ["s", "k"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                found, labels = [], []
+                for data in each_text(whole.slice(at, 512), 0):
+                    s = shingle_set(data, words)
+                    labels.append(key_of(s)[0])
+                    found.append(s[mix(s, 31) <= below])
+                s = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
+                if len(s):
+                    yield ends(s, np.repeat(np.array(labels, np.int64), [len(x) for x in found]))
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by shingle: labels of shingles that have one, and how many; the last shingle waits for the next batch."""
+        s, k = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for b in batches:
-            found, labels = [], []
-            for data in each_text(b, 0):
-                s = shingle_set(data, words)
-                labels.append(key_of(s)[0])
-                found.append(s[mix(s, 31) <= below])
-            yield _rows([np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64), np.repeat(np.array(labels, np.int64), [len(x) for x in found])], ["s", "k"])
-
-    held = docs.select(text_col).mapInArrow(run, "s long, k long").groupBy("s").agg(F.min("k").alias("k"), F.max("k").alias("other"))
-    alone = held.where("k = other").groupBy("k").agg(F.count("*").alias("alone"))
+            s, k = np.r_[s, b.column(0).to_numpy()], np.r_[k, b.column(1).to_numpy()]
+            if not len(s):
+                continue
+            new = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+            low, high = np.minimum.reduceat(k, new), np.maximum.reduceat(k, new)
+            owner, n = np.unique(low[:-1][low[:-1] == high[:-1]], return_counts=True)
+            yield _rows([owner, n], ["k", "n"])
+            s, k = s[-1:].repeat(2), np.array([low[-1], high[-1]])
+        if len(s) and k.min() == k.max():
+            yield _rows([k[:1], np.ones(1, np.int64)], ["k", "n"])
+
+    held = docs.select(text_col).mapInArrow(run, "s long, k long").repartition("s").sortWithinPartitions("s")
+    alone = held.mapInArrow(single, "k long, n long").groupBy("k").agg(F.sum("n").alias("alone"))
     # classes that share a label stay, as their shingles can't be told apart here
     label = classes.groupBy("k1").agg(F.count("*").alias("twins")).join(alone.withColumnRenamed("k", "k1"), "k1", "left")
     able = classes.select("k1", "cid", "n").join(label, "k1")
