@@ -79,7 +79,7 @@ def _recall(e, o):
     return f"CASE WHEN len({e}) > 0 THEN round_even(len(list_intersect({e}, {o})) / len({e})::DOUBLE, 4) ELSE 0.0::DOUBLE END"
 
 
-_SCORED = f"""{_TURNS}, x AS (SELECT conv_id, turn, expected, answer[1:200] AS ev, trim(answer || ' ' || {evidence._pick(evidence.ANSWERS, "conv_id")}) AS answer FROM tu),
+_SCORED = f"""{_TURNS}, x AS (SELECT conv_id, turn, expected, answer AS ev, trim(answer || ' ' || {evidence._pick(evidence.ANSWERS, "conv_id")}) AS answer FROM tu),
 y AS (SELECT *, {_recall("expected", "answer")} AS ar, {_recall("expected", "ev")} AS er, len({_SET.format("expected")}) > 0 AS known, ({evidence._phrases("answer", evidence.V.EVAL_CONTRACTIONS, evidence.V.EVAL_ABSTENTIONS, True)}) AS ab,
   len(list_distinct(list_transform(regexp_extract_all(answer, '(?i)\\[([CTV][0-9]+)\\]', 1), lambda q: upper(q))))::INT AS cc FROM x),
 sc AS (SELECT conv_id, turn, answer <> '' AS answer_present, cc AS citation_count, cc > 0 AS citation_presence, ar AS expected_answer_token_recall, CASE WHEN known THEN ar END AS answer_token_recall, CASE WHEN known THEN er END AS retrieved_evidence_token_recall,
