@@ -44,5 +44,5 @@ PAGE_MARKER = r"(?i)^\s*(?:<!--\s*page\s+([0-9]+)\s*-->|#\s*Page\s+([0-9]+))\s*$
 SEPARATOR_LINE = r"^\s*\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)+\|?\s*$"
 LINE_NUMBER = r"(?:\$?\(?-?[0-9][0-9,]*(?:\.[0-9]+)?\)?%?)|(?:20[0-9][0-9])"
 CELL_NUMBER = r"\(?-?[0-9][0-9,]*(?:\.[0-9]+)?\)?\s*%?"
-YEAR = r"20[0-9][0-9]"
+YEAR = r"\b20[0-9][0-9]\b"
 FIGURE_LABEL = r"(?i)(Figure|Fig\.?|Chart|Diagram|Exhibit)\s*([0-9]+)"

@@ -6,6 +6,7 @@ import difflib
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -40,6 +41,32 @@ def nearest_rank(values: Column, percent: float) -> Column:
     return F.when(F.size(values) > 0, F.element_at(F.array_sort(values), F.greatest(F.lit(0), F.least(at, F.size(values) - 1)) + 1))
 
 
+def nearest_ranks(rows: DataFrame, by: str, value: str, percents: dict[str, float], bins: int = 4096) -> DataFrame:
+    """A12 for groups of any size: (by, one column a name in ``percents``); null values don't count, a group of them has nulls.
+
+    Equal values are counted first. Counts in ``bins`` equal ranges between a group's finite extremes say in which range a rank
+    lies, and only the values of those ranges are sorted, so no group is gathered in one task.
+    """
+    v = F.col("v")
+    counts = rows.select(F.col(by).alias("g"), F.col(value).cast("double").alias("v")).groupBy("g", "v").agg(F.count("v").alias("n"))
+    finite = F.when((v > float("-inf")) & (v < float("inf")), v)
+    span = counts.groupBy("g").agg(F.min(finite).alias("lo"), F.max(finite).alias("hi"), F.sum("n").alias("total"))
+    span = span.select(F.col("g").alias("sg"), "lo", "hi", *[F.bround(F.lit(p / 100) * (F.col("total") - 1), 0).cast("long").alias(f"at_{c}") for c, p in percents.items()])
+    inner = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor((v - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins))).otherwise(0)
+    place = F.when(v == float("-inf"), -1).when(v >= float("inf"), bins).otherwise(inner).cast("int")
+    placed = counts.where("v IS NOT NULL").join(span, F.col("g").eqNullSafe(F.col("sg"))).withColumn("bin", place).drop("sg", "lo", "hi")
+    ats = [f"at_{c}" for c in percents]
+    sizes = placed.groupBy("g", "bin", *ats).agg(F.sum("n").alias("held")).withColumn("upto", F.sum("held").over(W.partitionBy("g").orderBy("bin")))
+    hit = F.lit(False)
+    for a in ats:
+        hit = hit | ((F.col(a) < F.col("upto")) & (F.col(a) >= F.col("upto") - F.col("held")))
+    wanted = sizes.where(hit).select(F.col("g").alias("wg"), F.col("bin").alias("wb"), (F.col("upto") - F.col("held")).alias("before"))
+    near = placed.join(wanted, F.col("g").eqNullSafe(F.col("wg")) & (F.col("bin") == F.col("wb")))
+    near = near.withColumn("upto", F.col("before") + F.sum("n").over(W.partitionBy("g", "bin").orderBy("v")))
+    out = near.groupBy("g").agg(*[F.max(F.when((F.col(f"at_{c}") < F.col("upto")) & (F.col(f"at_{c}") >= F.col("upto") - F.col("n")), v)).alias(c) for c in percents])
+    return span.select("sg").join(out, F.col("sg").eqNullSafe(F.col("g")), "left").select(F.col("sg").alias(by), *percents)
+
+
 def summarized(rows: DataFrame, by: list[str]) -> DataFrame:
     """Counts, rates and recalls of scored rows."""
     return rows.groupBy(*by).agg(

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import vocabulary as V
-from lodestone.functions.text import collapsed, contains_any, numeric
+from lodestone.functions.text import collapsed, contains_any, numeric, stripped
 
 
 def lines(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
@@ -74,12 +74,13 @@ def look_behind(rows: DataFrame) -> DataFrame:
 
     def step(s: Column, x: Column) -> Column:
         low = F.lower(x["line"])
-        goes = ~s["stop"] & (F.trim(x["line"]) != "") & ((F.length(x["line"]) <= 140) | contains_any(low, V.FINANCIAL_TERMS))
+        goes = ~s["stop"] & (stripped(x["line"]) != "") & ((F.length(stripped(x["line"])) <= 140) | contains_any(low, V.FINANCIAL_TERMS))
         return F.struct(F.when(goes, x["ord"]).otherwise(s["at"]).alias("at"), (~goes).alias("stop"))
 
     start = F.aggregate("seven", F.struct(F.col("ord").alias("at"), F.lit(False).alias("stop")), step)["at"]
-    heading = F.filter("nine", lambda x: (F.trim(x["line"]) != "") & (F.length(F.trim(x["line"])) <= 120) & ~F.call_function("regexp_like", x["line"], F.lit("[0-9]")))
-    return out.select("doc", "ord", start.alias("span_start"), F.trim(F.try_element_at(heading["line"], F.lit(1))).alias("heading"))
+    bare = F.transform("nine", lambda x: stripped(F.regexp_replace(stripped(x["line"]), "^#+|#+$", "")))
+    heading = F.filter(bare, lambda t: (t != "") & (F.length(t) <= 120) & ~F.call_function("regexp_like", t, F.lit("[0-9]")))
+    return out.select("doc", "ord", start.alias("span_start"), F.try_element_at(heading, F.lit(1)).alias("heading"))
 
 
 def header_row(flags: Column, first_row: Column) -> Column:
@@ -126,20 +127,24 @@ def dense_grid(cells_: DataFrame) -> DataFrame:
 def heading_as_of(items: DataFrame, headings: DataFrame) -> DataFrame:
     """Items (doc, id, page) with the last heading (doc, ord, page, text) in document order up to their page; without a page, the last of all.
 
-    Joined on the document, reduced at once by a combining aggregate.
+    One sort a document by page, with a running maximum: items and headings never meet in pairs.
     """
-    h = headings.select(F.col("doc").alias("hd"), F.col("ord").alias("ho"), F.col("page").alias("hp"), F.col("text").alias("heading"))
-    near = items.join(h, (F.col("doc") == F.col("hd")) & (F.col("hp").isNull() | F.col("page").isNull() | (F.col("hp") <= F.col("page"))), "left")
-    return near.groupBy("doc", "id", "page").agg(F.max_by("heading", "ho").alias("heading"))
+    every, none = F.lit(2**31 - 1), F.lit(-(2**31))
+    i = items.select("doc", "id", "page", F.coalesce("page", every).alias("at"), F.lit(True).alias("item"))
+    h = headings.select("doc", F.coalesce("page", none).alias("at"), F.lit(False).alias("item"), F.col("ord").alias("ho"), F.col("text").alias("text"))
+    upto = W.partitionBy("doc").orderBy("at")
+    near = i.unionByName(h, allowMissingColumns=True).withColumn("heading", F.max_by("text", "ho").over(upto))
+    return near.where("item").select("doc", "id", "page", "heading")
 
 
 def nearest_chunk(items: DataFrame, chunks: DataFrame) -> DataFrame:
     """Items (doc, id, page_start, page_end) with the chunk whose pages are nearest; ties go to the smaller index."""
     c = chunks.where("page_start IS NOT NULL AND page_end IS NOT NULL").select(F.col("content_hash").alias("cd"), "chunk_id", "chunk_index", F.col("page_start").alias("cs"), F.col("page_end").alias("ce"))
-    both = items.where("page_start IS NOT NULL AND page_end IS NOT NULL").join(c, F.col("doc") == F.col("cd"))
+    paged = items.where("page_start IS NOT NULL AND page_end IS NOT NULL")
+    both = paged.select("doc", "page_start", "page_end").distinct().join(c, F.col("doc") == F.col("cd"))  # items of the same pages ask once
     gap = F.greatest(F.lit(0), F.col("page_start") - F.col("ce"), F.col("cs") - F.col("page_end"))
-    near = both.groupBy("doc", "id").agg(F.min(F.struct(gap.alias("distance"), "chunk_index", "chunk_id")).alias("n"))
-    return near.select("doc", "id", "n.distance", "n.chunk_index", "n.chunk_id")
+    near = both.groupBy("doc", "page_start", "page_end").agg(F.min(F.struct(gap.alias("distance"), "chunk_index", "chunk_id")).alias("n"))
+    return paged.select("doc", "id", "page_start", "page_end").join(near, ["doc", "page_start", "page_end"]).select("doc", "id", "n.distance", "n.chunk_index", "n.chunk_id")
 
 
 def captions(items: DataFrame, texts: DataFrame) -> DataFrame:

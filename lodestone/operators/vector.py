@@ -1,7 +1,9 @@
-"""Exact cosine search (R7): vectors are turned into unit vectors once, so a score is one pass over two arrays."""
+"""Exact cosine search (R7): vectors are turned into unit vectors once; blocks of questions meet blocks of items."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +18,29 @@ def unit(vector: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x / norm))
 
 
-def cosine(items: DataFrame, id_col: str, vector_col: str, questions: DataFrame, query_id: str, query_vector: str) -> DataFrame:
-    """(query_id, id, score) of all pairs. The questions are one batch of a service: few rows, whose number is checked before they are broadcast."""
-    asked = questions.select(F.col(query_id).alias("query_id"), unit(F.col(query_vector)).alias("q")).where("q IS NOT NULL")
-    if asked.limit(10_001).count() <= 10_000:
-        asked = F.broadcast(asked)
-    rows = items.select(F.col(id_col).alias("id"), unit(F.col(vector_col)).alias("v")).where("v IS NOT NULL")
-    return rows.join(asked).select("query_id", "id", F.round(dot(F.col("v"), F.col("q")), 6).alias("score"))
+def cosine_topk(items: DataFrame, id_col: str, vector_col: str, questions: DataFrame, query_id: str, query_vector: str, k: int, item_rows: int = 10_000, question_rows: int = 500) -> DataFrame:
+    """(query_id, id, score): for each block of items, the k best of each question by (score, id); ``lexical.ranked`` picks among blocks.
+
+    A pair of blocks is one product of matrices of about ``question_rows`` by ``item_rows``, so a task's memory is bounded and no
+    pair of rows leaves it but the best. Scores have 6 places. Rows without an id or with a null or zero vector take no part.
+    """
+    asked = questions.select(F.col(query_id).alias("query_id"), unit(F.col(query_vector)).alias("q")).where("query_id IS NOT NULL AND q IS NOT NULL")
+    rows = items.select(F.col(id_col).alias("id"), unit(F.col(vector_col)).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
+    nq, ni = (max(1, -(-d.count() // n)) for d, n in ((questions, question_rows), (items, item_rows)))
+    asked = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq))).withColumn("ib", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ni - 1).cast("long"))))
+    rows = rows.withColumn("ib", F.pmod(F.xxhash64("id", "v"), F.lit(ni))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))))
+
+    def best(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(v):
+            return pd.DataFrame({"query_id": q.query_id[:0], "id": v.id[:0], "score": np.zeros(0)})
+        scores = np.stack(q.q.to_numpy()) @ np.stack(v.v.to_numpy()).T * 1e6
+        scores = np.trunc(scores + np.copysign(0.5, scores)) / 1e6
+        ids, out = v.id.to_numpy(), []
+        for i, row in enumerate(scores):
+            near = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
+            near = near[np.lexsort((ids[near], -row[near]))][:k]
+            out.append(pd.DataFrame({"query_id": q.query_id.iloc[i], "id": ids[near], "score": row[near]}))
+        return pd.concat(out)
+
+    types = [d.schema[c].dataType.simpleString() for d, c in ((asked, "query_id"), (rows, "id"))]
+    return asked.groupBy("qb", "ib").cogroup(rows.groupBy("qb", "ib")).applyInPandas(best, f"query_id {types[0]}, id {types[1]}, score double")

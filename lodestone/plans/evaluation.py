@@ -33,8 +33,7 @@ def eval_summary(s, d):
 
 def nearest_rank_p95(s, d):
     """A12 of event values by type."""
-    e = I.table(s, d, "events")
-    return e.groupBy("event_type").agg(evaluate.nearest_rank(F.collect_list("value"), 95).alias("p95"), evaluate.nearest_rank(F.collect_list("value"), 50).alias("p50"))
+    return evaluate.nearest_ranks(I.table(s, d, "events"), "event_type", "value", {"p95": 95, "p50": 50})
 
 
 def sequence_similarity(s, d):

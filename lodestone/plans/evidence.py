@@ -77,13 +77,13 @@ def dense_grids(s, d):
 
 
 def _headings(s, d):
+    """Section headers and short lines."""
     b = chunking.text_blocks(I.blocks(s, d))
-    return b.where("ord % 10 = 0").select(F.col("content_hash").alias("doc"), "ord", "page", "text")
+    return b.where("label = 'section_header' OR length(text) <= 40").select(F.col("content_hash").alias("doc"), "ord", "page", "text")
 
 
 def _items(s, d):
-    b = chunking.text_blocks(I.blocks(s, d)).where("ord % 4 = 3")
-    return b.select(F.col("content_hash").alias("doc"), F.col("ord").alias("id"), "page")
+    return chunking.text_blocks(I.blocks(s, d)).select(F.col("content_hash").alias("doc"), F.col("ord").alias("id"), "page")
 
 
 def nearest_heading_asof(s, d):
@@ -104,11 +104,13 @@ def caption_refs(s, d):
     return tables.captions(items, texts)
 
 
+TAILS = ["Which segment had the highest 2025 net income?", "What does the chart of revenue show?", "Is there a table of columns?", "See fig. 3 or fig.3 as shown in the graph", "plain words only", "total assets of 5 billion"]
+
+
 def _intents(s, d):
-    """Questions made of benchmark passages and a fixed tail, so that every kind occurs."""
-    tail = ["Which segment had the highest 2025 net income?", "What does the chart of revenue show?", "Is there a table of columns?", "See fig. 3 or fig.3 as shown in the graph", "plain words only", "total assets of 5 billion"]
-    pick = F.element_at(F.array(*[F.lit(t) for t in tail]), (F.col("query_id") % len(tail) + 1).cast("int"))
-    return I.questions(s, d).select("query_id", pick.alias("question"))
+    """Every benchmark passage, whole, with a question after it, so that every kind occurs."""
+    pick = F.element_at(F.array(*[F.lit(t) for t in TAILS]), (F.col("query_id") % len(TAILS) + 1).cast("int"))
+    return I.questions(s, d).select("query_id", F.concat_ws(" ", "question", pick).alias("question"))
 
 
 def table_intent(s, d):
@@ -151,8 +153,11 @@ CELLS = ["$27,761", "(425)", "32%", "-", "NM", "", "1e5", "abc", "(1,204", "12.5
 
 
 def numeric_parse(s, d):
-    cell = F.element_at(F.array(*[F.lit(c) for c in CELLS]), (F.col("p_partkey") % len(CELLS) + 1).cast("int"))
-    return I.table(s, d, "part").select("p_partkey", T.numeric(cell).alias("value"))
+    """Each part's key, size and names as cells of several forms, and one fixed cell."""
+    fixed = F.element_at(F.array(*[F.lit(c) for c in CELLS]), (F.col("p_partkey") % len(CELLS) + 1).cast("int"))
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    cells = F.array(F.concat(F.lit("$ "), key, F.lit(","), F.lpad(size, 3, "0")), F.concat(F.lit("("), key, F.lit(")")), F.concat(size, F.lit(" %")), F.concat(key, F.lit("."), size), F.col("p_name"), F.col("p_brand"), fixed)
+    return I.table(s, d, "part").select("p_partkey", F.posexplode(cells).alias("form", "cell")).select("p_partkey", "form", T.numeric(F.col("cell")).alias("value"))
 
 
 def page_labels(s, d):
@@ -251,15 +256,15 @@ _SCORE = rf"""(CASE WHEN len(regexp_extract_all(line, '{V.LINE_NUMBER}')) >= 3 T
  + CASE WHEN {_FIN} THEN 2 ELSE 0 END + CASE WHEN regexp_matches(line, '[0-9]\s{{2,}}[0-9]') THEN 1 ELSE 0 END)::INT"""
 _PAGES = r"""pg AS (SELECT *, try_cast(nullif(regexp_extract(line, '(?i)^\s*(?:<!--\s*page\s+([0-9]+)\s*-->|#\s*Page\s+([0-9]+))\s*$', 1), '') AS INT) AS marker FROM lines),
 pages AS (SELECT doc, ord, line, marker, last_value(marker IGNORE NULLS) OVER (PARTITION BY doc ORDER BY ord) AS page FROM pg)"""
-_TAILS = ["Which segment had the highest 2025 net income?", "What does the chart of revenue show?", "Is there a table of columns?", "See fig. 3 or fig.3 as shown in the graph", "plain words only", "total assets of 5 billion"]
 
 
 def _pick(values, key):
     return "CASE " + " ".join(f"WHEN {key} % {len(values)} = {i} THEN '{v.replace(chr(39), chr(39) * 2)}'" for i, v in enumerate(values)) + " END"
 
 
-def _intent_rows(rows):
-    return "SELECT item_id AS query_id, x.* FROM benchmark JOIN (VALUES " + ", ".join(f"({i}, {str(dt).lower()}, {n}::INT, '{m}')" for i, (dt, n, m) in enumerate(rows)) + ") v(k, detected, score, matches) ON item_id % 6 = k, LATERAL (SELECT detected, score, matches) x"
+def _intent_sql(parts, detected):
+    return f"""WITH q AS (SELECT item_id AS query_id, lower(concat_ws(' ', text, {_pick(TAILS, "item_id")})) AS q FROM benchmark), p AS (SELECT query_id, q, {parts} FROM q)
+SELECT query_id, {detected} AS detected, len(m)::INT AS score, array_to_string(m, ',') AS matches FROM p"""
 
 
 def _phrases(col, contractions, phrases, curly):
@@ -286,31 +291,33 @@ SELECT doc_id, chunk_index, length(text)::INT AS n_chars, sha256(text) AS text_s
 h AS (SELECT *, ord - lag(ord) OVER (PARTITION BY doc ORDER BY ord) AS gap FROM sc WHERE score >= 3),
 i AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 2 OR (gap = 2 AND bb) THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY ord) AS island FROM h)
 SELECT doc, min(ord)::INT AS first, max(ord)::INT AS last, count(*) AS highs FROM i GROUP BY doc, island HAVING count(*) >= 2 AND max(ord) - min(ord) + 1 >= 3""",
-    "span_context": rf"""WITH {I.REPORT_SQL}, f AS (SELECT a.doc, a.ord, max(b.ord) AS stop FROM lines a LEFT JOIN lines b ON a.doc = b.doc AND b.ord < a.ord AND b.ord >= a.ord - 7 AND (trim(b.line) = '' OR (length(b.line) > 140 AND NOT ({_FIN.replace("line", "b.line")}))) GROUP BY ALL),
-h AS (SELECT a.doc, a.ord, arg_max(trim(b.line), b.ord) AS heading FROM lines a JOIN lines b ON a.doc = b.doc AND b.ord < a.ord AND b.ord >= a.ord - 9 AND trim(b.line) <> '' AND length(trim(b.line)) <= 120 AND NOT regexp_matches(b.line, '[0-9]') GROUP BY ALL)
+    "span_context": rf"""WITH {I.REPORT_SQL}, f AS (SELECT a.doc, a.ord, max(b.ord) AS stop FROM lines a LEFT JOIN lines b ON a.doc = b.doc AND b.ord < a.ord AND b.ord >= a.ord - 7 AND (trim(b.line) = '' OR (length(trim(b.line)) > 140 AND NOT ({_FIN.replace("line", "b.line")}))) GROUP BY ALL),
+n AS (SELECT doc, ord, trim(regexp_replace(trim(line), '^#+|#+$', '', 'g')) AS line FROM lines),
+h AS (SELECT a.doc, a.ord, arg_max(b.line, b.ord) AS heading FROM lines a JOIN n b ON a.doc = b.doc AND b.ord < a.ord AND b.ord >= a.ord - 9 AND b.line <> '' AND length(b.line) <= 120 AND NOT regexp_matches(b.line, '[0-9]') GROUP BY ALL)
 SELECT f.doc, f.ord::INT AS ord, greatest(0, f.ord - 7, coalesce(f.stop + 1, 0))::INT AS span_start, heading FROM f LEFT JOIN h ON f.doc = h.doc AND f.ord = h.ord""",
     "grid_tables": """WITH c AS (SELECT c_nationkey AS k, count(*) AS n FROM customer GROUP BY 1), s AS (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1),
 g AS (SELECT r_name AS id, count(*)::INT AS n_rows, sum(CASE WHEN c.n IS NULL THEN 1 ELSE 0 END + CASE WHEN s.n IS NULL THEN 1 ELSE 0 END) AS blank FROM nation JOIN region ON n_regionkey = r_regionkey LEFT JOIN c ON c.k = n_nationkey LEFT JOIN s ON s.k = n_nationkey GROUP BY 1)
 SELECT id, true AS has_header, 'Nation|Customers|Suppliers' AS headers, n_rows, 3 AS n_cols, CASE WHEN n_rows >= 2 THEN 'good' ELSE 'weak' END AS readiness, round(blank / (3 * (n_rows + 1))::DOUBLE, 6) AS empty_cell_ratio,
 CASE WHEN blank / (3 * (n_rows + 1))::DOUBLE > 0.35 THEN 'many_empty_cells' || CASE WHEN n_rows <= 1 THEN ',single_row_table' ELSE '' END WHEN n_rows <= 1 THEN 'single_row_table' ELSE '' END AS risk_flags FROM g""",
     "dense_grids": "SELECT n_regionkey AS id, count(*)::INT AS n_rows, string_agg(n_nationkey || '|' || n_name, '|' ORDER BY n_nationkey) AS cells FROM nation GROUP BY 1",
-    "nearest_heading_asof": f"""WITH {_BLOCKS}, h AS (SELECT * FROM blocks WHERE ord % 10 = 0), i AS (SELECT * FROM blocks WHERE ord % 4 = 3)
+    "nearest_heading_asof": f"""WITH {_BLOCKS}, h AS (SELECT doc_id, ord, page, text FROM blocks WHERE label = 'section_header' OR length(text) <= 40), i AS (SELECT * FROM blocks)
 SELECT i.doc_id AS doc, i.ord AS id, i.page, arg_max(h.text, h.ord) AS heading FROM i LEFT JOIN h ON h.doc_id = i.doc_id AND h.page <= i.page GROUP BY ALL""",
     "nearest_chunk_interval": f"""WITH {_BLOCKS}, {_SPLIT.format(most=MOST)}, num AS (SELECT doc_id, label, page, text, (row_number() OVER (PARTITION BY doc_id ORDER BY ord, piece))::INT AS ord FROM pieces),
 {_PACKED.format(most=MOST, blocks="num")}, placed AS (SELECT doc_id, unnest(ords) AS ord, unnest(st.ids) AS chunk_index FROM packed),
 c AS (SELECT n.doc_id, chunk_index, min(page) AS ps, max(page) AS pe FROM num n JOIN placed ON n.doc_id = placed.doc_id AND n.ord = placed.ord GROUP BY ALL),
-i AS (SELECT doc_id, ord, page FROM blocks WHERE ord % 4 = 3), x AS (SELECT i.doc_id AS doc, i.ord AS id, greatest(0, page - pe, ps - page) AS distance, chunk_index FROM i JOIN c ON i.doc_id = c.doc_id),
+i AS (SELECT doc_id, ord, page FROM blocks), x AS (SELECT i.doc_id AS doc, i.ord AS id, greatest(0, page - pe, ps - page) AS distance, chunk_index FROM i JOIN c ON i.doc_id = c.doc_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc, id ORDER BY distance, chunk_index) AS n FROM x) SELECT doc, id, distance::INT AS distance, chunk_index FROM r WHERE n = 1""",
     "caption_refs": "SELECT conv_id AS doc, 0 AS id, concat_ws(' ', max(text) FILTER (WHERE turn = 0), max(text) FILTER (WHERE turn = 2)) AS caption FROM conversations GROUP BY 1",
-    "table_intent": _intent_rows([(True, 4, "2025,net income,segment,highest"), (False, 1, "revenue"), (True, 2, "table,column"), (False, 0, ""), (False, 0, ""), (True, 3, "billion,total,assets")]),
-    "visual_intent": _intent_rows([(False, 0, ""), (True, 1, "chart"), (False, 0, ""), (True, 3, "fig.,graph,shown"), (False, 0, ""), (False, 0, "")]),
+    "table_intent": _intent_sql(rf"list_filter({V.TABLE_WORDS}, lambda t: regexp_matches(q, '\b' || t || 's?\b')) AS e, list_sort(list_distinct(regexp_extract_all(q, '\b20[0-9][0-9]\b|\$|%|\bbillion\b|\bmillion\b'))) AS n, list_filter({V.TABLE_FINANCIAL}, lambda t: contains(q, t)) AS f, list_concat(list_concat(e, n), f) AS m", "(len(e) > 0 OR (len(n) > 0 AND len(f) > 0))"),
+    "visual_intent": _intent_sql(rf"list_filter({V.VISUAL_TERMS}, lambda t: regexp_matches(q, '\b' || replace(t, '.', '\.') || 's?\b')) AS m", f"(list_has_any(m, {V.VISUAL_EXPLICIT}) OR (list_contains(m, 'shown') AND (contains(q, 'chart') OR contains(q, 'figure') OR contains(q, 'graph'))))"),
     "evidence_router": """WITH x AS (SELECT p_partkey, lower(concat_ws(' ', p_name, CASE p_size % 5 WHEN 0 THEN 'Paragraph' WHEN 1 THEN 'Table lookup' WHEN 2 THEN 'Mixed' WHEN 3 THEN 'Chart' END)) AS t FROM part)
 SELECT p_partkey, CASE WHEN contains(t, 'mixed') THEN 'auto' WHEN contains(t, 'chart') OR contains(t, 'visual') OR contains(t, 'figure') OR contains(t, 'image') OR contains(t, 'graph') THEN 'visual' WHEN contains(t, 'table') THEN 'table' ELSE 'text' END AS mode FROM x""",
     "abstention_query": f"WITH {_ANSWERS} SELECT conv_id, turn, ({_phrases('answer', V.QUERY_CONTRACTIONS, V.QUERY_ABSTENTIONS, False)}) AS abstains FROM a",
     "abstention_eval": f"WITH {_ANSWERS} SELECT conv_id, turn, ({_phrases('answer', V.EVAL_CONTRACTIONS, V.EVAL_ABSTENTIONS, True)}) AS abstains FROM a",
     "citation_ids": f"WITH {_ANSWERS} SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(answer, '(?i)\\[([CTV][0-9]+)\\]', 1), lambda x: upper(x)))), ',') AS citations FROM a",
-    "numeric_parse": rf"""WITH x AS (SELECT p_partkey, {_pick(CELLS, "p_partkey")} AS c FROM part)
-SELECT p_partkey, CASE WHEN upper(trim(c)) IN ('', '-', '—', 'NA', 'NM') THEN NULL WHEN NOT regexp_matches({_BARE}, '^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$') THEN NULL
+    "numeric_parse": rf"""WITH y AS (SELECT p_partkey, ['$ ' || p_partkey || ',' || lpad(p_size::VARCHAR, 3, '0'), '(' || p_partkey || ')', p_size || ' %', p_partkey || '.' || p_size, p_name, p_brand, {_pick(CELLS, "p_partkey")}] AS cs FROM part),
+x AS (SELECT p_partkey, (generate_subscripts(cs, 1) - 1)::INT AS form, unnest(cs) AS c FROM y)
+SELECT p_partkey, form, CASE WHEN upper(trim(c)) IN ('', '-', '—', 'NA', 'NM') THEN NULL WHEN NOT regexp_matches({_BARE}, '^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$') THEN NULL
  WHEN starts_with(trim(c), '(') AND ends_with(trim(c), ')') THEN -try_cast({_BARE} AS DOUBLE) ELSE try_cast({_BARE} AS DOUBLE) END AS value FROM x""",
     "page_labels": """WITH x AS (SELECT DISTINCT l_orderkey, l_linenumber, nullif(l_linenumber - 1, 0) AS a, nullif(l_linenumber + l_orderkey % 3 - 1, 0) AS b FROM lineitem)
 SELECT l_orderkey, l_linenumber, CASE WHEN a <> b THEN a || '-' || b ELSE coalesce(coalesce(a, b)::VARCHAR, 'unknown') END AS pages FROM x""",

@@ -72,17 +72,16 @@ def rows_per_document(s, d):
 
 
 def upsert_documents(s, d):
-    """M1: documents by content hash; equal texts arrive twice, and those of src1 are known already."""
+    """M1: all documents arrive, equal texts twice; those of src1 and the benchmark's passages are known already, and the latter stay as they are unless they arrive."""
     rows = I.documents(s, d).select("content_hash", F.col("doc_id").alias("ord"), "lang", F.col("doc_id").alias("first_id"))
-    current = registry.latest(rows.join(I.documents(s, d).where("source = 'src1'").select("content_hash").distinct(), "content_hash", "left_semi"), "content_hash", [F.col("ord")]).select("content_hash", F.lit("old").alias("lang"), F.lit(-1).cast("long").alias("first_id"))
-    incoming = rows.where("ord % 3 <> 0")
-    return registry.upserted(current, incoming)
+    known = I.documents(s, d).where("source = 'src1'").select("content_hash").unionByName(I.table(s, d, "benchmark").select(F.sha2("text", 256).alias("content_hash"))).distinct()
+    return registry.upserted(known.select("content_hash", F.lit("old").alias("lang"), F.lit(-1).cast("long").alias("first_id")), rows)
 
 
 def index_pending(s, d):
     docs = I.documents(s, d).select(F.col("doc_id").alias("content_hash"), "lang")
     runs = I.jobs(s, d).select(F.col("document_id").alias("content_hash"), F.lit("text").alias("index_name"), F.when(F.col("status") == "click", "indexed").when(F.col("status") == "view", "no_evidence").otherwise("failed").alias("status"))
-    return registry.pending(docs, runs.where("status <> 'failed'").where(F.col("content_hash") % 7 == 0), "text")
+    return registry.pending(docs, runs, "text")
 
 
 def cascade_delete(s, d):
@@ -159,9 +158,9 @@ SELECT user_id AS document_id, n AS count, CASE WHEN m = 0 THEN 'failed' WHEN n
     "doc_id_resolve": """WITH x AS (SELECT n_name, count(s_suppkey) AS n, min(s_suppkey) AS h FROM nation LEFT JOIN supplier ON s_suppkey % 30 = n_nationkey * 3 GROUP BY 1)
 SELECT n_name AS doc_id, n, h AS content_hash, CASE WHEN n = 0 THEN 'not_found' WHEN n > 1 THEN 'ambiguous' ELSE 'resolved' END AS status FROM x""",
     "rows_per_document": "SELECT user_id AS document_id, count(*) AS n FROM events GROUP BY 1",
-    "upsert_documents": """WITH d AS (SELECT sha256(text) AS content_hash, doc_id, lang, source FROM documents), i AS (SELECT content_hash, lang, doc_id AS first_id FROM d WHERE doc_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY doc_id) = 1)
-SELECT * FROM i UNION ALL SELECT DISTINCT content_hash, 'old', -1 FROM d WHERE source = 'src1' AND content_hash NOT IN (SELECT content_hash FROM i)""",
-    "index_pending": "SELECT doc_id AS content_hash, lang FROM documents WHERE doc_id NOT IN (SELECT user_id FROM events WHERE event_type IN ('click', 'view') AND user_id % 7 = 0)",
+    "upsert_documents": """WITH d AS (SELECT sha256(text) AS content_hash, doc_id, lang, source FROM documents), i AS (SELECT content_hash, lang, doc_id AS first_id FROM d QUALIFY row_number() OVER (PARTITION BY content_hash ORDER BY doc_id) = 1)
+SELECT * FROM i UNION ALL SELECT DISTINCT content_hash, 'old', -1 FROM (SELECT content_hash FROM d WHERE source = 'src1' UNION ALL SELECT sha256(text) FROM benchmark) WHERE content_hash NOT IN (SELECT content_hash FROM i)""",
+    "index_pending": "SELECT doc_id AS content_hash, lang FROM documents WHERE doc_id NOT IN (SELECT user_id FROM events WHERE event_type IN ('click', 'view'))",
     "cascade_delete": """WITH o AS (SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')))
 SELECT count(*) AS rows, 'orders' AS "table" FROM o UNION ALL SELECT count(*), 'lineitem' FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o)""",
     "collection_stats": "SELECT label, count(*) AS n, count(embedding) AS vectors, max(len(embedding))::INT AS dim FROM embeddings GROUP BY 1",

@@ -32,12 +32,12 @@ def _bm25(s, d, docs=None, questions=None):
 
 
 def bm25_topk(s, d):
-    return lexical.ranked(_bm25(s, d, questions=I.questions(s, d).where("query_id = 0")), 10).select("rank", F.col("id").alias("doc_id"), "score")
+    return lexical.ranked(_bm25(s, d), 10).select("query_id", "rank", F.col("id").alias("doc_id"), "score")
 
 
 def bm25_scoped_topk(s, d):
     docs = registry.in_scope(I.table(s, d, "documents"), "source", SCOPE)
-    return lexical.ranked(_bm25(s, d, docs, I.questions(s, d).where("query_id < 5")), 10).select("query_id", "rank", F.col("id").alias("doc_id"), "score")
+    return lexical.ranked(_bm25(s, d, docs), 10).select("query_id", "rank", F.col("id").alias("doc_id"), "score")
 
 
 def bm25_batch_topk(s, d):
@@ -55,28 +55,29 @@ def bm25_boosted_topk(s, d):
     return lexical.ranked(both, 20).select("rank", F.col("id").alias("doc_id"), "boost", "score")
 
 
-def _cosine(s, d, upto, k):
+def _cosine(s, d, k):
+    """Questions are the vectors whose id is divisible by 100, against all vectors."""
     e = I.table(s, d, "embeddings")
-    q = e.where(F.col("vec_id") < upto).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
-    return lexical.ranked(vector.cosine(e, "vec_id", "embedding", q, "query_id", "qv"), k)
+    q = e.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    return lexical.ranked(vector.cosine_topk(e, "vec_id", "embedding", q, "query_id", "qv", k), k)
 
 
 def cosine_topk(s, d):
-    return _cosine(s, d, 1, 20).select("rank", F.col("id").alias("vec_id"), "score")
+    return _cosine(s, d, 20).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
 def cosine_batch_topk(s, d):
-    return _cosine(s, d, 10, 10).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
+    return _cosine(s, d, 10).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
 def _sides(s, d, k):
-    dense = _cosine(s, d, 5, 2 * k)
-    words = lexical.ranked(_bm25(s, d, questions=I.questions(s, d).where("query_id < 5")), 2 * k)
+    dense = _cosine(s, d, 2 * k)
+    words = lexical.ranked(_bm25(s, d), 2 * k)
     return dense, words
 
 
 def minmax_normalize(s, d):
-    dense = _cosine(s, d, 5, 20)
+    dense = _cosine(s, d, 20)
     return dense.select("query_id", F.col("id").alias("vec_id"), F.round(fusion.min_max(F.col("score"), "query_id"), 6).alias("normalized"))
 
 
@@ -125,15 +126,15 @@ hits AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df
 ranked AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM hits WHERE score > 0)"""
 
 
-def _cos_sql(upto):
-    return f"""
+def _cos_sql():
+    return """
 v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
-cs AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(v.e, q.e), 6) AS score FROM v, v q WHERE q.vec_id < {upto}),
+cs AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(v.e, q.e), 6) AS score FROM v, v q WHERE q.vec_id % 100 = 0),
 cr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM cs)"""
 
 
 def _hybrid_sql(a, b):
-    return f"""WITH {_bm25_sql(questions="(SELECT * FROM benchmark WHERE item_id < 5)")}, {_cos_sql(5)},
+    return f"""WITH {_bm25_sql()}, {_cos_sql()},
 dn AS (SELECT query_id, vec_id AS id, score, rank, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0::DOUBLE ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS n FROM cr WHERE rank <= 20 WINDOW w AS (PARTITION BY query_id)),
 ln AS (SELECT query_id, doc_id AS id, score, rank, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0::DOUBLE ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS n FROM ranked WHERE rank <= 20 WINDOW w AS (PARTITION BY query_id)),
 f AS (SELECT query_id, id, dn.score AS dense_score, ln.score AS lexical_score, round({a}::DOUBLE * coalesce(dn.n, 0) + {b}::DOUBLE * coalesce(ln.n, 0), 6) AS hybrid_score, coalesce(dn.rank, 20 + ln.rank) AS first FROM dn FULL JOIN ln USING (query_id, id)),
@@ -160,13 +161,13 @@ o AS (SELECT row_number() OVER (ORDER BY score DESC, doc_id)::INT AS rank, doc_i
 SQL = {
     "tokenize_counts": f"SELECT doc_id, len({TOK.format('text')})::BIGINT AS n_tokens, len(list_distinct({TOK.format('text')}))::BIGINT AS n_distinct FROM documents",
     "doc_frequency": f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({TOK.format('text')}) AS term FROM documents) GROUP BY term",
-    "bm25_topk": f"WITH {_bm25_sql(questions='(SELECT * FROM benchmark WHERE item_id = 0)')} SELECT rank, doc_id, score FROM ranked WHERE rank <= 10",
-    "bm25_scoped_topk": f"WITH sc AS (SELECT * FROM documents WHERE source IN ('src1', 'src2', 'src3')), {_bm25_sql('sc', '(SELECT * FROM benchmark WHERE item_id < 5)')} SELECT query_id, rank, doc_id, score FROM ranked WHERE rank <= 10",
+    "bm25_topk": f"WITH {_bm25_sql()} SELECT query_id, rank, doc_id, score FROM ranked WHERE rank <= 10",
+    "bm25_scoped_topk": f"WITH sc AS (SELECT * FROM documents WHERE source IN ('src1', 'src2', 'src3')), {_bm25_sql('sc')} SELECT query_id, rank, doc_id, score FROM ranked WHERE rank <= 10",
     "bm25_batch_topk": f"WITH {_bm25_sql()} SELECT query_id, rank, doc_id, score, 'C' || rank AS citation FROM ranked WHERE rank <= 5",
     "bm25_boosted_topk": _boost_sql(),
-    "cosine_topk": f"WITH {_cos_sql(1)} SELECT rank, vec_id, score FROM cr WHERE rank <= 20",
-    "cosine_batch_topk": f"WITH {_cos_sql(10)} SELECT query_id, rank, vec_id, score FROM cr WHERE rank <= 10",
-    "minmax_normalize": f"WITH {_cos_sql(5)}, k AS (SELECT * FROM cr WHERE rank <= 20) SELECT query_id, vec_id, round((score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w), 6) AS normalized FROM k WINDOW w AS (PARTITION BY query_id)",
+    "cosine_topk": f"WITH {_cos_sql()} SELECT query_id, rank, vec_id, score FROM cr WHERE rank <= 20",
+    "cosine_batch_topk": f"WITH {_cos_sql()} SELECT query_id, rank, vec_id, score FROM cr WHERE rank <= 10",
+    "minmax_normalize": f"WITH {_cos_sql()}, k AS (SELECT * FROM cr WHERE rank <= 20) SELECT query_id, vec_id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0::DOUBLE ELSE round((score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w), 6) END AS normalized FROM k WINDOW w AS (PARTITION BY query_id)",
     "hybrid_text": _hybrid_sql(0.6, 0.4),
     "hybrid_weighted": _hybrid_sql(0.35, 0.65),
     "diversity_single_kind": f"""WITH {_bm25_sql()}, h AS (SELECT ranked.*, source AS document FROM ranked JOIN documents USING (doc_id) WHERE rank <= 50),

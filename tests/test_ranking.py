@@ -58,3 +58,23 @@ def test_registry(spark):
 def test_nearest_rank(spark):
     d = spark.createDataFrame([([float(x) for x in range(1, 12)],), ([],)], "v array<double>")
     assert [r[0] for r in d.select(evaluate.nearest_rank(F.col("v"), 95)).collect()] == [11.0, None]
+
+
+def test_nearest_ranks_equal_those_of_sorted_arrays(spark):
+    groups = {"a": [float(i % 37) for i in range(500)], "b": [3.0], "c": [1.0, float("inf"), float("-inf"), 2.0], None: [5.0, 7.0, 7.0], "d": [1e300, -1e300, 0.0]}
+    rows = [(g, v) for g, vs in groups.items() for v in [*vs, None]] + [("e", None)]
+    for bins in (1, 7, 4096):
+        out = evaluate.nearest_ranks(spark.createDataFrame(rows, "k string, x double"), "k", "x", {"p95": 95, "p50": 50}, bins).collect()
+        assert {r.k: (r.p95, r.p50) for r in out} == {"e": (None, None)} | {g: tuple(sorted(vs)[round(p * (len(vs) - 1))] for p in (0.95, 0.5)) for g, vs in groups.items()}
+    assert evaluate.nearest_ranks(spark.createDataFrame([], "k string, x double"), "k", "x", {"p95": 95}).count() == 0
+
+
+def test_cosine_blocks_give_what_one_block_gives(spark):
+    from lodestone.operators import lexical, vector
+
+    rows = [(i, [float(i % 5), float(i % 3), 1.0]) for i in range(60)] + [(60, None), (61, [0.0, 0.0, 0.0])]
+    e = spark.createDataFrame(rows, "id long, v array<double>")
+    q = e.where("id < 9")
+    get = lambda **k: sorted(map(tuple, lexical.ranked(vector.cosine_topk(e, "id", "v", q, "id", "v", 7, **k), 7).collect()))
+    assert get() == get(item_rows=5, question_rows=2) and len(get()) == 63
+    assert vector.cosine_topk(e.where("id < 0"), "id", "v", q, "id", "v", 7).count() == 0
