@@ -9,7 +9,7 @@ from lodestone.functions.text import stripped
 
 PAGE = r"<!--\s*page\s+[0-9]+\s*-->"
 # Lines that look like rows of a table, references to figures and captions.
-TABLE_LINE = r"\S+(?:[ \t]{2,}|\t)\S+"
+TABLE_LINE = r"\S(?:[ \t]{2,}|\t)\S"
 FIGURE_REF = r"(?i)\b(?:figure|fig\.?|chart|diagram|exhibit)\b"
 CAPTION = r"(?i)\b(?:figure|fig\.?|chart|exhibit)\s*[0-9]+"
 

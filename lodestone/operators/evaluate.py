@@ -77,6 +77,17 @@ def summarized(rows: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def worst(rows: DataFrame, keys: list[str], k: int = 5) -> DataFrame:
+    """(list, position, keys, value): the k lowest evidence recalls and the k largest gaps of questions that ought to be answered; ties by key."""
+    able = rows.where(~F.coalesce("should_abstain", F.lit(False)) & F.col("retrieved_evidence_token_recall").isNotNull())
+
+    def best(name: str, column: str, order: Column) -> DataFrame:
+        top = able.select(*keys, F.col(column).alias("value")).orderBy(order, *keys).limit(k)  # at most k rows from here on
+        return top.select(F.lit(name).alias("list"), F.row_number().over(W.orderBy(order, *keys)).alias("position"), *keys, "value")
+
+    return best("lowest_evidence_recall", "retrieved_evidence_token_recall", F.col("value")).unionByName(best("largest_gap", "evidence_answer_gap", F.col("value").desc()))
+
+
 @F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio, as the standard library computes it, to 4 places."""

@@ -16,10 +16,11 @@ def lines(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
 
 
 def pages(rows: DataFrame) -> DataFrame:
-    """(doc, ord, line, page, has_markers) without the markers; lines before the first marker have no page."""
+    """(doc, ord, line, page, section, has_markers) without the markers; lines before the first marker have no page."""
     marker = F.coalesce(F.nullif(F.regexp_extract("line", V.PAGE_MARKER, 1), F.lit("")), F.nullif(F.regexp_extract("line", V.PAGE_MARKER, 2), F.lit("")))
     order = W.partitionBy("doc").orderBy("ord")
     out = rows.withColumn("marker", marker.try_cast("int")).withColumn("page", F.last("marker", ignorenulls=True).over(order))
+    out = out.withColumn("section", F.count("marker").over(order))
     out = out.withColumn("has_markers", F.max(F.col("marker").isNotNull()).over(W.partitionBy("doc")))
     return out.where("marker IS NULL").drop("marker")
 
@@ -56,20 +57,20 @@ def line_score(line: Column) -> Column:
     return score + F.when(line.rlike(r"[0-9]\s{2,}[0-9]"), 1).otherwise(0)
 
 
-def spans(rows: DataFrame, least: int = 3) -> DataFrame:
-    """(doc, first, last, highs): islands of high lines; one line that is not blank may lie between two of them."""
-    order = W.partitionBy("doc").orderBy("ord")
+def spans(rows: DataFrame, least: int = 3, by: tuple[str, ...] = ("doc",)) -> DataFrame:
+    """(doc, first, last, highs): islands of high lines; one line that is not blank may lie between two of them. They end with a part ``by``."""
+    order = W.partitionBy(*by).orderBy("ord")
     scored = rows.withColumn("high", line_score(F.col("line")) >= least).withColumn("before_blank", F.trim(F.lag("line").over(order)) == "")
     high = scored.where("high").withColumn("gap", F.col("ord") - F.lag("ord").over(order))
     fresh = F.col("gap").isNull() | (F.col("gap") > 2) | ((F.col("gap") == 2) & F.col("before_blank"))
     high = high.withColumn("island", F.sum(fresh.cast("int")).over(order))
-    out = high.groupBy("doc", "island").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.count("*").alias("highs"))
+    out = high.groupBy(*by, "island").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.count("*").alias("highs"))
     return out.where("highs >= 2 AND last - first + 1 >= 3").drop("island")
 
 
-def look_behind(rows: DataFrame) -> DataFrame:
+def look_behind(rows: DataFrame, by: tuple[str, ...] = ("doc",)) -> DataFrame:
     """Each line with the start of a span that would begin at it, and the heading before it."""
-    window = lambda n: F.collect_list(F.struct("ord", "line")).over(W.partitionBy("doc").orderBy("ord").rowsBetween(-n, -1))
+    window = lambda n: F.collect_list(F.struct("ord", "line")).over(W.partitionBy(*by).orderBy("ord").rowsBetween(-n, -1))
     out = rows.withColumn("seven", F.reverse(window(7))).withColumn("nine", F.reverse(window(9)))
 
     def step(s: Column, x: Column) -> Column:
@@ -80,7 +81,45 @@ def look_behind(rows: DataFrame) -> DataFrame:
     start = F.aggregate("seven", F.struct(F.col("ord").alias("at"), F.lit(False).alias("stop")), step)["at"]
     bare = F.transform("nine", lambda x: stripped(F.regexp_replace(stripped(x["line"]), "^#+|#+$", "")))
     heading = F.filter(bare, lambda t: (t != "") & (F.length(t) <= 120) & ~F.call_function("regexp_like", t, F.lit("[0-9]")))
-    return out.select("doc", "ord", start.alias("span_start"), F.try_element_at(heading, F.lit(1)).alias("heading"))
+    return out.select(*by, "ord", start.alias("span_start"), F.try_element_at(heading, F.lit(1)).alias("heading"))
+
+
+def span_records(rows: DataFrame, chunks: DataFrame | None = None, fallback_used: bool = False, most: int = 10_000) -> DataFrame:
+    """Lines (doc, ord, line) to table-like text as evidence, page by page.
+
+    (doc, start, table_id, page, title, raw_text, n_rows, risk_flags, source_chunk_id, span_hash): spans with the lines before them,
+    of three lines or more after a cut at ``most`` characters (the record's own limit), each text once a document. Ids count within
+    the nearest chunk of ``chunks``, else the page, else 0.
+    """
+    part = ("doc", "section")
+    lines_ = pages(rows)
+    behind = look_behind(lines_, part)
+    first = behind.select("doc", F.col("ord").alias("first"), "span_start")
+    title = behind.select("doc", F.col("ord").alias("start"), F.col("heading").alias("title"))
+    found = spans(lines_, by=part).join(first, ["doc", "first"]).select("doc", F.col("span_start").alias("start"), "first", F.explode(F.sequence("span_start", "last")).alias("ord"))
+    text = found.join(lines_, ["doc", "ord"]).groupBy("doc", "start", "first", "page", "has_markers").agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("l"))
+    text = text.withColumn("raw_text", stripped(F.array_join("l.line", "\n"))).withColumn("raw_text", F.when(F.length("raw_text") > most, stripped(F.substring("raw_text", 1, most))).otherwise(F.col("raw_text")))
+    text = text.withColumn("n_rows", F.size(F.split("raw_text", "\n"))).where("n_rows >= 3").withColumn("span_hash", F.sha2("raw_text", 256))
+    once = text.withColumn("n", F.row_number().over(W.partitionBy("doc", "span_hash").orderBy("first"))).where("n = 1")
+    out = once.drop("l", "n").join(title, ["doc", "start"], "left")
+    if chunks is None:
+        out = out.withColumn("chunk_index", F.lit(None).cast("int")).withColumn("source_chunk_id", F.lit(None).cast("string"))
+    else:
+        near = nearest_chunk(out.select("doc", F.col("first").alias("id"), F.col("page").alias("page_start"), F.col("page").alias("page_end")), chunks)
+        out = out.join(near.select("doc", F.col("id").alias("first"), "chunk_index", F.col("chunk_id").alias("source_chunk_id")), ["doc", "first"], "left")
+    out = out.withColumn("chunk_index", F.coalesce("chunk_index", "page", F.lit(0)))
+    nth = F.row_number().over(W.partitionBy("doc", "chunk_index").orderBy("first")) - 1
+    flags = F.array_sort(F.array_compact(F.array(F.lit("fallback_parser_used" if fallback_used else "fallback_text_span"), F.when(~F.col("has_markers"), "missing_page_markers"))))
+    out = out.withColumn("table_id", F.format_string("%s:table_text:%04d:%02d", F.substring("doc", 1, 12), "chunk_index", nth)).withColumn("risk_flags", flags)
+    return out.select("doc", "start", "table_id", "page", "title", "raw_text", "n_rows", "risk_flags", "source_chunk_id", "span_hash")
+
+
+def evidence(rows: DataFrame, **options) -> DataFrame:
+    """Pipe tables, then table-like spans, numbered on within a document: (doc, table_index, source_kind, start, n_rows, readiness)."""
+    piped = pipe_tables(rows).select("doc", F.lit("markdown").alias("source_kind"), "start", "n_rows", "readiness", F.lit(1).alias("kind"))
+    like = span_records(rows, **options).select("doc", F.lit("text_pattern").alias("source_kind"), "start", "n_rows", F.lit("weak").alias("readiness"), F.lit(2).alias("kind"))
+    nth = F.row_number().over(W.partitionBy("doc").orderBy("kind", "start")) - 1
+    return piped.unionByName(like).select("doc", nth.alias("table_index"), "source_kind", "start", "n_rows", "readiness")
 
 
 def header_row(flags: Column, first_row: Column) -> Column:

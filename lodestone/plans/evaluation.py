@@ -31,6 +31,10 @@ def eval_summary(s, d):
     return evaluate.summarized(rows, ["category"])
 
 
+def eval_worst(s, d):
+    return evaluate.worst(_scored(s, d), ["conv_id", "turn"])
+
+
 def nearest_rank_p95(s, d):
     """A12 of event values by type."""
     return evaluate.nearest_ranks(I.table(s, d, "events"), "event_type", "value", {"p95": 95, "p50": 50})
@@ -67,7 +71,7 @@ def documents_used(s, d):
     return first.select("query_id", "document", F.row_number().over(W.partitionBy("query_id").orderBy("ord")).alias("position"))
 
 
-QUERIES = {f.__name__: f for f in (token_recalls, score_answers, eval_summary, nearest_rank_p95, sequence_similarity, citation_labels, used_evidence, evidence_by_document, documents_used)}
+QUERIES = {f.__name__: f for f in (token_recalls, score_answers, eval_summary, eval_worst, nearest_rank_p95, sequence_similarity, citation_labels, used_evidence, evidence_by_document, documents_used)}
 
 _TURNS = "tu AS (SELECT a.conv_id, a.turn, b.text AS expected, a.text AS answer FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn = b.turn + 1 WHERE a.role = 'assistant')"
 _SET = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+'))"
@@ -93,6 +97,8 @@ SQL = {
     "score_answers": f"WITH {_SCORED} SELECT * FROM sc",
     "eval_summary": f"""WITH {_SCORED} SELECT (turn % 4)::VARCHAR AS category, count(*) AS n, {_RATE.format("answer_present")} AS answer_present_rate, {_RATE.format("citation_presence")} AS citation_presence_rate, {_RATE.format("abstention_detected")} AS abstention_rate,
 {_RATE.format("(abstention_correct = 'true')")} AS abstention_correct_rate, round_even(avg(expected_answer_token_recall), 4) AS expected_recall_avg, round_even(avg(answer_token_recall), 4) AS answer_recall_avg, round_even(avg(retrieved_evidence_token_recall), 4) AS evidence_recall_avg FROM sc GROUP BY 1""",
+    "eval_worst": f"""WITH {_SCORED}, ok AS (SELECT conv_id, turn, retrieved_evidence_token_recall AS r, evidence_answer_gap AS g FROM sc WHERE conv_id % 3 <> 0 AND retrieved_evidence_token_recall IS NOT NULL),
+b AS (SELECT 'lowest_evidence_recall' AS list, (row_number() OVER (ORDER BY r, conv_id, turn))::INT AS position, conv_id, turn, r AS value FROM ok UNION ALL SELECT 'largest_gap', (row_number() OVER (ORDER BY g DESC, conv_id, turn))::INT, conv_id, turn, g FROM ok) SELECT * FROM b WHERE position <= 5""",
     "nearest_rank_p95": f"SELECT event_type, {_RANK.format('0.95::DOUBLE')} AS p95, {_RANK.format('0.5::DOUBLE')} AS p50 FROM events GROUP BY 1",
     "citation_labels": f"WITH {_HITS} SELECT query_id, doc_id, citation FROM lab",
     "used_evidence": f"WITH {_HITS} SELECT query_id, citation, doc_id, citation IN ('C1', 'T2', 'V' || query_id % 4) AS used FROM lab",

@@ -56,6 +56,16 @@ def table_like_spans(s, d):
     return tables.spans(_lines(s, d))
 
 
+def table_span_records(s, d):
+    """X9."""
+    return tables.span_records(_lines(s, d)).select("doc", "table_id", "page", "title", "raw_text", "n_rows", F.array_join("risk_flags", ",").alias("risk_flags"), "span_hash")
+
+
+def table_evidence(s, d):
+    """X14."""
+    return tables.evidence(_lines(s, d))
+
+
 def span_context(s, d):
     """X7 and X8 for every line."""
     return tables.look_behind(_lines(s, d))
@@ -237,7 +247,7 @@ def figure_candidates(s, d):
     return visuals.figure_candidates(docs).select("content_hash", "label", "page")
 
 
-QUERIES = {f.__name__: f for f in (text_blocks, long_block_split, chunk_pack, chunk_pack_overlap, page_split, pipe_tables, table_line_score, table_like_spans, span_context, grid_tables, dense_grids, nearest_heading_asof, nearest_chunk_interval, caption_refs, table_intent, visual_intent, evidence_router, abstention_query, abstention_eval, citation_ids, numeric_parse, page_labels, evidence_texts, structured_observations, simple_row_observations, matrix_observations, select_extremum, table_answers, page_renders, picture_records, figure_candidates)}
+QUERIES = {f.__name__: f for f in (text_blocks, long_block_split, chunk_pack, chunk_pack_overlap, page_split, pipe_tables, table_line_score, table_like_spans, table_span_records, table_evidence, span_context, grid_tables, dense_grids, nearest_heading_asof, nearest_chunk_interval, caption_refs, table_intent, visual_intent, evidence_router, abstention_query, abstention_eval, citation_ids, numeric_parse, page_labels, evidence_texts, structured_observations, simple_row_observations, matrix_observations, select_extremum, table_answers, page_renders, picture_records, figure_candidates)}
 
 _BLOCKS = r"""b AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS ord, unnest(l) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
 blk AS (SELECT doc_id, ord::INT AS ord, CASE WHEN ord = 0 THEN 'section_header' ELSE 'text' END AS label, (ord // 10 + 1)::INT AS page, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM b),
@@ -274,6 +284,17 @@ def _phrases(col, contractions, phrases, curly):
     return " OR ".join(f"contains({x}, '{p.replace(chr(39), chr(39) * 2)}')" for p in phrases)
 
 
+_RECORDS = rf"""{I.REPORT_SQL}, {_PAGES},
+sec AS (SELECT * FROM (SELECT *, count(marker) OVER (PARTITION BY doc ORDER BY ord) AS section FROM pages) WHERE marker IS NULL),
+sc AS (SELECT *, {_SCORE} AS score, trim(lag(line) OVER (PARTITION BY doc, section ORDER BY ord)) = '' AS bb FROM sec),
+hi AS (SELECT *, ord - lag(ord) OVER (PARTITION BY doc, section ORDER BY ord) AS gap FROM sc WHERE score >= 3),
+il AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 2 OR (gap = 2 AND bb) THEN 1 ELSE 0 END) OVER (PARTITION BY doc, section ORDER BY ord) AS island FROM hi),
+sp AS (SELECT doc, section, min(ord) AS f, max(ord) AS l FROM il GROUP BY doc, section, island HAVING count(*) >= 2 AND max(ord) - min(ord) + 1 >= 3),
+st AS (SELECT sp.doc, sp.section, f, l, greatest(f - 7, min(b.ord), coalesce(max(b.ord) FILTER (WHERE b.ord < f AND b.ord >= f - 7 AND (trim(b.line) = '' OR (length(trim(b.line)) > 140 AND NOT ({_FIN.replace("line", "b.line")})))) + 1, 0)) AS s FROM sp JOIN sec b ON b.doc = sp.doc AND b.section = sp.section GROUP BY sp.doc, sp.section, f, l),
+tx AS (SELECT st.doc, st.section, s, f, any_value(b.page) AS page, trim(string_agg(b.line, chr(10) ORDER BY b.ord) FILTER (WHERE b.ord BETWEEN s AND l), ' ' || chr(9) || chr(10) || chr(13)) AS raw_text,
+  arg_max(trim(regexp_replace(trim(b.line), '^#+|#+$', '', 'g')), b.ord) FILTER (WHERE b.ord < s AND b.ord >= s - 9 AND trim(b.line, ' #') <> '' AND length(trim(b.line, ' #')) <= 120 AND NOT regexp_matches(b.line, '[0-9]')) AS title FROM st JOIN sec b ON b.doc = st.doc AND b.section = st.section GROUP BY st.doc, st.section, s, f, l),
+ra AS (SELECT *, len(string_split(raw_text, chr(10)))::INT AS n_rows, sha256(raw_text) AS span_hash FROM tx WHERE length(raw_text) <= 10000),
+un AS (SELECT * FROM ra WHERE n_rows >= 3 QUALIFY row_number() OVER (PARTITION BY doc, span_hash ORDER BY f) = 1)"""
 _ANSWERS = f"a AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN text || ' ' || {_pick(ANSWERS, 'conv_id')} ELSE text END AS answer FROM conversations)"
 _BARE = r"trim(regexp_replace(trim(c), '[$,%()]', '', 'g'))"
 
@@ -291,6 +312,10 @@ SELECT doc_id, chunk_index, length(text)::INT AS n_chars, sha256(text) AS text_s
 h AS (SELECT *, ord - lag(ord) OVER (PARTITION BY doc ORDER BY ord) AS gap FROM sc WHERE score >= 3),
 i AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 2 OR (gap = 2 AND bb) THEN 1 ELSE 0 END) OVER (PARTITION BY doc ORDER BY ord) AS island FROM h)
 SELECT doc, min(ord)::INT AS first, max(ord)::INT AS last, count(*) AS highs FROM i GROUP BY doc, island HAVING count(*) >= 2 AND max(ord) - min(ord) + 1 >= 3""",
+    "table_span_records": f"""WITH {_RECORDS} SELECT doc, doc[1:12] || ':table_text:' || lpad(coalesce(page, 0)::VARCHAR, 4, '0') || ':' || lpad((row_number() OVER (PARTITION BY doc, coalesce(page, 0) ORDER BY f) - 1)::VARCHAR, 2, '0') AS table_id, page, title, raw_text, n_rows,
+'fallback_text_span' || CASE WHEN (SELECT count(marker) FROM pages p WHERE p.doc = un.doc) = 0 THEN ',missing_page_markers' ELSE '' END AS risk_flags, span_hash FROM un""",
+    "table_evidence": f"""WITH {_RECORDS}, al AS (SELECT segment AS doc, 'markdown' AS source_kind, 5 AS start, 1 AS n_rows, 'good' AS readiness FROM reps UNION ALL SELECT doc, 'text_pattern', s::INT, n_rows, 'weak' FROM un)
+SELECT doc, (row_number() OVER (PARTITION BY doc ORDER BY source_kind, start) - 1)::INT AS table_index, source_kind, start, n_rows, readiness FROM al""",
     "span_context": rf"""WITH {I.REPORT_SQL}, f AS (SELECT a.doc, a.ord, max(b.ord) AS stop FROM lines a LEFT JOIN lines b ON a.doc = b.doc AND b.ord < a.ord AND b.ord >= a.ord - 7 AND (trim(b.line) = '' OR (length(trim(b.line)) > 140 AND NOT ({_FIN.replace("line", "b.line")}))) GROUP BY ALL),
 n AS (SELECT doc, ord, trim(regexp_replace(trim(line), '^#+|#+$', '', 'g')) AS line FROM lines),
 h AS (SELECT a.doc, a.ord, arg_max(b.line, b.ord) AS heading FROM lines a JOIN n b ON a.doc = b.doc AND b.ord < a.ord AND b.ord >= a.ord - 9 AND b.line <> '' AND length(b.line) <= 120 AND NOT regexp_matches(b.line, '[0-9]') GROUP BY ALL)

@@ -61,3 +61,23 @@ def test_figures(spark):
     got = {(r["label"], r["page"]) for r in visuals.figure_candidates(d).collect()}
     assert got == {("Figure 9", None), ("Figure 1", 3), ("Chart 2", 7)}
     assert visuals.page_renders(d.withColumn("artifact_dir", F.lit("x"))).count() == 10
+
+
+def test_span_records_keep_pages_and_texts_apart(spark):
+    grid = "Revenue 10 20 30\nNet income 1 2 3\nTotal assets 4 5 6"
+    text = f"## Results #\n\n{grid}\n\n<!-- page 2 -->\n{grid}\nTotal loss 7 8 9\n\n<!-- page 3 -->\n{grid}"
+    docs = spark.createDataFrame([("a", text), ("b", grid), ("c", ""), ("d", "plain words"), ("e", None)], "doc string, t string")
+    got = {r.table_id: r for r in tables.span_records(tables.lines(docs, "doc", F.col("t"))).collect()}
+    assert set(got) == {"a:table_text:0000:00", "a:table_text:0002:00", "b:table_text:0000:00"}  # page 3 repeats the first text
+    assert got["a:table_text:0000:00"].title == "Results" and got["a:table_text:0000:00"].raw_text == grid
+    assert got["a:table_text:0002:00"].page == 2 and got["a:table_text:0002:00"].n_rows == 4
+    assert list(got["b:table_text:0000:00"].risk_flags) == ["fallback_text_span", "missing_page_markers"]
+    chunks = spark.createDataFrame([("a", "a:0", 0, 1, 1), ("a", "a:7", 7, 2, 3)], "content_hash string, chunk_id string, chunk_index int, page_start int, page_end int")
+    near = {r.page: r for r in tables.span_records(tables.lines(docs.where("doc = 'a'"), "doc", F.col("t")), chunks).collect()}
+    assert near[2].source_chunk_id == "a:7" and near[2].table_id == "a:table_text:0007:00"
+
+
+def test_headings_as_of_a_page(spark):
+    h = spark.createDataFrame([("a", 1, 1, "one"), ("a", 5, None, "free"), ("a", 9, 3, "three")], "doc string, ord int, page int, text string")
+    i = spark.createDataFrame([("a", 1, 1), ("a", 2, 3), ("a", 3, None), ("b", 4, 1)], "doc string, id int, page int")
+    assert {r.id: r.heading for r in tables.heading_as_of(i, h).collect()} == {1: "free", 2: "three", 3: "three", 4: None}
