@@ -111,6 +111,18 @@ def basename(path: Column) -> Column:
     return F.regexp_extract(path, r"[^/\\]*$", 0)
 
 
+def under(path: Column, root: str) -> Column:
+    """whether a normal path is the root or lies under it."""
+    r = root.rstrip("/")
+    return (path == r) | path.startswith(r + "/")
+
+
+def display_path(path: Column, root: str) -> Column:
+    """Relative to the root where it lies under it, with forward slashes."""
+    p, r = F.replace(path, F.lit("\\"), F.lit("/")), root.rstrip("/")
+    return F.when(p == r, ".").when(under(p, r), F.substr(p, F.lit(len(r) + 2))).otherwise(p)
+
+
 def chunk_index(chunk_id: Column) -> Column:
     """The number in an id such as 0123456789ab:text:0007; null if there is none."""
     return F.regexp_extract(chunk_id, r":text:([0-9]+)$", 1).try_cast("int")

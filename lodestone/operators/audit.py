@@ -75,3 +75,30 @@ def verdicts(s: DataFrame) -> DataFrame:
         F.when(F.col("page_count") > 200, "large_document"), F.when(F.col("chunk_count") > 1000, "high_chunk_count"),
     ]
     return out.withColumn("quality_status", status).withColumn("risk_flags", F.array_compact(F.array(*flags)))
+
+
+def staged(docs: DataFrame) -> DataFrame:
+    """Docs (content_hash, canonical in JSON, markdown) with audit_status and failed_stage: a document that can't be read is a
+    row, not an exception. Statistics are expressions over what was read and can't fail."""
+    stage = F.when(F.try_parse_json("canonical").isNull(), "read_canonical").when(F.col("markdown").isNull(), "read_markdown")
+    return docs.withColumn("failed_stage", stage).withColumn("audit_status", F.when(stage.isNull(), "completed").otherwise("failed"))
+
+
+def reports(rows: DataFrame) -> DataFrame:
+    """(content_hash, json, markdown) of audited documents: rows of ``verdicts`` with audit_run_id, audit_status, parser_name,
+    elapsed_ms and error_message. Null fields are left out of the JSON; documents that failed have neither verdicts nor summary."""
+    done = F.col("audit_status") == "completed"
+    verdict = F.struct("quality_status", "risk_flags", "table_readiness", "text_readiness", "visual_readiness")
+    counts = ["avg_chars_per_page", "caption_candidate_count", "chunk_count", "empty_page_count", "figure_candidate_count", "figure_count", "page_count", "parse_error_count", "table_candidate_count", "table_count", "table_like_page_count", "text_chars_total"]
+    payload = F.struct("audit_run_id", "audit_status", "content_hash", "elapsed_ms", "error_message", "fallback_used", "parser_name", F.when(done, F.struct(*counts)).alias("summary"), F.when(done, verdict).alias("verdicts"))
+    text = lambda template, *cols: F.format_string(template, *cols)
+    head = text("# Parse Quality Audit Report\n\n**Status:** %s\n**Content Hash:** `%s...`\n**Parser:** %s (fallback: %s)\n**Elapsed:** %s ms\n", "audit_status", F.substring("content_hash", 1, 16), "parser_name", F.initcap(F.col("fallback_used").cast("string")), F.coalesce(F.col("elapsed_ms").cast("string"), F.lit("n/a")))
+    ready = text("## Readiness Verdicts\n\n| Dimension | Verdict |\n|---|---|\n| Overall | **%s** |\n| Text | %s |\n| Tables | %s |\n| Visual | %s |\n", "quality_status", "text_readiness", "table_readiness", "visual_readiness")
+    flags = F.concat(F.lit("## Risk Flags\n\n"), F.array_join(F.transform("risk_flags", lambda f: F.concat(F.lit("- `"), f, F.lit("`\n"))), ""))
+    numbers = text(
+        "## Summary\n\n- Pages: %s (%s empty)\n- Tables: %s structured, %s candidates\n- Figures: %s structured, %s candidates\n- Text: %s chars, %s avg/page\n",
+        "page_count", "empty_page_count", "table_count", "table_candidate_count", "figure_count", "figure_candidate_count", F.format_number("text_chars_total", 0), F.replace(F.format_number("avg_chars_per_page", 0), F.lit(","), F.lit("")),
+    )
+    error = F.concat(F.lit("## Error\n\n"), F.col("error_message"), F.lit("\n"))
+    markdown = F.concat_ws("\n", head, F.when(done, ready), F.when(done & (F.size("risk_flags") > 0), flags), F.when(done, numbers), error)
+    return rows.select("content_hash", F.to_json(payload).alias("json"), markdown.alias("markdown"))

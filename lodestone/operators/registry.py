@@ -58,6 +58,21 @@ def reverse_ids(documents: DataFrame, names: DataFrame) -> DataFrame:
     return both.groupBy("content_hash").agg(F.min_by("doc_id", "ord").alias("doc_id"))
 
 
+def registered(names: DataFrame, documents: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Names (doc_id, filename) to the document (document_id, content_hash, source_path) whose path ends so, case as written, and
+    how many chunks it has: (doc_id, filename, document_id, content_hash, indexed_chunk_count). Of several, the least id counts.
+
+    Names have few lengths, so each path is looked up once a length.
+    """
+    known = names.where("filename <> ''")
+    lengths = [r[0] for r in known.select(F.length("filename")).distinct().collect()]
+    ends = documents.select("document_id", "content_hash", F.explode(F.array(*[F.right("source_path", F.lit(n)) for n in lengths] or [F.lit(None).cast("string")])).alias("filename"))
+    first = known.join(ends, "filename").groupBy("doc_id").agg(F.min(F.struct("document_id", "content_hash")).alias("d")).select("doc_id", "d.*")
+    counts = chunks.groupBy("document_id", "content_hash").agg(F.count("*").alias("indexed_chunk_count"))
+    found = first.join(counts, ["document_id", "content_hash"], "left").select("doc_id", "document_id", "content_hash", "indexed_chunk_count")
+    return names.join(found, "doc_id", "left").select("doc_id", F.coalesce("filename", F.lit("")).alias("filename"), "document_id", "content_hash", F.coalesce("indexed_chunk_count", F.lit(0).cast("long")).alias("indexed_chunk_count"))
+
+
 def enriched(hits: DataFrame, scope: DataFrame, override_document: bool) -> DataFrame:
     """Hits with the scope's doc_id, and for texts its document_id, by content hash."""
     s = scope.select(F.col("content_hash").alias("sh"), F.col("doc_id").alias("sd"), F.col("document_id").alias("si"))

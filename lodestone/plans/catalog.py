@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import evaluation, evidence, records, retrieval
+from lodestone.plans import answering, evaluation, evidence, records, retrieval
 
-PARTS = (retrieval, evidence, records, evaluation)
+PARTS = (retrieval, evidence, records, evaluation, answering)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -133,13 +133,13 @@ cs AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(v.e,
 cr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM cs)"""
 
 
-def _hybrid_sql(a, b):
+def _hybrid_sql(a, b, k=10):
     return f"""WITH {_bm25_sql()}, {_cos_sql()},
-dn AS (SELECT query_id, vec_id AS id, score, rank, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0::DOUBLE ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS n FROM cr WHERE rank <= 20 WINDOW w AS (PARTITION BY query_id)),
-ln AS (SELECT query_id, doc_id AS id, score, rank, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0::DOUBLE ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS n FROM ranked WHERE rank <= 20 WINDOW w AS (PARTITION BY query_id)),
-f AS (SELECT query_id, id, dn.score AS dense_score, ln.score AS lexical_score, round({a}::DOUBLE * coalesce(dn.n, 0) + {b}::DOUBLE * coalesce(ln.n, 0), 6) AS hybrid_score, coalesce(dn.rank, 20 + ln.rank) AS first FROM dn FULL JOIN ln USING (query_id, id)),
+dn AS (SELECT query_id, vec_id AS id, score, rank, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0::DOUBLE ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS n FROM cr WHERE rank <= {2 * k} WINDOW w AS (PARTITION BY query_id)),
+ln AS (SELECT query_id, doc_id AS id, score, rank, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0::DOUBLE ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS n FROM ranked WHERE rank <= {2 * k} WINDOW w AS (PARTITION BY query_id)),
+f AS (SELECT query_id, id, dn.score AS dense_score, ln.score AS lexical_score, round({a}::DOUBLE * coalesce(dn.n, 0) + {b}::DOUBLE * coalesce(ln.n, 0), 6) AS hybrid_score, coalesce(dn.rank, {2 * k} + ln.rank) AS first FROM dn FULL JOIN ln USING (query_id, id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hybrid_score DESC, first, id)::INT AS rank FROM f)
-SELECT query_id, rank, id, dense_score, lexical_score, hybrid_score FROM r WHERE rank <= 10"""
+SELECT query_id, rank, id, dense_score, lexical_score, hybrid_score FROM r WHERE rank <= {k}"""
 
 
 def _boost_sql():

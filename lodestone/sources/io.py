@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import basename, filled, safe_filename
@@ -78,6 +78,22 @@ def read_trees(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.TREE).option("multiLine", "true").json(path)
 
 
+def tree_pages(tree: Column) -> Column:
+    """Pages of a parse tree in JSON: the size of its list or object ``pages``, else 0."""
+    pages = F.get_json_object(tree, "$.pages")
+    return F.coalesce(F.json_array_length(pages), F.size(F.json_object_keys(pages)), F.lit(0))
+
+
+def tree_labels(tree: Column, labels: list[str]) -> Column:
+    """Nodes of a parse tree in JSON, at any depth, whose label is one of these, in any case, blanks read as underscores.
+
+    JSON is written anew without blanks between tokens. A quote inside a string has a backslash before it, so that what looks
+    like a label there is none. A tree that is no JSON has 0.
+    """
+    names = "|".join(x.replace("_", "[_ ]") for x in labels)
+    return F.coalesce(F.regexp_count(F.to_json(F.try_parse_json(tree)), F.lit(rf'(?i)(?<!\\)"(?-i:label)":"(?:{names})"')), F.lit(0))
+
+
 def optional_text(docs: DataFrame, texts: DataFrame, key: str) -> DataFrame:
     """A left join where missing and blank texts are null."""
     return docs.join(texts.withColumn("text", filled(F.trim("text"))), key, "left")
