@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import exact_dedup, html_text, mixing, ngram_join, pieces, pii, quality, reply_trees, topk, warc
+from lodestone.llm import exact_dedup, html_text, mixing, ngram_join, pieces, pii, quality, reply_trees, runs, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,14 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents")).drop("class_size")
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = runs.word_runs(runs.with_periods(table(spark, sf_dir, "documents")))
+    best = runs.strongest(F.col("runs"))
+    rows = rows.select("doc_id", "n_words", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), runs.listed(F.col("runs")).alias("listed"), "collapsed")
+    milli = F.expr("(1000 * best.length) div best.period")
+    return rows.select("doc_id", "n_words", "n_runs", "best.start", "best.length", "best.period", milli.alias("exponent_milli"), F.sha2("listed", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 OP2_SQL = """
 WITH v AS (SELECT vec_id, row_number() OVER () AS place, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -127,7 +135,7 @@ SELECT n.doc_id, n.n_shingles, min(r.at) AS component_id FROM n JOIN r USING (do
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_exact_topk": op2_exact_topk, "op3_quality": op3_quality, "op4_html_text": op4_html_text, "op5_warc": op5_warc, "op6_reply_trees": op6_reply_trees, "op7_exact_dedup": op7_exact_dedup, "op8_sentencepiece": op8_sentencepiece, "op9_source_mixing": op9_source_mixing, "op10_ngram_jaccard": op10_ngram_jaccard}
+    return {"op1_pii": op1_pii, "op2_exact_topk": op2_exact_topk, "op3_quality": op3_quality, "op4_html_text": op4_html_text, "op5_warc": op5_warc, "op6_reply_trees": op6_reply_trees, "op7_exact_dedup": op7_exact_dedup, "op8_sentencepiece": op8_sentencepiece, "op9_source_mixing": op9_source_mixing, "op10_ngram_jaccard": op10_ngram_jaccard, "op13_periodic_runs": op13_periodic_runs}
 
 
 def oracle_sql() -> dict[str, str]:
