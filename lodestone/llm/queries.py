@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import exact_dedup, html_text, mixing, ngram_join, pieces, pii, quality, reply_trees, runs, topk, warc
+from lodestone.llm import codebooks, exact_dedup, html_text, mixing, ngram_join, pieces, pii, quality, reply_trees, runs, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,12 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents")).drop("class_size")
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = codebooks.trained_codes(table(spark, sf_dir, "embeddings"))
+    rows = codebooks.label_errors(codes)
+    return rows.select(F.col("id").alias("vec_id"), codebooks.code(F.col("entry")).alias("code"), "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = runs.word_runs(runs.with_periods(table(spark, sf_dir, "documents")))
     best = runs.strongest(F.col("runs"))
@@ -134,9 +140,30 @@ SELECT n.doc_id, n.n_shingles, min(r.at) AS component_id FROM n JOIN r USING (do
 """
 
 
+def _op12_sql(rounds: int = 4) -> str:
+    """The rounds written out one after the other; distances and sums are whole numbers throughout."""
+    near = """a{k} AS (SELECT p.place, p.part, arg_min(c.j, struct_pack(d := list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, c.x) + list_inner_product(c.x, c.x), j := c.j)) AS j,
+  min(list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, c.x) + list_inner_product(c.x, c.x))::BIGINT AS d FROM p JOIN c{k} c USING (part) GROUP BY ALL)"""
+    move = """s{k} AS (SELECT part, j, pos, sum(y)::BIGINT AS s, count(*) AS n FROM (SELECT part, j, unnest(x)::BIGINT AS y, unnest(range(len(x))) AS pos FROM p JOIN a{k} USING (place, part)) GROUP BY ALL),
+c{n} AS (SELECT c.part, c.j, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN
+  (SELECT part, j, list((CASE WHEN s >= 0 THEN s // n ELSE -((n - 1 - s) // n) END)::DOUBLE ORDER BY pos) AS x FROM s{k} GROUP BY ALL) m USING (part, j))"""
+    steps = ",\n".join(x for k in range(rounds) for x in (near.format(k=k), move.format(k=k, n=k + 1)))
+    return f"""
+WITH v AS (SELECT vec_id, label, row_number() OVER () AS place, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT place, vec_id, part, e[1 + part * (len(e) // 4) : (part + 1) * (len(e) // 4)] AS x FROM v, (SELECT unnest(range(4)) AS part)),
+c0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id NULLS LAST, x) - 1 AS j, x FROM p QUALIFY j < 256),
+{steps},
+{near.format(k=rounds)},
+r AS (SELECT place, string_agg(lower(printf('%02x', j)), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY place),
+b AS (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda y: y::BIGINT), ','), ',' ORDER BY part, j)) AS h FROM c{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM r JOIN v USING (place), b
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_exact_topk": op2_exact_topk, "op3_quality": op3_quality, "op4_html_text": op4_html_text, "op5_warc": op5_warc, "op6_reply_trees": op6_reply_trees, "op7_exact_dedup": op7_exact_dedup, "op8_sentencepiece": op8_sentencepiece, "op9_source_mixing": op9_source_mixing, "op10_ngram_jaccard": op10_ngram_jaccard, "op13_periodic_runs": op13_periodic_runs}
+    return {"op1_pii": op1_pii, "op2_exact_topk": op2_exact_topk, "op3_quality": op3_quality, "op4_html_text": op4_html_text, "op5_warc": op5_warc, "op6_reply_trees": op6_reply_trees, "op7_exact_dedup": op7_exact_dedup, "op8_sentencepiece": op8_sentencepiece, "op9_source_mixing": op9_source_mixing, "op10_ngram_jaccard": op10_ngram_jaccard, "op12_vector_codes": op12_vector_codes, "op13_periodic_runs": op13_periodic_runs}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_topk": OP2_SQL, "op5_warc": OP5_SQL, "op6_reply_trees": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op9_source_mixing": OP9_SQL, "op10_ngram_jaccard": OP10_SQL}
+    return {"op2_exact_topk": OP2_SQL, "op5_warc": OP5_SQL, "op6_reply_trees": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op9_source_mixing": OP9_SQL, "op10_ngram_jaccard": OP10_SQL, "op12_vector_codes": _op12_sql()}
