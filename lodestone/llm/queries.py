@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import codebooks, exact_dedup, html_text, mixing, ngram_join, pieces, pii, quality, reply_trees, runs, topk, warc
+from lodestone.llm import codebooks, exact_dedup, html_text, mixing, ngram_join, pieces, pii, quality, reply_trees, runs, suffix_index, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,12 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_components(table(spark, sf_dir, "documents")).drop("class_size")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = suffix_index.without_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("runs", F.lit(0).cast("long"), lambda n, r: n + r["to"] - r["from"])
+    return rows.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("runs").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     codes, books = codebooks.trained_codes(table(spark, sf_dir, "embeddings"))
     rows = codebooks.label_errors(codes)
@@ -140,6 +146,22 @@ SELECT n.doc_id, n.n_shingles, min(r.at) AS component_id FROM n JOIN r USING (do
 """
 
 
+OP11_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT r, p, md5(b[p + 1 : p + 200]) AS h FROM (SELECT r, b, unnest(range(octet_length(b) - 199)) AS p FROM d WHERE octet_length(b) >= 200)),
+a AS (SELECT r, p FROM w QUALIFY count(*) OVER (PARTITION BY h) > 1),
+m AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 200 THEN 0 ELSE 1 END AS fresh FROM a),
+n AS (SELECT *, sum(fresh) OVER (PARTITION BY r ORDER BY p) AS k FROM m),
+s AS (SELECT r, k, min(p) AS x, max(p) + 200 AS y FROM n GROUP BY ALL),
+g AS (SELECT r, coalesce(lag(y) OVER (PARTITION BY r ORDER BY x), 0) AS x, x AS y FROM s UNION ALL SELECT r, max(y), NULL FROM s GROUP BY r),
+k AS (SELECT r, string_agg(hex(b[g.x + 1 : coalesce(g.y, octet_length(b))]), '' ORDER BY g.x) AS kept FROM g JOIN d USING (r) GROUP BY r),
+t AS (SELECT r, sum(y - x)::BIGINT AS n_removed, count(*) AS n_spans FROM s GROUP BY r)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(CASE WHEN n_removed IS NULL THEN b ELSE unhex(kept) END) AS kept_sha256
+FROM d LEFT JOIN t USING (r) LEFT JOIN k USING (r)
+"""
+
+
 def _op12_sql(rounds: int = 4) -> str:
     """The rounds written out one after the other; distances and sums are whole numbers throughout."""
     near = """a{k} AS (SELECT p.place, p.part, arg_min(c.j, struct_pack(d := list_inner_product(p.x, p.x) - 2 * list_inner_product(p.x, c.x) + list_inner_product(c.x, c.x), j := c.j)) AS j,
@@ -162,8 +184,8 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_pii": op1_pii, "op2_exact_topk": op2_exact_topk, "op3_quality": op3_quality, "op4_html_text": op4_html_text, "op5_warc": op5_warc, "op6_reply_trees": op6_reply_trees, "op7_exact_dedup": op7_exact_dedup, "op8_sentencepiece": op8_sentencepiece, "op9_source_mixing": op9_source_mixing, "op10_ngram_jaccard": op10_ngram_jaccard, "op12_vector_codes": op12_vector_codes, "op13_periodic_runs": op13_periodic_runs}
+    return {"op1_pii": op1_pii, "op2_exact_topk": op2_exact_topk, "op3_quality": op3_quality, "op4_html_text": op4_html_text, "op5_warc": op5_warc, "op6_reply_trees": op6_reply_trees, "op7_exact_dedup": op7_exact_dedup, "op8_sentencepiece": op8_sentencepiece, "op9_source_mixing": op9_source_mixing, "op10_ngram_jaccard": op10_ngram_jaccard, "op11_suffix_dedup": op11_suffix_dedup, "op12_vector_codes": op12_vector_codes, "op13_periodic_runs": op13_periodic_runs}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_topk": OP2_SQL, "op5_warc": OP5_SQL, "op6_reply_trees": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op9_source_mixing": OP9_SQL, "op10_ngram_jaccard": OP10_SQL, "op12_vector_codes": _op12_sql()}
+    return {"op2_exact_topk": OP2_SQL, "op5_warc": OP5_SQL, "op6_reply_trees": OP6_SQL, "op7_exact_dedup": OP7_SQL, "op9_source_mixing": OP9_SQL, "op10_ngram_jaccard": OP10_SQL, "op11_suffix_dedup": OP11_SQL, "op12_vector_codes": _op12_sql()}
