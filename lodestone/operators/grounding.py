@@ -166,8 +166,8 @@ def candidates(rerank: bool, top_n: int, k: int) -> int:
 def optionally_reranked(pairs: DataFrame, load: Callable[[], Callable[[list[tuple[str, str]]], list[float]]] | None, k: int) -> DataFrame:
     """Pairs (query_id, id, rank, question, text) to (query_id, id, pre_rank, rank, rerank_score, status), k a question.
 
-    Without a model, the order stays and the status is disabled. A model that can't be loaded (unavailable) or fails on a question
-    (failed) leaves that question's order as it was, without scores; other questions are applied. Failures are rows, not
+    Without a model, the order stays and the status is disabled. A model that can't be loaded (unavailable), or that fails on a
+    question or gives it another number of scores than it has pairs (failed), leaves that question's order as it was, without scores; other questions are applied. Failures are rows, not
     exceptions, so that a task that is tried again says the same.
     """
     q, i = (pairs.schema[c].dataType.simpleString() for c in ("query_id", "id"))
@@ -185,7 +185,10 @@ def optionally_reranked(pairs: DataFrame, load: Callable[[], Callable[[list[tupl
                     scores, status = None, why or "applied"
                     if model is not None:
                         try:
-                            scores = model(list(zip(part.question, part.text, strict=True)))
+                            found = [float(x) for x in model(list(zip(part.question, part.text, strict=True)))]
+                            if len(found) != len(part):
+                                raise ValueError("a score a pair is needed")
+                            scores = found
                         except Exception:  # noqa: BLE001 - so is a question that it can't score
                             status = "failed"
                     yield part[["query_id", "id", "rank"]].assign(rerank_score=pd.Series(scores, part.index, "float64"), status=status)[["query_id", "id", "rerank_score", "status", "rank"]]

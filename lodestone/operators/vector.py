@@ -1,46 +1,89 @@
-"""Exact cosine search (R7): vectors are turned into unit vectors once; blocks of questions meet blocks of items."""
+"""Exact cosine search (R7): unit vectors in blocks; each block of items meets the blocks of questions as products of matrices.
+
+Defined results: vectors that are null or empty, hold a null or a non-finite component, or have no direction take no part, and
+neither do rows with a null id. Questions meet the items that have as many components as they do, and no others. Rows that repeat
+an item's id are items of their own; rows that repeat a question's id ask once more, and ``lexical.ranked`` ranks all of an id's
+hits together. Of equal scores the smaller id comes first. Without questions or items there are no hits.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+PLACES = 6
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
 
 
 def unit(vector: Column) -> Column:
+    """A vector of length 1 and the same direction; null where there is none. Components are brought near 1 first, so that neither
+    very large nor very small ones lose it."""
     v = F.transform(vector, lambda x: x.cast("double"))
-    norm = F.sqrt(dot(v, v))
-    return F.when(norm > 0, F.transform(v, lambda x: x / norm))
+    finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    v = F.when(finite, v)
+    v = _over(v, F.array_max(F.transform(v, lambda x: F.abs(x))))
+    return _over(v, F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)))
+
+
+def _over(v: Column, by: Column) -> Column:
+    """Each component over one number, which is found once; null where that isn't positive."""
+    return F.when(by > 0, F.zip_with(v, F.array_repeat(by, F.size(v)), lambda x, b: x / b))
+
+
+def rounded(scores: np.ndarray) -> np.ndarray:
+    """To ``PLACES``, halves away from zero, as SQL rounds."""
+    scores = scores * 10**PLACES
+    return np.trunc(scores + np.copysign(0.5, scores)) / 10**PLACES
+
+
+def in_blocks(rows: DataFrame, block: Column, name: str) -> DataFrame:
+    """(id, v) to a row a block: name, size of its vectors, ids, and their components one after the other."""
+    each = rows.withColumn(name, block).withColumn("size", F.size("v")).groupBy(name, "size").agg(F.collect_list(F.struct("id", "v")).alias("r"))
+    return each.select(name, "size", F.col("r.id").alias(f"{name}_ids"), F.flatten("r.v").alias(f"{name}_data"))
+
+
+def matrix(cell: pa.ListScalar, size: int) -> np.ndarray:
+    return np.asarray(cell.values.to_numpy(zero_copy_only=False), np.float64).reshape(-1, size)
+
+
+def best_rows(ids: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` best of a row of scores, ties to the smaller id."""
+    near = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
+    return near[np.lexsort((ids[near], -row[near]))][:k]
 
 
 def cosine_topk(items: DataFrame, id_col: str, vector_col: str, questions: DataFrame, query_id: str, query_vector: str, k: int, item_rows: int = 10_000, question_rows: int = 500) -> DataFrame:
     """(query_id, id, score): for each block of items, the k best of each question by (score, id); ``lexical.ranked`` picks among blocks.
 
-    A pair of blocks is one product of matrices of about ``question_rows`` by ``item_rows``, so a task's memory is bounded and no
-    pair of rows leaves it but the best. Scores have 6 places. Rows without an id or with a null or zero vector take no part.
+    Items move once, to their block; only blocks of questions, a stated set, are sent to every block of items. A pair of blocks is
+    a product of about ``question_rows`` by ``item_rows``, so a task's memory is bounded. Scores have 6 places.
     """
-    asked = questions.select(F.col(query_id).alias("query_id"), unit(F.col(query_vector)).alias("q")).where("query_id IS NOT NULL AND q IS NOT NULL")
+    asked = questions.select(F.col(query_id).alias("id"), unit(F.col(query_vector)).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     rows = items.select(F.col(id_col).alias("id"), unit(F.col(vector_col)).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     nq, ni = (max(1, -(-d.count() // n)) for d, n in ((questions, question_rows), (items, item_rows)))
-    asked = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nq))).withColumn("ib", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ni - 1).cast("long"))))
-    rows = rows.withColumn("ib", F.pmod(F.xxhash64("id", "v"), F.lit(ni))).withColumn("qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))))
-
-    def best(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(v):
-            return pd.DataFrame({"query_id": q.query_id[:0], "id": v.id[:0], "score": np.zeros(0)})
-        scores = np.stack(q.q.to_numpy()) @ np.stack(v.v.to_numpy()).T * 1e6
-        scores = np.trunc(scores + np.copysign(0.5, scores)) / 1e6
-        ids, out = v.id.to_numpy(), []
-        for i, row in enumerate(scores):
-            near = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
-            near = near[np.lexsort((ids[near], -row[near]))][:k]
-            out.append(pd.DataFrame({"query_id": q.query_id.iloc[i], "id": ids[near], "score": row[near]}))
-        return pd.concat(out)
-
-    types = [d.schema[c].dataType.simpleString() for d, c in ((asked, "query_id"), (rows, "id"))]
-    return asked.groupBy("qb", "ib").cogroup(rows.groupBy("qb", "ib")).applyInPandas(best, f"query_id {types[0]}, id {types[1]}, score double")
+    asked = in_blocks(asked, F.pmod(F.xxhash64("id"), F.lit(nq)), "q")
+    rows = in_blocks(rows, F.pmod(F.xxhash64("id", "v"), F.lit(ni)), "i")
+    sent = asked.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(ni - 1).cast("long"))))
+    query_type, id_type = (d.schema[c].dataType.elementType.simpleString() for d, c in ((asked, "q_ids"), (rows, "i_ids")))
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                size = batch.column("size")[r].as_py()
+                asks, ids = batch.column("q_ids")[r].values, batch.column("i_ids")[r].values
+                plain = ids.to_numpy(zero_copy_only=False)
+                scores = rounded(matrix(batch.column("q_data")[r], size) @ matrix(batch.column("i_data")[r], size).T)
+                near = [best_rows(plain, row, k) for row in scores]
+                who = np.repeat(np.arange(len(near)), [len(n) for n in near])
+                at = np.concatenate(near)
+                yield pa.RecordBatch.from_arrays([asks.take(pa.array(who)), ids.take(pa.array(at)), pa.array(scores[who, at])], ["query_id", "id", "score"])
+
+    pairs = sent.join(rows, ["i", "size"]).select("size", "q_ids", "q_data", "i_ids", "i_data")
+    return pairs.mapInArrow(best, f"query_id {query_type}, id {id_type}, score double")

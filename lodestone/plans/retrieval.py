@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens
-from lodestone.operators import fusion, lexical, ranking, registry, vector
+from lodestone.operators import fusion, lexical, ranking, registry, vector, vector_index
 from lodestone.plans import inputs as I
 
 TOK = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
@@ -55,10 +55,14 @@ def bm25_boosted_topk(s, d):
     return lexical.ranked(both, 20).select("rank", F.col("id").alias("doc_id"), "boost", "score")
 
 
-def _cosine(s, d, k):
+def _asked(e):
     """Questions are the vectors whose id is divisible by 100, against all vectors."""
+    return e.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+
+
+def _cosine(s, d, k):
     e = I.table(s, d, "embeddings")
-    q = e.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qv"))
+    q = _asked(e)
     return lexical.ranked(vector.cosine_topk(e, "vec_id", "embedding", q, "query_id", "qv", k), k)
 
 
@@ -70,6 +74,15 @@ def cosine_batch_topk(s, d):
     return _cosine(s, d, 10).select("query_id", "rank", F.col("id").alias("vec_id"), "score")
 
 
+def vector_index_recall(s, d):
+    """R7, approximate: an index of all vectors; of each question's ten exact hits, whether nine tenths are found."""
+    e = I.table(s, d, "embeddings")
+    index = vector_index.build(e, "vec_id", "embedding")
+    found = lexical.ranked(vector_index.search(index, _asked(e), "query_id", "qv", e, "vec_id", "embedding", 10), 10)
+    got = vector_index.recall(_cosine(s, d, 10), found)
+    return got.select("hits", (F.col("recall") >= 0.9).alias("nine_tenths_found"))
+
+
 def _sides(s, d, k):
     dense = _cosine(s, d, 2 * k)
     words = lexical.ranked(_bm25(s, d), 2 * k)
@@ -111,7 +124,7 @@ def rerank_scores(s, d):
     return ranking.reranked(hits, scores, 10).select("query_id", F.col("id").alias("doc_id"), "pre_rerank_rank", "post_rerank_rank", "rerank_score")
 
 
-QUERIES = {f.__name__: f for f in (tokenize_counts, doc_frequency, bm25_topk, bm25_scoped_topk, bm25_batch_topk, bm25_boosted_topk, cosine_topk, cosine_batch_topk, minmax_normalize, hybrid_text, hybrid_weighted, diversity_single_kind, diversity_multi_kind, rerank_scores)}
+QUERIES = {f.__name__: f for f in (tokenize_counts, doc_frequency, bm25_topk, bm25_scoped_topk, bm25_batch_topk, bm25_boosted_topk, cosine_topk, cosine_batch_topk, vector_index_recall, minmax_normalize, hybrid_text, hybrid_weighted, diversity_single_kind, diversity_multi_kind, rerank_scores)}
 
 
 def _bm25_sql(docs="documents", questions="benchmark"):
@@ -167,6 +180,7 @@ SQL = {
     "bm25_boosted_topk": _boost_sql(),
     "cosine_topk": f"WITH {_cos_sql()} SELECT query_id, rank, vec_id, score FROM cr WHERE rank <= 20",
     "cosine_batch_topk": f"WITH {_cos_sql()} SELECT query_id, rank, vec_id, score FROM cr WHERE rank <= 10",
+    "vector_index_recall": f"WITH {_cos_sql()} SELECT count(*) AS hits, true AS nine_tenths_found FROM cr WHERE rank <= 10",
     "minmax_normalize": f"WITH {_cos_sql()}, k AS (SELECT * FROM cr WHERE rank <= 20) SELECT query_id, vec_id, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0::DOUBLE ELSE round((score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w), 6) END AS normalized FROM k WINDOW w AS (PARTITION BY query_id)",
     "hybrid_text": _hybrid_sql(0.6, 0.4),
     "hybrid_weighted": _hybrid_sql(0.35, 0.65),
