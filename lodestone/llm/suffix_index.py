@@ -307,7 +307,7 @@ def _matched_in_crowds(pieces: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = 200, batches: int = 4, crowd: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """d1, d2, spans: for each text with repeated bytes, known by its two hashes, the [from, to) of repeated windows; they overlap.
+    """d1, d2, runs: for each text with repeated bytes, known by its two hashes, the maximal [from, to) of them, in order.
 
     ``length`` is from 200 to 250 (anchors and stretch hashes are laid out for it)."""
     if not 200 <= length <= 250:
@@ -336,27 +336,35 @@ def repeated_spans(docs: DataFrame, length: int = 200, batches: int = 4, crowd:
     of_ranges = F.transform("ranges", lambda r: span(F.col("first") + r["from"], F.col("first") + r["to"] + (length - 1)))
     every = F.array(span(F.col("first"), F.col("first") + F.col("windows") + (length - 1)))
     hits = hits.select("d1", "d2", F.explode(F.coalesce(of_ranges, every)).alias("span"))
-    spans = written(hits.groupBy("d1", "d2").agg(F.collect_set("span").alias("spans")), "suffix-spans")
+    merge = F.arrow_udf(_joined, "array<struct<from:int,to:int>>")
+    spans = written(hits.groupBy("d1", "d2").agg(F.collect_set("span").alias("spans")).select("d1", "d2", merge("spans").alias("runs")), "suffix-spans")
     emptied(places, found)
     return spans
 
 
-def _without(text: pa.Array, spans: pa.Array) -> pa.Array:
-    """What is left of each text, and its maximal removed runs; nothing where spans are null."""
+def _joined(spans: pa.Array) -> pa.Array:
+    """Overlapping and touching [from, to) of each row as one."""
     out = []
-    for raw, own in zip(text, spans, strict=True):
-        if not own.is_valid:
-            out.append(None)
-            continue
-        raw, own = raw.as_buffer().to_pybytes(), own.values
-        a, b = own.field("from").to_numpy(), own.field("to").to_numpy()
+    for own in spans:
+        a, b = own.values.field("from").to_numpy(), own.values.field("to").to_numpy()
         order = np.argsort(a, kind="stable")
         a, b = a[order], np.maximum.accumulate(b[order])
         new = np.flatnonzero(np.r_[True, a[1:] > b[:-1]])
-        starts, ends = a[new].tolist(), b[np.r_[new[1:] - 1, len(b) - 1]].tolist()
-        kept = b"".join(raw[x:y] for x, y in zip([0, *ends], [*starts, len(raw)], strict=True))
-        out.append({"kept": kept, "runs": [{"from": x, "to": y} for x, y in zip(starts, ends, strict=True)]})
-    return pa.array(out, pa.struct([("kept", pa.binary()), ("runs", pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])))]))
+        out.append([{"from": x, "to": y} for x, y in zip(a[new].tolist(), b[np.r_[new[1:] - 1, len(b) - 1]].tolist(), strict=True)])
+    return pa.array(out, pa.list_(pa.struct([("from", pa.int32()), ("to", pa.int32())])))
+
+
+def _without(text: pa.Array, runs: pa.Array) -> pa.Array:
+    """What is left of each text; null where runs are null."""
+    out = []
+    for raw, own in zip(text, runs, strict=True):
+        if not own.is_valid:
+            out.append(None)
+            continue
+        raw = raw.as_buffer().to_pybytes()
+        starts, ends = own.values.field("from").to_pylist(), own.values.field("to").to_pylist()
+        out.append(b"".join(raw[x:y] for x, y in zip([0, *ends], [*starts, len(raw)], strict=True)))
+    return pa.array(out, pa.binary())
 
 
 def without_repeats(docs: DataFrame, length: int = 200, batches: int = 4, crowd: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -364,9 +372,8 @@ def without_repeats(docs: DataFrame, length: int = 200, batches: int = 4, crowd:
     spans = repeated_spans(docs, length, batches, crowd, id_col, text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("id", "text", F.xxhash64(F.lit(1), "text").alias("t1"), F.xxhash64(F.lit(2), "text").alias("t2"))
-    rows = rows.join(_few(spans, F.size("spans") * 16 + 64), (F.col("t1") == F.col("d1")) & (F.col("t2") == F.col("d2")), "left")
-    cut = F.arrow_udf(_without, "kept binary, runs array<struct<from:int,to:int>>")
-    done = cut(F.when(F.col("spans").isNotNull(), F.col("text").cast("binary")), "spans")
-    rows = rows.select("id", "text", F.octet_length("text").cast("long").alias("n_bytes"), done.alias("done"))
+    rows = rows.join(_few(spans, F.size("runs") * 16 + 64), (F.col("t1") == F.col("d1")) & (F.col("t2") == F.col("d2")), "left")
+    cut = F.arrow_udf(_without, "binary")
+    kept = cut(F.when(F.col("runs").isNotNull(), F.col("text").cast("binary")), "runs")
     empty = F.array().cast("array<struct<from:int,to:int>>")
-    return rows.select(F.col("id").alias(id_col), "n_bytes", F.coalesce("done.runs", empty).alias("runs"), F.coalesce("done.kept", F.col("text").cast("binary")).alias("kept"))
+    return rows.select(F.col("id").alias(id_col), F.octet_length("text").cast("long").alias("n_bytes"), F.coalesce("runs", empty).alias("runs"), F.coalesce(kept, F.col("text").cast("binary")).alias("kept"))
