@@ -438,15 +438,39 @@ def unfinished(bad: DataFrame, star: DataFrame, classes: DataFrame) -> DataFrame
 
 
 def few_members(members: DataFrame, classes: DataFrame, at: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) across components under signatures with few members whose sketches are close."""
-    few = members.join(at, F.col("cid") == F.col("node"), "left").select("sig", "cid", F.coalesce("component", "cid").alias("at"))
-    few = few.join(classes.select("cid", "n"), "cid")
-    x, y = few.select("sig", F.col("cid").alias("a"), F.col("at").alias("aat"), F.col("n").alias("xn")), few.select(F.col("sig").alias("ysig"), F.col("cid").alias("b"), F.col("at").alias("bat"), F.col("n").alias("yn"))
-    least = F.ceil(percent * (F.col("xn") + F.col("yn")) / (100 + percent))
-    pairs = x.join(y, (F.col("sig") == F.col("ysig")) & (F.col("a") > F.col("b")) & (F.col("aat") != F.col("bat")) & (least <= F.least("xn", "yn"))).select("a", "b").distinct()
-    side = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"{c}n"), F.col("sketch").alias(f"{c}sketch"))
-    close = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "an", "bn", "asketch", "bsketch")
-    return sketch_pairs(close, percent).where("maybe").select("a", "b")
+    """Pairs (a, b) across components under signatures with few members whose sketches are close.
+
+    A signature's members, ``DIRECT_ROWS`` at most, come together with their sketches, and only close pairs become rows."""
+    few = members.select("sig", "cid").join(at, F.col("cid") == F.col("node"), "left").select("sig", "cid", F.coalesce("component", "cid").alias("at"))
+    several = few.groupBy("sig").agg(F.countDistinct("at").alias("x")).where("x > 1").select("sig")
+    few = few.join(several, "sig").join(classes.select("cid", "n", "sketch"), "cid")
+    rows = few.groupBy("sig").agg(F.collect_list(F.struct("cid", "at", "n", "sketch")).alias("rows")).select("rows")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bands = Bands(percent)
+        for batch in batches:
+            for r in range(batch.num_rows):
+                own = batch.column(0)[r].values
+                yield close_pairs(bands, own, own)
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def close_pairs(bands: Bands, x: pa.StructArray, y: pa.StructArray) -> pa.RecordBatch:
+    """Pairs (a, b), a > b, of rows (cid, at, n, sketch) in different components whose sizes and sketches allow them to be similar."""
+    cid, comp, n = ([s.field(k).to_numpy() for s in (x, y)] for k in range(3))
+    sk = [s.field(3).to_pylist() for s in (x, y)]
+    a, b = [], []
+    for i in range(len(cid[0])):
+        # sizes and components first: few pairs are left for their sketches
+        near = np.flatnonzero((comp[1] != comp[0][i]) & _close(bands, np.full(len(n[1]), n[0][i]), n[1], np.zeros(len(n[1]), np.int64)))
+        if x is y:
+            near = near[near > i]
+        bits = np.array([differing(sk[0][i], sk[1][j]) for j in near], np.int64)
+        hit = near[_close(bands, np.full(len(near), n[0][i]), n[1][near], bits)]
+        a += [cid[0][i]] * len(hit)
+        b += cid[1][hit].tolist()
+    return _rows([np.maximum(np.array(a, np.int64), np.array(b, np.int64)), np.minimum(np.array(a, np.int64), np.array(b, np.int64))], ["a", "b"])
 
 
 def many_members(members: DataFrame, pairs: DataFrame, classes: DataFrame, at: DataFrame, percent: int) -> DataFrame:
@@ -473,17 +497,7 @@ def many_members(members: DataFrame, pairs: DataFrame, classes: DataFrame, at: D
         for batch in batches:
             for r in range(batch.num_rows):
                 x, y = (batch.column(i)[r].values for i in (0, 1))
-                cid, comp, n = ([s.field(k).to_numpy() for s in (x, y)] for k in range(3))
-                sk = [s.field(3).to_pylist() for s in (x, y)]
-                a, b = [], []
-                for i in range(len(cid[0])):
-                    # sizes and components first: few pairs of a block are left for their sketches
-                    near = np.flatnonzero((comp[1] != comp[0][i]) & _close(bands, np.full(len(n[1]), n[0][i]), n[1], np.zeros(len(n[1]), np.int64)))
-                    bits = np.array([differing(sk[0][i], sk[1][j]) for j in near], np.int64)
-                    hit = near[_close(bands, np.full(len(near), n[0][i]), n[1][near], bits)]
-                    a += [cid[0][i]] * len(hit)
-                    b += cid[1][hit].tolist()
-                yield _rows([np.maximum(np.array(a, np.int64), np.array(b, np.int64)), np.minimum(np.array(a, np.int64), np.array(b, np.int64))], ["a", "b"])
+                yield close_pairs(bands, x, y)
 
     return two.join(of("x"), "x").join(of("y"), "y").select("xrows", "yrows").mapInArrow(run, "a long, b long").distinct()
 
