@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -41,17 +42,18 @@ def nearest_rank(values: Column, percent: float) -> Column:
     return F.when(F.size(values) > 0, F.element_at(F.array_sort(values), F.greatest(F.lit(0), F.least(at, F.size(values) - 1)) + 1))
 
 
-def nearest_ranks(rows: DataFrame, by: str, value: str, percents: dict[str, float], bins: int = 4096) -> DataFrame:
+def nearest_ranks(rows: DataFrame, by: str, value: str, percents: dict[str, float | Callable[[Column], Column]], bins: int = 4096) -> DataFrame:
     """A12 for groups of any size: (by, one column a name in ``percents``); null values don't count, a group of them has nulls.
 
     Equal values are counted first. Counts in ``bins`` equal ranges between a group's finite extremes say in which range a rank
-    lies, and only the values of those ranges are sorted, so no group is gathered in one task.
+    lies, and only the values of those ranges are sorted, so no group is gathered in one task. A percent may be a function from
+    the number of values to a rank from 0.
     """
     v = F.col("v")
     counts = rows.select(F.col(by).alias("g"), F.col(value).cast("double").alias("v")).groupBy("g", "v").agg(F.count("v").alias("n"))
     finite = F.when((v > float("-inf")) & (v < float("inf")), v)
     span = counts.groupBy("g").agg(F.min(finite).alias("lo"), F.max(finite).alias("hi"), F.sum("n").alias("total"))
-    span = span.select(F.col("g").alias("sg"), "lo", "hi", *[F.bround(F.lit(p / 100) * (F.col("total") - 1), 0).cast("long").alias(f"at_{c}") for c, p in percents.items()])
+    span = span.select(F.col("g").alias("sg"), "lo", "hi", *[(p(F.col("total")) if callable(p) else F.bround(F.lit(p / 100) * (F.col("total") - 1), 0)).cast("long").alias(f"at_{c}") for c, p in percents.items()])
     inner = F.when(F.col("hi") > F.col("lo"), F.least(F.lit(bins - 1), F.floor((v - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins))).otherwise(0)
     place = F.when(v == float("-inf"), -1).when(v >= float("inf"), bins).otherwise(inner).cast("int")
     placed = counts.where("v IS NOT NULL").join(span, F.col("g").eqNullSafe(F.col("sg"))).withColumn("bin", place).drop("sg", "lo", "hi")

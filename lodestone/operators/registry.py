@@ -44,17 +44,54 @@ def scope_all(documents: DataFrame, *modalities: DataFrame) -> DataFrame:
     return documents.join(every.distinct(), "content_hash", "left_semi")
 
 
-def resolve_ids(names: DataFrame, documents: DataFrame) -> DataFrame:
-    """Names (doc_id, filename) to documents by lower-case name of the path: (doc_id, n, content_hash, status)."""
+def suffix_matches(names: DataFrame, documents: DataFrame) -> DataFrame:
+    """names (doc_id, filename) to (doc_id, content_hash) of each document whose lower-case path ends with the name, where an
+    underscore in a name stands for any one character and a per cent sign for any.
+
+    The longest literal piece of a name after its last per cent sign, and its distance from the end, are looked up in an index of
+    the paths: each path has one row for each distinct (distance, length) that names have. Pairs that agree there are matched
+    whole. Names without a literal piece at a known place have no matches: they would match everything."""
+    low = names.where("filename IS NOT NULL").select("doc_id", F.lower("filename").alias("name"))
+    tail = F.substring_index("name", "%", -1)
+    pieces = F.split(tail, "_")
+    # (length, distance from the end, piece): pieces in order, each followed by one character for the underscore
+    after = lambda i: F.aggregate(F.slice(pieces, i + 2, F.size(pieces)), F.lit(0), lambda n, p: n + F.length(p) + 1)
+    placed = F.transform(pieces, lambda p, i: F.struct(F.length(p).alias("length"), after(i).alias("distance"), p.alias("piece")))
+    low = low.withColumn("k", F.array_max(placed)).select("doc_id", "name", "k.*").where("length > 0")
+    shapes = [(r["length"], r["distance"]) for r in low.select("length", "distance").distinct().collect()]  # as many as names have shapes
+    path = F.lower("source_path")
+    cut = [F.struct(F.lit(n).alias("length"), F.lit(d).alias("distance"), F.when(F.length(path) >= n + d, F.substring(path, F.length(path) - (n + d) + 1, F.lit(n))).alias("piece")) for n, d in shapes]
+    empty = F.array().cast("array<struct<length:int,distance:int,piece:string>>")
+    ends = documents.select("content_hash", path.alias("path"), F.explode(F.array(*cut) if cut else empty).alias("k")).select("content_hash", "path", "k.*")
+    both = low.join(ends, ["length", "distance", "piece"]).withColumn("pattern", F.concat(F.lit("%"), F.replace("name", F.lit("\\"), F.lit("\\\\"))))
+    return both.where(F.expr("path LIKE pattern")).select("doc_id", "content_hash").distinct()
+
+
+def _exact_matches(names: DataFrame, documents: DataFrame) -> DataFrame:
     d = documents.select(F.lower(basename(F.col("source_path"))).alias("name"), "content_hash")
-    both = names.select("doc_id", F.lower("filename").alias("name")).join(d, "name", "left").groupBy("doc_id").agg(F.count("content_hash").alias("n"), F.min("content_hash").alias("content_hash"))
-    return both.withColumn("status", F.when(F.col("n") == 0, "not_found").when(F.col("n") > 1, "ambiguous").otherwise("resolved"))
+    return names.select("doc_id", F.lower("filename").alias("name")).join(d, "name").select("doc_id", "content_hash").distinct()
+
+
+def resolve_ids(names: DataFrame, documents: DataFrame) -> DataFrame:
+    """Names (doc_id, filename) to documents: (doc_id, n, content_hash, status). A document whose file has that name in any case,
+    else one whose path ends with it (``suffix_matches``). None is not_found; several are ambiguous, and have the least hash."""
+    exact = _exact_matches(names, documents)
+    rest = names.join(exact.select("doc_id").distinct(), "doc_id", "left_anti")
+    found = exact.unionByName(suffix_matches(rest, documents))
+    counts = found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("content_hash").alias("content_hash"))
+    both = names.select("doc_id").distinct().join(counts, "doc_id", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    return both.select("doc_id", "n", "content_hash", F.when(F.col("n") == 0, "not_found").when(F.col("n") > 1, "ambiguous").otherwise("resolved").alias("status"))
 
 
 def reverse_ids(documents: DataFrame, names: DataFrame) -> DataFrame:
-    """Each document's doc_id: the first name, in map order, that its path ends with. Names are a dimension of the service."""
-    n = names.select(F.col("doc_id"), F.lower("filename").alias("name"), "ord")
-    both = documents.select("content_hash", F.lower(basename(F.col("source_path"))).alias("name")).join(n, "name", "left")
+    """Each document's doc_id: the first name, in map order, that is its file's name or that its path ends with, in any case and
+    as written: underscores stand for themselves here. Names (doc_id, filename, ord) have few lengths; each path is looked up once
+    a length."""
+    n = names.where("filename <> ''").select("doc_id", F.lower("filename").alias("name"), "ord")
+    lengths = [r[0] for r in n.select(F.length("name")).distinct().collect()]
+    path = F.lower("source_path")
+    ends = F.array(*[F.right(path, F.lit(k)) for k in lengths]) if lengths else F.array().cast("array<string>")
+    both = documents.select("content_hash", F.explode_outer(F.array_distinct(ends)).alias("name")).join(n, "name", "left")
     return both.groupBy("content_hash").agg(F.min_by("doc_id", "ord").alias("doc_id"))
 
 

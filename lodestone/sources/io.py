@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import basename, filled, safe_filename
 from lodestone.operators.registry import latest
-from lodestone.sources import schemas
+from lodestone.sources import schemas, stored
 
 MAGIC = b"%PDF"
 
@@ -46,6 +46,49 @@ def parsed(files: DataFrame, parse: Callable[[bytes], list[tuple[int, str]]]) ->
     return files.select("content_hash", "content").mapInPandas(run, "content_hash string, page int, text string, error string")
 
 
+ERRORS = "array<struct<type:string,stage:string,message:string>>"
+
+
+def parsed_in_order(files: DataFrame, parsers: list[tuple[str, Callable[[bytes], tuple[list[tuple[int, str]], list[str]]]]], threshold: int = 50_000_000) -> DataFrame:
+    """(content_hash, parser, pages, errors) of each file: the first parser's pages, or where it raises or reports errors the
+    next one's, and so on; what went wrong before is carried along in ``errors``.
+
+    A parser takes a file's bytes and gives pages (number, text) and messages of errors; each worker holds it. Files larger than
+    ``threshold`` go to the last parser at once, with the reason among their errors. Each step is a written table of the files that
+    came that far, so none is parsed twice. The last parser's result stands, with its errors; where it raises there are no pages.
+    Blank pages are left out; null contents count as empty; files of equal content hash are files of their own."""
+    spark = files.sparkSession
+    schema = f"content_hash string, parser string, pages array<struct<page:int,text:string>>, errors {ERRORS}, done boolean"
+    size = F.coalesce(F.octet_length("content"), F.lit(0))
+    large = F.array(F.struct(F.lit("parser_selection").alias("type"), F.lit("selection").alias("stage"), F.lit("Used the last parser because the file size exceeded the threshold.").alias("message")))
+    rows = files.select("content_hash", "content", F.when(size > threshold, large).otherwise(F.array().cast(ERRORS)).alias("errors"), F.when(size > threshold, len(parsers) - 1).otherwise(0).alias("at"))
+    out = None
+    for k, (name, parse) in enumerate(parsers):
+        last = k == len(parsers) - 1
+
+        def run(frames: Iterator[pd.DataFrame], name: str = name, parse: Callable = parse, last: bool = last) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                got = []
+                for h, content, before in zip(f.content_hash, f.content, f.errors, strict=True):
+                    try:
+                        pages, said = parse(bytes(content or b""))
+                        errors = [{"type": "parser_error", "stage": name, "message": str(m)} for m in said]
+                    except Exception as e:  # noqa: BLE001 - a file that can't be parsed goes to the next parser
+                        pages, errors = [], [{"type": type(e).__name__, "stage": name, "message": str(e)}]
+                    kept_pages = [{"page": int(n), "text": t} for n, t in pages if t and t.strip()]
+                    got.append((h, content, name, kept_pages, [*[dict(x) if isinstance(x, dict) else x.asDict() for x in before], *errors], last or not errors))
+                yield pd.DataFrame(got, columns=["content_hash", "content", "parser", "pages", "errors", "done"])
+
+        own = rows.where(F.col("at") == k).select("content_hash", "content", "errors")
+        tried = own.mapInPandas(run, f"content_hash string, content binary, {schema.partition(', ')[2]}")
+        tried = stored.kept(tried, f"parsed-{k}")
+        ended = tried.where("done").select("content_hash", "parser", "pages", "errors")
+        out = ended if out is None else out.unionByName(ended)
+        if not last:
+            rows = rows.where(F.col("at") > k).unionByName(tried.where("NOT done").select("content_hash", "content", "errors", F.lit(k + 1).alias("at")))
+    return out if out is not None else spark.createDataFrame([], schema).drop("done")
+
+
 def markdown(pages: DataFrame) -> DataFrame:
     """One markdown per document, a comment before each page, lines stripped and blank ones dropped."""
     lines = F.filter(F.transform(F.split("text", "\n"), lambda l: F.regexp_replace(l, r"(?U)^\s+|\s+$", "")), lambda l: l != "")

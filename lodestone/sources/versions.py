@@ -74,8 +74,10 @@ class VersionedTable:
         new = rows.where(F.col(self.key).isNotNull()).select(self.schema.names)
         both = stay.unionByName(new).withColumn("__bucket", self.bucket())
         path = f"{self.root}/data/{version + 1:08d}-{uuid.uuid4().hex}"
-        both.repartition("__bucket").write.partitionBy("__bucket").parquet(path)
-        written = {r[0] for r in self.spark.read.parquet(path).select(F.col("__bucket").cast("string")).distinct().collect()} if touched else set()
+        # a bucket is written by several tasks, as one document may have most of its rows
+        both.repartition("__bucket", F.pmod(F.monotonically_increasing_id(), F.lit(8))).write.partitionBy("__bucket").parquet(path)
+        stored = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("__bucket", T.StringType())])).parquet(path)
+        written = {r[0] for r in stored.select("__bucket").distinct().collect()}
         for b in touched:
             buckets.pop(b, None)  # a bucket that lost all its rows has no folder
         return version + 1, buckets | {b: f"{path}/__bucket={b}" for b in written}
