@@ -168,8 +168,8 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int) -> Dat
     return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(run, f"id {kind}, n long, k1 long, k2 long, sketch binary")
 
 
-def stars(docs: DataFrame, text_col: str, words: int, percent: int, seed: int = 0) -> DataFrame:
-    """Rows (sig, k, h): class k and hub h, by their labels, share a signature."""
+def stars(found: DataFrame, words: int, percent: int, seed: int = 0) -> DataFrame:
+    """Rows (sig, k, h): class k and hub h, by their labels, share a signature. ``found`` is of ``Texts.found``."""
     names, schema = ["sig", "k", "h"], "sig long, k long, h long"
 
     def combined(sig: np.ndarray, k: np.ndarray) -> pa.RecordBatch:
@@ -188,10 +188,11 @@ def stars(docs: DataFrame, text_col: str, words: int, percent: int, seed: int =
         labels: list[int] = []
         rows = 0
         for b in batches:
-            for data in each_text(b, 0):
+            keys = zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
+            for data, key in zip(each_text(b, 0), keys, strict=True):
                 s = shingle_set(data, words)
-                if len(sigs := bands.signatures(s)):
-                    held.append(sigs), labels.append(key_of(s)[0])
+                if key_of(s) == key and len(sigs := bands.signatures(s)):
+                    held.append(sigs), labels.append(key[0])
                     rows += len(sigs)
                 if rows > SIGNED_ROWS:
                     yield combined(np.concatenate(held), np.repeat(np.array(labels, np.int64), [len(x) for x in held]))
@@ -218,7 +219,7 @@ def stars(docs: DataFrame, text_col: str, words: int, percent: int, seed: int =
                 yield _rows([sig[out], k[out], g[out]], names)
             at, h = sig[-1], int(g[-1])
 
-    signed = docs.select(text_col).mapInArrow(sign, schema)
+    signed = found.select("text", "k1", "k2").mapInArrow(sign, schema)
     return signed.repartition("sig").sortWithinPartitions("sig", "k").mapInArrow(gather, schema)
 
 
@@ -280,11 +281,14 @@ class Texts:
     def __init__(self, docs: DataFrame, classes: DataFrame, words: int, percent: int):
         self.docs, self.classes, self.words, self.percent = docs, classes, words, percent
 
-    def rows(self, cids: DataFrame) -> DataFrame:
-        """(cid, text) of each class of the table ``cids``; several times where rows repeat id and text."""
-        words = self.words
+    def found(self, cids: DataFrame) -> DataFrame:
+        """(cid, k1, k2, text) of the rows with the least id of each class of the table ``cids``; some may have another key."""
         wanted = self.classes.join(cids, "cid").select("cid", "k1", "k2", F.col("least").alias("__least"))
-        found = self.docs.join(small(wanted), F.col("id").eqNullSafe(F.col("__least"))).select("cid", "k1", "k2", "text")
+        return self.docs.join(small(wanted), F.col("id").eqNullSafe(F.col("__least"))).select("cid", "k1", "k2", "text")
+
+    def of(self, cids: DataFrame) -> DataFrame:
+        """(cid, text) of each class of the table ``cids``."""
+        words = self.words
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -292,10 +296,7 @@ class Texts:
                 keep = [key_of(shingle_set(t, words)) == k for t, k in zip(each_text(b, 3), keys, strict=True)]
                 yield b.select([0, 3]).filter(pa.array(keep, pa.bool_()))
 
-        return found.mapInArrow(run, "cid long, text string")
-
-    def of(self, cids: DataFrame) -> DataFrame:
-        return self.rows(cids).dropDuplicates(["cid"])
+        return self.found(cids).mapInArrow(run, "cid long, text string").dropDuplicates(["cid"])
 
 
 def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, percent: int = 90, tables: list[DataFrame] | None = None) -> DataFrame:
@@ -307,7 +308,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()), "shingle-classes")
     texts = Texts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), classes, words, percent)
     able = written(sharing(docs, classes, text_col, words, percent), "shingle-sharing")
-    star = written(stars(texts.rows(able), "text", words, percent), "shingle-stars")
+    star = written(stars(texts.found(able), words, percent), "shingle-stars")
     emptied(able)
     links = at = None
     for level in range(LEVELS):
@@ -333,7 +334,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             if links is not known:
                 at = components(links)
         else:
-            star = written(stars(texts.rows(many.select("cid").distinct()), "text", words, percent, level + 1), "shingle-stars")
+            star = written(stars(texts.found(many.select("cid").distinct()), words, percent, level + 1), "shingle-stars")
             emptied(members, pairs)
     if tables is not None:
         tables += [prints, classes, pairs]
