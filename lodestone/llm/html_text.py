@@ -4,6 +4,10 @@ A page is cut into blocks at block-level tags. Scripts, styles, comments and the
 notes its length, its share of stop words, the share of its characters inside links, whether it is in a part that is named as
 furniture (menus, headers, footers, sidebars, notices, adverts, forms, reader comments) and which main part it is in.
 
+A name of a class or id is a vote, not a veto: it counts for nothing where its element is or holds the page's first main part, holds
+the first heading together with running text, or, on a page with neither main part nor such a heading, most of the running text.
+Where a page has next to no stop words of the languages known here, length alone says what is running text.
+
 Pass one: furniture and blocks mostly of links are out; a long block of running text is in, and so is a long block of a main
 part; other blocks are undecided. Pass two: an undecided block takes the label of its nearest decided neighbours in its own
 part. Where they differ, a block with stop words is in and others are out; where there are none, the part decides: main parts
@@ -46,7 +50,7 @@ al algo como con de del desde donde e el ella en entre era es esa ese esta este
 """.split())
 
 LONG, SHORT = 140, 40
-STOPS, LINKS = 0.25, 0.5
+STOPS, LINKS, FOREIGN = 0.25, 0.5, 0.05
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -60,6 +64,8 @@ class Block:
     linked: int
     furniture: bool
     part: int  #: number of the main part that it is in, or 0
+    named: tuple[int, ...] = ()  #: elements named as furniture that it is in
+    heading: bool = False  #: whether it is the first heading
 
 
 @dataclass(slots=True)
@@ -68,6 +74,7 @@ class _Open:
     furniture: bool
     part: int
     link: bool
+    named: tuple[int, ...] = ()
 
 
 def _named_furniture(attributes: str) -> bool:
@@ -89,15 +96,18 @@ def blocks(page: str) -> list[Block]:
     stack = [_Open("", False, 0, False)]
     pieces: list[str] = []
     linked: list[str] = []
-    parts, breaks = 0, 0
+    parts, breaks, names, heading = 0, 0, 0, 0
+    main_names: tuple[int, ...] = ()  # around the first main part
+    opened: dict[str, int] = {}  # open elements by tag: a closing tag without one says nothing
 
     def flush() -> None:
-        nonlocal breaks
+        nonlocal breaks, heading
         breaks = 0
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                out.append(Block(text, len(" ".join("".join(linked).split())), stack[-1].furniture, stack[-1].part))
+                out.append(Block(text, len(" ".join("".join(linked).split())), stack[-1].furniture, stack[-1].part, stack[-1].named, heading == 1))
+                heading *= 2
             pieces.clear()
             linked.clear()
 
@@ -140,43 +150,72 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in BLOCKS:
             flush()
+        if tag == "h1" and not close and not heading:
+            heading = 1
         if tag in VOID or tag not in CONTAINERS:
             continue
         if close:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
+            while opened.get(tag):
+                gone = stack.pop().tag
+                opened[gone] -= 1
+                if gone == tag:
                     break
         else:
             top = stack[-1]
             if tag == "body":
                 del stack[1:]
+                opened.clear()
                 top = stack[0]
-            part = top.part
+            part, named = top.part, top.named
+            if tag != "body" and _named_furniture(m[3]):
+                names += 1
+                named = (*named, names)
+            opened[tag] = opened.get(tag, 0) + 1
             if tag in MAIN or re.search(r"\brole\s*=\s*[\"']?main\b", m[3], re.I):
                 if not part:
                     parts += 1
                     part = parts
+                    if parts == 1:
+                        main_names = named
             elif not part and tag == "header":
-                stack.append(_Open(tag, True, part, False))
+                stack.append(_Open(tag, True, part, False, named))
                 continue
-            stack.append(_Open(tag, top.furniture or tag in FURNITURE or (tag != "body" and _named_furniture(m[3])), part, top.link or tag == "a"))
+            stack.append(_Open(tag, top.furniture or tag in FURNITURE, part, top.link or tag == "a", named))
     flush()
-    return out
+    return _voted(out, main_names)
+
+
+def _voted(found: list[Block], main_names: tuple[int, ...]) -> list[Block]:
+    """The blocks, furniture by name where that name counts."""
+    running: dict[int, int] = {}
+    total, titled = 0, set()
+    for b in found:
+        size = len(b.text) if not b.furniture and len(b.text) >= LONG and b.linked <= LINKS * len(b.text) else 0
+        total += size
+        for n in b.named:
+            running[n] = running.get(n, 0) + size
+            if b.heading:
+                titled.add(n)
+    void = set(main_names) | {n for n in titled if running[n]}
+    if not void and not any(b.part and not b.furniture for b in found):
+        void = {n for n, size in running.items() if 2 * size > total}
+    for b in found:
+        b.furniture = b.furniture or any(n not in void for n in b.named)
+    return found
 
 
 def labels(found: list[Block]) -> list[bool]:
     """Whether each block is main text."""
     main = any(b.part and not b.furniture for b in found)
     first: list[bool | None] = []
-    stops: list[float] = []
-    for b in found:
-        words = _WORDS.findall(b.text.lower())
-        share = sum(w in STOP for w in words) / len(words) if words else 0.0
-        stops.append(share)
+    counts = [(sum(w in STOP for w in words), len(words)) for words in (_WORDS.findall(b.text.lower()) for b in found)]
+    stops = [n / of if of else 0.0 for n, of in counts]
+    long = [c for b, c in zip(found, counts, strict=True) if len(b.text) >= LONG and not b.furniture and b.linked <= LINKS * len(b.text)]
+    foreign = sum(n for n, _ in long) < FOREIGN * max(1, sum(of for _, of in long))
+    for b, share in zip(found, stops, strict=True):
         if b.furniture or (main and not b.part) or b.linked > LINKS * len(b.text):
             first.append(False)
-        elif len(b.text) >= LONG and (b.part or share >= STOPS):
+        elif len(b.text) >= LONG and (b.part or foreign or share >= STOPS):
             first.append(True)
         elif len(b.text) >= LONG and not b.part:
             first.append(False if share < STOPS / 2 else None)
