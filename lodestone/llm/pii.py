@@ -42,6 +42,8 @@ BASE = {
 }
 KINDS = (*BASE, "secret")
 LABELS = ("out", *KINDS)
+BLANK = "blank"  #: the last feature of a segment that holds white space
+WHOLE = frozenset(LABELS.index(k) for k in ("email", "ip"))  #: kinds that hold none
 MOST = 14
 NEAR = 40  #: characters on each side of a digit or @ that are looked at
 _TOKEN = re.compile(r"(?=[^\W\d_]*[0-9])(?=[0-9]*[^\W\d_])[^\W_]{12,}|[^\W\d_]+|[0-9]+|\s+|.", re.S)
@@ -183,6 +185,8 @@ def candidates(text: str, toks: list[tuple[int, int, str]]) -> list[list[tuple[i
             follows = words[j] if j < len(toks) else "$"
             joined = f"joined {sign if sign in 'a9@.' else '-'} {follows if follows in 'a9@' else '-'}"
             sides = (f"before {before[:12]}", f"sign {sign[:1]}", f"after {follows[:1]}", joined)
+            if " " in shape:
+                sides += (BLANK,)
             out[j].append((i, inner_features(text[a:b], shape) + sides))
     return out
 
@@ -197,7 +201,8 @@ class Model:
 
     def segment_scores(self, features: tuple[str, ...]) -> list[float]:
         get = self.w.get
-        return [self.bias[y] + sum(get((y, f), 0.0) for f in features) for y in range(1, len(LABELS))]
+        blank = features[-1] == BLANK
+        return [-math.inf if blank and y in WHOLE else self.bias[y] + sum(get((y, f), 0.0) for f in features) for y in range(1, len(LABELS))]
 
     def best(self, found: list[list[tuple[int, tuple[str, ...]]]]) -> list[tuple[int, int, int]]:
         """(first, end, label) of the segments of the best segmentation that are not outside."""
