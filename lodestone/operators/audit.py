@@ -23,10 +23,14 @@ def fallback(parser: Column, errors: Column) -> Column:
     return F.struct(used.alias("used"), F.when(used, reason).alias("reason"))
 
 
-def text_stats(markdown: Column, page_count: Column, split: Column | None = None) -> Column:
-    """struct(total, empty, average) over what lies between page comments; a blank start is no page. ``split``: those parts, where
-    they are there already."""
-    parts = F.transform(F.split(markdown, PAGE) if split is None else split, stripped)
+def _parts(split: Column) -> Column:
+    """Pages between page comments, without white space at their ends; a blank start is no page."""
+    return F.transform(split, stripped)
+
+
+def text_stats(markdown: Column, page_count: Column, parts: Column | None = None) -> Column:
+    """struct(total, empty, average) over what lies between page comments. ``parts``: those, where they are there already."""
+    parts = _parts(F.split(markdown, PAGE)) if parts is None else parts
     pages = F.when(F.element_at(parts, 1) == "", F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
     full = F.filter(pages, lambda p: p != "")
     total = F.aggregate(full, F.lit(0), lambda s, p: s + F.length(p))
@@ -37,9 +41,13 @@ def text_stats(markdown: Column, page_count: Column, split: Column | None = None
     )
 
 
-def table_stats(markdown: Column, split: Column | None = None) -> Column:
-    """A9 from text: struct(candidates, pages): pages with 3 lines or more that look like rows."""
-    likely = F.size(F.filter(F.split(markdown, PAGE) if split is None else split, lambda p: F.size(F.filter(F.split(p, "\n"), lambda l: F.call_function("regexp_like", l, F.lit(TABLE_LINE)))) >= 3))
+def _table_like(split: Column) -> Column:
+    return F.size(F.filter(split, lambda p: F.size(F.filter(F.split(p, "\n"), lambda l: F.call_function("regexp_like", l, F.lit(TABLE_LINE)))) >= 3))
+
+
+def table_stats(markdown: Column, likely: Column | None = None) -> Column:
+    """A9 from text: struct(candidates, pages): pages with 3 lines or more that look like rows. ``likely``: their number, if known."""
+    likely = _table_like(F.split(markdown, PAGE)) if likely is None else likely
     return F.struct(F.when(likely > 0, F.greatest(F.floor(likely / 2).cast("int"), F.lit(1))).otherwise(0).alias("candidates"), likely.alias("pages"))
 
 
@@ -52,9 +60,10 @@ def summary(docs: DataFrame) -> DataFrame:
     """Docs (content_hash, markdown, page_count, table_count, figure_count, parser, errors, chunk_count) with their statistics."""
     # each is found once: what explode gives is a column, which the optimizer does not write out again for every use
     once = lambda df, name, value: df.withColumn(name, F.explode(F.array(value)))
-    out = once(docs, "split", F.split("markdown", PAGE))
-    out = once(out, "t", text_stats(F.col("markdown"), F.col("page_count"), F.col("split")))
-    out = once(out, "tb", table_stats(F.col("markdown"), F.col("split"))).withColumn("f", figure_stats(F.col("markdown"))).withColumn("fb", fallback(F.col("parser"), F.col("errors")))
+    out = once(once(docs, "markdown", F.col("markdown")), "split", F.split("markdown", PAGE))
+    out = once(once(out, "parts", _parts(F.col("split"))), "likely", _table_like(F.col("split")))
+    out = once(out, "t", text_stats(F.col("markdown"), F.col("page_count"), F.col("parts")))
+    out = once(out, "f", figure_stats(F.col("markdown"))).withColumn("tb", table_stats(F.col("markdown"), F.col("likely"))).withColumn("fb", fallback(F.col("parser"), F.col("errors")))
     return out.select(
         "content_hash", "page_count", "table_count", F.col("tb.candidates").alias("table_candidate_count"), F.col("tb.pages").alias("table_like_page_count"), "figure_count",
         F.col("f.references").alias("figure_candidate_count"), F.col("f.captions").alias("caption_candidate_count"), F.col("t.empty").alias("empty_page_count"), F.col("t.total").alias("text_chars_total"),
