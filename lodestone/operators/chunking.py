@@ -63,13 +63,27 @@ def pack(blocks: Column, most: int, overlap: int) -> Column:
 
 
 def chunks(blocks: DataFrame, most: int = 1200, overlap: int = 200) -> DataFrame:
-    """Text blocks to (content_hash, chunk_id, chunk_index, text, page_start, page_end).
+    """Rows of text blocks to (content_hash, chunk_id, chunk_index, text, page_start, page_end).
 
     A document's blocks are ordered by an explicit position; headings get "## " after the budget is spent, so that a chunk may
-    exceed it by that.
+    exceed it by that. Where documents are still rows with their blocks, ``document_chunks`` needs no shuffle.
     """
     one = F.struct(F.col("ord").cast("int").alias("ord"), "label", F.col("page").cast("int").alias("page"), "text")
-    docs = blocks.groupBy("content_hash").agg(F.array_sort(F.collect_list(one)).alias("blocks"))
+    return _chunked(blocks.groupBy("content_hash").agg(F.array_sort(F.collect_list(one)).alias("blocks")), most, overlap)
+
+
+def document_chunks(docs: DataFrame, most: int = 1200, overlap: int = 200, blocks: str = "blocks") -> DataFrame:
+    """Documents (content_hash, blocks) to chunks as of ``chunks``, each where it is: nothing is shuffled.
+
+    Defined results: blocks with a null label or a null or blank text are left out, as are page headers and footers; documents with
+    null or without blocks have no chunks; rows that repeat a content hash are documents of their own."""
+    one = lambda b, i: F.struct(i.cast("int").alias("ord"), b["label"].alias("label"), b["page"].cast("int").alias("page"), collapsed(b["text"]).alias("text"))
+    own = F.filter(F.transform(blocks, one), lambda b: ~b["label"].isin(SKIPPED_LABELS) & (b["text"] != ""))
+    # found once: what explode gives is a column, which the fold below may use as often as it likes
+    return _chunked(docs.select("content_hash", F.explode(F.array(own)).alias("blocks")), most, overlap)
+
+
+def _chunked(docs: DataFrame, most: int, overlap: int) -> DataFrame:
     pieces = F.flatten(F.transform("blocks", lambda b: F.transform(split_long(b["text"], most), lambda t: F.struct(b["ord"].alias("ord"), b["label"].alias("label"), b["page"].alias("page"), t.alias("text")))))
     rows = docs.select("content_hash", F.posexplode(pack(pieces, most, overlap)).alias("chunk_index", "c"))
     text = F.array_join(F.transform("c", lambda b: F.when(b["label"] == "section_header", F.concat(F.lit("## "), b["text"])).otherwise(b["text"])), "\n\n")

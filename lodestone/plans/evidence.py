@@ -24,7 +24,7 @@ def long_block_split(s, d):
 
 
 def _chunks(s, d, most=MOST, overlap=OVERLAP):
-    return chunking.chunks(chunking.text_blocks(I.blocks(s, d)), most, overlap)
+    return chunking.document_chunks(I.blocks(s, d), most, overlap)
 
 
 def chunk_pack(s, d):

@@ -22,8 +22,7 @@ def chunk_stream(documents: DataFrame, out: str, checkpoint: str, most: int = 12
 
     def write(batch: DataFrame, number: int) -> None:
         line = F.transform(F.split("text", "\n"), lambda t, i: F.struct(F.lit("text").alias("label"), (F.floor(i / 10) + 1).cast("int").alias("page"), t.alias("text")))
-        blocks = chunking.text_blocks(batch.select("content_hash", line.alias("blocks")))
-        chunking.chunks(blocks, most, overlap).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        chunking.document_chunks(batch.select("content_hash", line.alias("blocks")), most, overlap).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

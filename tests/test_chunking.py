@@ -52,3 +52,17 @@ def test_headings_and_skipped_labels(spark):
     assert [(r["chunk_id"], r["page_start"], r["page_end"]) for r in got] == [("b" * 12 + ":text:0000", 1, 2)]
     assert got[0]["text"].startswith("## The Middle-Income Trap\n\nMiddle-income") and "Repeated" not in got[0]["text"]
     assert chunking.chunks(chunking.text_blocks(docs).where(F.lit(False))).count() == 0
+
+
+def test_documents_in_place(spark):
+    schema = "content_hash string, blocks array<struct<label:string,page:int,text:string>>, ord int"
+    rows = [(f"h{k}", [("page_header" if i % 7 == 0 else "section_header" if i % 5 == 0 else "text", i // 4, "w" * (i * 13 % 90) + " x" * (i % 40)) for i in range(60)], 1) for k in range(3)]
+    rows += [("none", None, 1), ("empty", [], 1), ("blank", [("text", 1, "  "), ("text", 1, None), (None, 1, "x")], 1)]
+    docs = spark.createDataFrame(rows, schema)
+    for most, overlap in ((180, 0), (300, 80)):
+        by_rows = chunking.chunks(chunking.text_blocks(docs), most, overlap).collect()
+        in_place = chunking.document_chunks(docs, most, overlap)
+        assert sorted(map(tuple, in_place.collect())) == sorted(map(tuple, by_rows)) and len(by_rows) > 10
+        assert "Exchange" not in in_place._jdf.queryExecution().executedPlan().toString()
+    twice = docs.where("content_hash = 'h1'")
+    assert chunking.document_chunks(twice.unionByName(twice), 180, 0).count() == 2 * chunking.document_chunks(twice, 180, 0).count()
