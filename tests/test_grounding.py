@@ -80,6 +80,8 @@ def test_a_model_that_fails_keeps_the_order(spark):
     assert ids(grounding.optionally_reranked(pairs, gone, 1)) == {q: [(1, None, "unavailable")] for q in (1, 2)}
     assert ids(grounding.optionally_reranked(pairs, None, 1)) == {q: [(1, None, "disabled")] for q in (1, 2)}
     assert grounding.optionally_reranked(pairs.limit(0), load, 1).count() == 0
+    for scores in ([0.5], [0.5] * 9, None, [None, 1.0, 2.0], "ab"):  # another number of scores than of pairs, or no numbers
+        assert {x[1:] for rows in ids(grounding.optionally_reranked(pairs, lambda s=scores: lambda _: s, 3)).values() for x in rows} == {(None, "failed")}
 
 
 def test_modes_missing_tables_and_lookups(spark):
