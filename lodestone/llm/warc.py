@@ -118,10 +118,22 @@ def _inflate(view: memoryview, at: int, most: int | None = None) -> tuple[bytes,
     return (b"".join(out), min(pos, len(view)) - len(d.unused_data)) if d.eof else "member without end"
 
 
-def _next(data: bytes, view: memoryview, at: int) -> int:
+class _Lines:
+    """Version lines of a file, looked for once: the next one is remembered until it is passed."""
+
+    def __init__(self, data: bytes):
+        self.data, self.found = data, -1
+
+    def after(self, at: int) -> int:
+        if self.found < at:
+            m = _VERSION.search(self.data, at)
+            self.found = m.start() if m else len(self.data)
+        return self.found
+
+
+def _next(data: bytes, view: memoryview, at: int, lines: _Lines) -> int:
     """Where the next record may start: a member that begins with a version line, or a version line."""
-    plain = _VERSION.search(data, at)
-    stop = plain.start() if plain else len(data)
+    stop = lines.after(at)
     found = data.find(_MEMBER, at, stop)
     while found >= 0:
         got = _inflate(view, found, 8)
@@ -133,7 +145,7 @@ def _next(data: bytes, view: memoryview, at: int) -> int:
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes | str]]:
     """Records (offset, length, header, block) and gaps (offset, length, None, reason) of a file, in order; they cover it."""
-    view, at = memoryview(data), 0
+    view, at, lines = memoryview(data), 0, _Lines(data)
     while at < len(data):
         if data.startswith(_MEMBER, at):
             got = _inflate(view, at)
@@ -160,7 +172,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, byte
                 continue
         else:
             got = "neither a member nor a version line"
-        end = _next(data, view, at + 1)
+        end = _next(data, view, at + 1, lines)
         yield at, end - at, None, got
         at = end
 
