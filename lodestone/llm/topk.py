@@ -19,6 +19,7 @@ and scores beyond them, count as the nearest number of 64 bits (the least one as
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,17 +55,32 @@ def scores(ids, data) -> np.ndarray:
     return data.values.to_numpy().reshape(len(ids), -1)
 
 
+def _largest(x: np.ndarray) -> int:
+    return max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0))))
+
+
 def _product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    bound = max(abs(int(q.max(initial=0))), abs(int(q.min(initial=0)))) * max(abs(int(c.max(initial=0))), abs(int(c.min(initial=0)))) * q.shape[1]
+    bound = _largest(q) * _largest(c) * q.shape[1]
     if bound < 2**24:
         return (q.astype(np.float32) @ c.astype(np.float32).T).astype(np.int64)
     if bound < 2**53:
         return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    if bound <= MOST:
+    # rows whose products float64 holds go that way; only the few that need them take larger numbers
+    most = math.isqrt(2**53 // q.shape[1]) - 1
+    nq, nc = ((x.max(axis=1) <= most) & (x.min(axis=1) >= -most) for x in (q, c))
+    out = np.empty((len(q), len(c)), np.int64)
+    if nq.any() and nc.any():
+        out[np.ix_(nq, nc)] = _product(q[nq], c[nc])
+    out[~nq] = _wide(q[~nq], c)
+    out[np.ix_(nq, ~nc)] = _wide(q[nq], c[~nc])
+    return out
+
+
+def _wide(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Products of whole numbers of any size, cut at 64 bits."""
+    if _largest(q) * _largest(c) * q.shape[1] <= MOST:
         return q @ c.T
-    # whole numbers of any size, for the few rows that need them
-    wide = q.astype(object) @ c.astype(object).T
-    return np.clip(wide, -MOST, MOST).astype(np.int64)
+    return np.clip(q.astype(object) @ c.astype(object).T, -MOST, MOST).astype(np.int64)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, query_rows: int = 512, candidate_rows: int = 4096) -> DataFrame:
