@@ -84,12 +84,12 @@ def look_behind(rows: DataFrame, by: tuple[str, ...] = ("doc",)) -> DataFrame:
     return out.select(*by, "ord", start.alias("span_start"), F.try_element_at(heading, F.lit(1)).alias("heading"))
 
 
-def span_records(rows: DataFrame, chunks: DataFrame | None = None, fallback_used: bool = False, most: int = 10_000) -> DataFrame:
+def span_records(rows: DataFrame, chunks: DataFrame | None = None, fallback_used: bool = False, most: int | None = 10_000, seen: DataFrame | None = None) -> DataFrame:
     """Lines (doc, ord, line) to table-like text as evidence, page by page.
 
     (doc, start, table_id, page, title, raw_text, n_rows, risk_flags, source_chunk_id, span_hash): spans with the lines before them,
-    of three lines or more after a cut at ``most`` characters (the record's own limit), each text once a document. Ids count within
-    the nearest chunk of ``chunks``, else the page, else 0.
+    of three lines or more after a cut at ``most`` characters (the record's own limit; None cuts nothing), each text once a document
+    and none that ``seen`` (doc, span_hash) has. Ids count within the nearest chunk of ``chunks``, else the page, else 0.
     """
     part = ("doc", "section")
     lines_ = pages(rows)
@@ -98,8 +98,12 @@ def span_records(rows: DataFrame, chunks: DataFrame | None = None, fallback_used
     title = behind.select("doc", F.col("ord").alias("start"), F.col("heading").alias("title"))
     found = spans(lines_, by=part).join(first, ["doc", "first"]).select("doc", F.col("span_start").alias("start"), "first", F.explode(F.sequence("span_start", "last")).alias("ord"))
     text = found.join(lines_, ["doc", "ord"]).groupBy("doc", "start", "first", "page", "has_markers").agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("l"))
-    text = text.withColumn("raw_text", stripped(F.array_join("l.line", "\n"))).withColumn("raw_text", F.when(F.length("raw_text") > most, stripped(F.substring("raw_text", 1, most))).otherwise(F.col("raw_text")))
+    text = text.withColumn("raw_text", stripped(F.array_join("l.line", "\n")))
+    if most is not None:
+        text = text.withColumn("raw_text", F.when(F.length("raw_text") > most, stripped(F.substring("raw_text", 1, most))).otherwise(F.col("raw_text")))
     text = text.withColumn("n_rows", F.size(F.split("raw_text", "\n"))).where("n_rows >= 3").withColumn("span_hash", F.sha2("raw_text", 256))
+    if seen is not None:
+        text = text.join(seen, ["doc", "span_hash"], "left_anti")
     once = text.withColumn("n", F.row_number().over(W.partitionBy("doc", "span_hash").orderBy("first"))).where("n = 1")
     out = once.drop("l", "n").join(title, ["doc", "start"], "left")
     if chunks is None:

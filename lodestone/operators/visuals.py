@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.functions import vocabulary as V
@@ -30,11 +31,16 @@ def figure_candidates(docs: DataFrame) -> DataFrame:
 
     The page is that of the last page comment before the label (J12); the context is up to 150 characters on each side.
     """
-    rows = docs.where("figure_count > 0 AND coalesce(pictures_with_page, 0) = 0")
-    found = rows.select("content_hash", "markdown", F.explode(F.array_distinct(F.regexp_extract_all("markdown", F.lit(r"\b" + V.FIGURE_LABEL.replace("(?i)", "(?i:") + ")"), F.lit(0)))).alias("raw"))
-    found = found.withColumn("label", figure_label(F.col("raw"))).withColumn("at", F.expr("locate(raw, markdown)"))
-    first = found.groupBy("content_hash", "label").agg(F.min("at").alias("at"), F.min_by("markdown", "at").alias("markdown"))
+    label = r"\b" + V.FIGURE_LABEL.replace("(?i)", "(?i:") + ")"
+    rows = docs.where("figure_count > 0 AND coalesce(pictures_with_page, 0) = 0").select("content_hash", "markdown")
+    # a match begins after the pieces and matches before it
+    each = rows.select("content_hash", F.posexplode(F.arrays_zip(F.regexp_extract_all("markdown", F.lit(label), F.lit(0)).alias("raw"), F.split("markdown", label).alias("before"))).alias("n", "m"))
+    order = W.partitionBy("content_hash").orderBy("n")
+    length = lambda c: F.coalesce(F.length(c), F.lit(0))
+    found = each.withColumn("at", F.sum(length("m.before")).over(order) + F.sum(length("m.raw")).over(order) - length("m.raw") + 1).where("m.raw IS NOT NULL")
+    first = found.groupBy("content_hash", figure_label(F.col("m.raw")).alias("label")).agg(F.min("at").cast("int").alias("at")).join(rows, "content_hash")
     before = F.substring(F.col("markdown"), F.lit(1), F.col("at"))
     marks = F.regexp_extract_all(before, F.lit(r"(?i)<!--\s*page\s+([0-9]+)\s*-->"), F.lit(1))
-    context = stripped(F.substring(F.col("markdown"), F.greatest(F.lit(1), F.col("at") - 150), F.lit(300)))
-    return first.select("content_hash", "label", F.try_element_at(marks, F.lit(-1)).try_cast("int").alias("page"), context.alias("nearby_text"))
+    start = F.greatest(F.lit(1), F.col("at") - 150)
+    context = stripped(F.substring(F.col("markdown"), start, F.col("at") + 150 - start))
+    return first.select("content_hash", "label", F.try_element_at(marks, F.lit(-1)).try_cast("int").alias("page"), context.alias("nearby_text"), "at")
