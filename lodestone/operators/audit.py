@@ -56,18 +56,44 @@ def figure_stats(markdown: Column) -> Column:
     return F.struct(F.regexp_count(markdown, F.lit(FIGURE_REF)).alias("references"), F.regexp_count(markdown, F.lit(CAPTION)).alias("captions"))
 
 
+# What the audit reads of a parse tree.
+TREE = "tables array<struct<prov:array<struct<page_no:int>>>>, pictures array<struct<captions:array<struct<text:string>>>>"
+
+
+def tree_stats(tree: Column) -> Column:
+    """A9, A10 from a parse tree in JSON: struct(tables, pages, pictures, captions): tables, pages that hold any, pictures, pictures with a
+    caption's text; lists that are absent count as empty; null where the tree can't be read."""
+    t = F.from_json(tree, TREE)
+    some = lambda a: F.coalesce(a, F.array())
+    pages = F.array_distinct(F.filter(F.flatten(F.transform(some(t["tables"]), lambda x: some(F.transform(x["prov"], lambda p: F.coalesce(p["page_no"], F.lit(0)))))), lambda p: p != 0))
+    captions = F.filter(some(t["pictures"]), lambda x: F.exists(some(x["captions"]), lambda c: F.coalesce(c["text"], F.lit("")) != ""))
+    whole = F.struct(F.size(some(t["tables"])).alias("tables"), F.size(pages).alias("pages"), F.size(some(t["pictures"])).alias("pictures"), F.size(captions).alias("captions"))
+    return F.when(F.try_parse_json(tree).isNotNull(), whole)
+
+
 def summary(docs: DataFrame) -> DataFrame:
-    """Docs (content_hash, markdown, page_count, table_count, figure_count, parser, errors, chunk_count) with their statistics."""
+    """Docs (content_hash, markdown, page_count, table_count, figure_count, parser, errors, chunk_count) with their statistics.
+
+    With columns tree (a parse tree in JSON) and tree_expected, tables and figures are those of the tree where it can be read, else
+    of the text; tree_missing tells of an expected tree that can't.
+    """
     # each is found once: what explode gives is a column, which the optimizer does not write out again for every use
     once = lambda df, name, value: df.withColumn(name, F.explode(F.array(value)))
     out = once(once(docs, "markdown", F.col("markdown")), "split", F.split("markdown", PAGE))
     out = once(once(out, "parts", _parts(F.col("split"))), "likely", _table_like(F.col("split")))
     out = once(out, "t", text_stats(F.col("markdown"), F.col("page_count"), F.col("parts")))
     out = once(out, "f", figure_stats(F.col("markdown"))).withColumn("tb", table_stats(F.col("markdown"), F.col("likely"))).withColumn("fb", fallback(F.col("parser"), F.col("errors")))
+    extra = []
+    if "tree" in docs.columns:
+        out = once(out, "tr", tree_stats(F.col("tree")))
+        read = F.col("tr").isNotNull()
+        out = out.withColumn("tb", F.when(read, F.struct(F.col("tr.tables").alias("candidates"), F.col("tr.pages").alias("pages"))).otherwise(F.col("tb")))
+        out = out.withColumn("f", F.when(read, F.struct(F.col("tr.pictures").alias("references"), F.col("tr.captions").alias("captions"))).otherwise(F.col("f")))
+        extra = [(F.coalesce("tree_expected", F.lit(False)) & ~read).alias("tree_missing")]
     return out.select(
         "content_hash", "page_count", "table_count", F.col("tb.candidates").alias("table_candidate_count"), F.col("tb.pages").alias("table_like_page_count"), "figure_count",
         F.col("f.references").alias("figure_candidate_count"), F.col("f.captions").alias("caption_candidate_count"), F.col("t.empty").alias("empty_page_count"), F.col("t.total").alias("text_chars_total"),
-        F.bround("t.average", 1).alias("avg_chars_per_page"), F.coalesce(F.size("errors"), F.lit(0)).alias("parse_error_count"), "chunk_count", F.col("fb.used").alias("fallback_used"), F.col("fb.reason").alias("fallback_reason"),
+        F.bround("t.average", 1).alias("avg_chars_per_page"), F.coalesce(F.size("errors"), F.lit(0)).alias("parse_error_count"), "chunk_count", F.col("fb.used").alias("fallback_used"), F.col("fb.reason").alias("fallback_reason"), *extra,
     )
 
 
@@ -86,7 +112,7 @@ def verdicts(s: DataFrame) -> DataFrame:
         F.when((F.col("table_count") == 0) & (F.col("table_candidate_count") == 0), "no_structured_tables").when(F.col("table_count") == 0, "table_like_text_without_structure"),
         F.when((F.col("figure_count") == 0) & (F.col("figure_candidate_count") == 0), "no_figures"),
         F.when(ratio > 0.10, "high_empty_page_ratio"), F.when(F.col("parse_error_count") > 0, "parse_errors_present"), F.when(F.col("avg_chars_per_page") < 100, "low_text_density"),
-        F.when(F.col("page_count") > 200, "large_document"), F.when(F.col("chunk_count") > 1000, "high_chunk_count"),
+        F.when(F.col("page_count") > 200, "large_document"), F.when(F.col("chunk_count") > 1000, "high_chunk_count"), *([F.when(F.col("tree_missing"), "missing_docling_json")] if "tree_missing" in s.columns else []),
     ]
     return out.withColumn("quality_status", status).withColumn("risk_flags", F.array_compact(F.array(*flags)))
 

@@ -47,20 +47,21 @@ def pipe_records(rows: DataFrame, chunks: DataFrame | None = None, fallback_used
     split = tables.pages(rows)
     order = W.partitionBy(*PART).orderBy("ord")
     piped = F.coalesce(F.contains("line", F.lit("|")), F.lit(False))
-    marked = split.withColumn("piped", piped).withColumn("run", F.sum((~F.col("piped")).cast("int")).over(order))
+    marked = split.withColumn("before", F.collect_list("line").over(order.rowsBetween(-9, -1)))
+    marked = marked.withColumn("piped", piped).withColumn("run", F.sum((~F.col("piped")).cast("int")).over(order))
     head = F.col("piped") & F.coalesce(F.lead(F.col("line").rlike(V.SEPARATOR_LINE)).over(order), F.lit(False))
     marked = marked.withColumn("head", head).where("piped").withColumn("start", F.min(F.when(F.col("head"), F.col("ord"))).over(W.partitionBy(*PART, "run")))
+    marked = marked.where("ord >= start").withColumn("before", F.when(F.col("ord") == F.col("start"), F.reverse("before")))
     line = F.when(F.col("has_markers"), F.regexp_replace("line", r"\s+$", "")).otherwise(F.col("line"))
-    made = marked.where("ord >= start").groupBy(*PART, "run", "start", "page", "has_markers").agg(F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))).alias("l"))
+    made = marked.groupBy(*PART, "run", "start", "page", "has_markers").agg(F.max("before").alias("before"), F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))).alias("l"))
     cells = lambda t: F.transform(F.split(F.regexp_replace(stripped(t), r"^\|+|\|+$", ""), r"\|"), collapsed)
     body = F.transform(F.slice("l.line", F.lit(3), F.size("l")), cells)
     made = made.withColumn("raw_text", stripped(F.array_join("l.line", "\n"))).withColumn("headers", cells(F.col("l.line")[0]))
     made = made.withColumn("rows", F.filter(body, lambda r: F.exists(r, lambda c: c != ""))).withColumn("grid", F.concat(F.array("headers"), "rows"))
+    made = made.withColumn("title", tables.heading(F.col("before")))
     made = made.withColumn("n_rows", F.size("rows")).withColumn("n_cols", F.array_max(F.transform("grid", F.size))).withColumn("empty_cell_ratio", F.round(tables.empty_ratio(F.col("grid")), 6))
     flags = F.concat(tables.risk_flags(F.lit(True), F.col("n_rows"), F.col("n_cols"), F.col("empty_cell_ratio")), F.array(F.when(~F.col("has_markers"), "missing_page_markers"), F.when(F.lit(fallback_used), "fallback_parser_used")))
     made = made.withColumn("risk_flags", F.array_sort(F.array_compact(flags))).withColumn("readiness", F.when((F.col("n_rows") >= 1) & (F.col("n_cols") >= 2), "good").otherwise("weak"))
-    titles = tables.look_behind(split, PART).select(F.col("doc").alias("td"), F.col("ord").alias("to"), F.col("heading").alias("title"))
-    made = made.join(titles, F.col("doc").eqNullSafe(F.col("td")) & (F.col("start") == F.col("to")), "left")
     if chunks is None:
         made = made.withColumn("source_chunk_id", F.lit(None).cast("string"))
     else:

@@ -68,6 +68,12 @@ def spans(rows: DataFrame, least: int = 3, by: tuple[str, ...] = ("doc",)) -> Da
     return out.where("highs >= 2 AND last - first + 1 >= 3").drop("island")
 
 
+def heading(before: Column) -> Column:
+    """Of lines, the nearest first, the first that has text, at most 120 characters and no number."""
+    bare = F.transform(before, lambda x: stripped(F.regexp_replace(stripped(x), "^#+|#+$", "")))
+    return F.try_element_at(F.filter(bare, lambda t: (t != "") & (F.length(t) <= 120) & ~F.call_function("regexp_like", t, F.lit("[0-9]"))), F.lit(1))
+
+
 def look_behind(rows: DataFrame, by: tuple[str, ...] = ("doc",)) -> DataFrame:
     """Each line with the start of a span that would begin at it, and the heading before it."""
     window = lambda n: F.collect_list(F.struct("ord", "line")).over(W.partitionBy(*by).orderBy("ord").rowsBetween(-n, -1))
@@ -79,9 +85,7 @@ def look_behind(rows: DataFrame, by: tuple[str, ...] = ("doc",)) -> DataFrame:
         return F.struct(F.when(goes, x["ord"]).otherwise(s["at"]).alias("at"), (~goes).alias("stop"))
 
     start = F.aggregate("seven", F.struct(F.col("ord").alias("at"), F.lit(False).alias("stop")), step)["at"]
-    bare = F.transform("nine", lambda x: stripped(F.regexp_replace(stripped(x["line"]), "^#+|#+$", "")))
-    heading = F.filter(bare, lambda t: (t != "") & (F.length(t) <= 120) & ~F.call_function("regexp_like", t, F.lit("[0-9]")))
-    return out.select(*by, "ord", start.alias("span_start"), F.try_element_at(heading, F.lit(1)).alias("heading"))
+    return out.select(*by, "ord", start.alias("span_start"), heading(F.transform("nine", lambda x: x["line"])).alias("heading"))
 
 
 def span_records(rows: DataFrame, chunks: DataFrame | None = None, fallback_used: bool = False, most: int | None = 10_000, seen: DataFrame | None = None) -> DataFrame:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.plans import answering, evaluation, evidence, records, retrieval, service
+from lodestone.plans import answering, evaluation, evidence, evidence_records, records, retrieval, service
 
-PARTS = (retrieval, evidence, records, evaluation, answering, service)
+PARTS = (retrieval, evidence, evidence_records, records, evaluation, answering, service)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

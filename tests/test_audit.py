@@ -28,3 +28,14 @@ def test_good_document(spark):
     got = audited(spark, "<!-- page 1 -->\n" + "x" * 300 + "\nFigure 1 shows\n" + table, 1, 1, 1)
     assert (got["text_readiness"], got["table_readiness"], got["visual_readiness"], got["quality_status"]) == ("good",) * 4
     assert got["risk_flags"] == []
+
+
+def test_parse_trees_come_before_text(spark):
+    table = "\n".join("a  b  c" for _ in range(3))
+    tree = '{"tables": [{"prov": [{"page_no": 2}, {"page_no": 0}]}, {"prov": [{"page_no": 2}]}, {}], "pictures": [{"captions": [{"text": ""}, {"text": "x"}]}, {"captions": []}, {}]}'
+    trees = [("a", tree, True), ("b", "{broken", True), ("c", None, True), ("d", None, False), ("e", "{}", None)]
+    rows = [(h, f"Figure 1\n{table}", 1, 1, 1, "docling", [], 0, t, e) for h, t, e in trees]
+    got = {r.content_hash: r for r in audit.verdicts(audit.summary(spark.createDataFrame(rows, SCHEMA + ", tree string, tree_expected boolean"))).collect()}
+    counts = {h: (r.table_candidate_count, r.table_like_page_count, r.figure_candidate_count, r.caption_candidate_count) for h, r in got.items()}
+    assert counts == {"a": (3, 1, 3, 1), "b": (1, 1, 1, 1), "c": (1, 1, 1, 1), "d": (1, 1, 1, 1), "e": (0, 0, 0, 0)}
+    assert {h for h, r in got.items() if "missing_docling_json" in r.risk_flags} == {"b", "c"} and got["e"].table_readiness == "weak"
