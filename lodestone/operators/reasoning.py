@@ -29,20 +29,27 @@ def asked(questions: DataFrame, tables: DataFrame) -> DataFrame:
 OUT = ["query_id", "table_id", "evidence_index", "label", "metric", "year", "value", "display_value", "unit"]
 
 
-def _out(rows: DataFrame, token: Column, line: Column, context: Column) -> DataFrame:
+# What a result's text says of an operation.
+OPERATION_NAMES = {"max": "highest", "min": "lowest"}
+
+
+def _out(rows: DataFrame, token: Column, line: Column, context: Column, kind: int, *place: str) -> DataFrame:
+    """OUT and the place of an observation in its table: by kind, then line or row, then column."""
+    at = [F.coalesce(F.col(p).cast("int"), F.lit(0)) for p in place] + [F.lit(0)] * (2 - len(place))
+    rows = rows.withColumn("place", F.struct(F.lit(kind).alias("kind"), at[0].alias("row"), at[1].alias("col")))
     rows = rows.withColumn("value", numeric(token)).where("value IS NOT NULL").withColumn("unit", unit(line, context))
-    return rows.select("query_id", "table_id", "evidence_index", "label", F.col("intent.metric").alias("metric"), F.col("intent.year").alias("year"), "value", display_value(F.col("value"), token, F.col("unit")).alias("display_value"), "unit")
+    return rows.select("query_id", "table_id", "evidence_index", "label", F.col("intent.metric").alias("metric"), F.col("intent.year").alias("year"), "value", display_value(F.col("value"), token, F.col("unit")).alias("display_value"), "unit", "place")
 
 
-def structured(rows: DataFrame) -> DataFrame:
+def _structured(rows: DataFrame) -> DataFrame:
     """Q2: tables with headers, rows and context; the first header with the year, rows where the context or the row names the metric."""
     y = F.col("intent.year").cast("string")
     at = rows.withColumn("col", F.array_position(F.transform("headers", lambda h: F.contains(h, y)), True)).where("col > 0")
-    each = at.withColumn("row", F.explode("rows"))
+    each = at.select("*", F.posexplode("rows").alias("nth", "row"))
     whole = F.array_join("row", " ")
     each = each.where(F.lower(F.coalesce("context", F.lit(""))).contains(F.col("intent.metric")) | F.lower(whole).contains(F.col("intent.metric")))
     each = each.withColumn("label", F.element_at("row", 1)).withColumn("token", F.try_element_at("row", F.col("col").cast("int")))
-    return _out(each.where("token IS NOT NULL"), F.col("token"), whole, F.col("context"))
+    return _out(each.where("token IS NOT NULL"), F.col("token"), whole, F.col("context"), 0, "nth")
 
 
 def _text_lines(rows: DataFrame) -> DataFrame:
@@ -52,7 +59,7 @@ def _text_lines(rows: DataFrame) -> DataFrame:
 KEY = ["query_id", "table_id", "evidence_index"]
 
 
-def matrix(rows: DataFrame) -> DataFrame:
+def _matrix(rows: DataFrame) -> DataFrame:
     """Q3: a line with two or more known labels, the next line with years within 5, the next line of the metric within 10; values by label and year."""
     all_lines = _text_lines(rows)
     years = F.regexp_extract_all("line", F.lit(r"\b20[0-9][0-9]\b"), F.lit(0))
@@ -63,7 +70,7 @@ def matrix(rows: DataFrame) -> DataFrame:
     ahead = lambda cond, col, n: F.filter(F.collect_list(F.struct("ord", F.col(col).alias("v"), cond.alias("c"))).over(order.rowsBetween(1, n)), lambda s: s["c"])
     marked = marked.withColumn("year_line", F.try_element_at(ahead(F.size("years") > 0, "years", 5), F.lit(1)))
     marked = marked.withColumn("metric_line", F.try_element_at(ahead(F.col("metric_here"), "line", 10), F.lit(1)))
-    heads = marked.where("size(labels) >= 2 AND year_line IS NOT NULL AND size(year_line.v) >= size(labels)").select(*KEY, "intent", "raw_text", "labels", "year_line")
+    heads = marked.where("size(labels) >= 2 AND year_line IS NOT NULL AND size(year_line.v) >= size(labels)").select(*KEY, "ord", "intent", "raw_text", "labels", "year_line")
     metrics = marked.select(*[F.col(k).alias(f"y_{k}") for k in KEY], F.col("ord").alias("y_ord"), "metric_line")
     same = [F.col(k) == F.col(f"y_{k}") for k in KEY]
     found = heads.join(metrics, [*same, F.col("year_line.ord") == F.col("y_ord")]).where("metric_line IS NOT NULL")
@@ -73,10 +80,10 @@ def matrix(rows: DataFrame) -> DataFrame:
     group = F.slice("year_line.v", F.col("n") * F.col("width") + 1, F.col("width"))
     each = each.where(F.col("n") * F.col("width") < F.size("year_line.v")).withColumn("offset", F.array_position(group, F.col("intent.year").cast("string"))).where("offset > 0")
     each = each.withColumn("token", F.try_element_at("values", (F.col("n") * F.col("width") + F.col("offset")).cast("int"))).where("token IS NOT NULL")
-    return _out(each, F.col("token"), F.col("metric_line.v"), F.col("raw_text"))
+    return _out(each, F.col("token"), F.col("metric_line.v"), F.col("raw_text"), 1, "ord", "n")
 
 
-def simple_rows(rows: DataFrame) -> DataFrame:
+def _simple_rows(rows: DataFrame) -> DataFrame:
     """Q4: a line of the metric and the nearest line with years up to 5 before it; values by position."""
     all_lines = _text_lines(rows)
     years = F.regexp_extract_all("line", F.lit(r"\b20[0-9][0-9]\b"), F.lit(0))
@@ -88,7 +95,22 @@ def simple_rows(rows: DataFrame) -> DataFrame:
     marked = marked.withColumn("label", F.coalesce(F.nullif(label, F.lit("")), F.col("intent.metric"))).withColumn("values", line_numbers(F.col("line")))
     each = marked.select("*", F.posexplode("head").alias("n", "y")).where(F.col("y") == F.col("intent.year").cast("string"))
     each = each.withColumn("token", F.try_element_at("values", F.col("n") + 1)).where("token IS NOT NULL")
-    return _out(each, F.col("token"), F.col("line"), F.col("raw_text"))
+    return _out(each, F.col("token"), F.col("line"), F.col("raw_text"), 2, "ord", "n")
+
+
+def structured(rows: DataFrame) -> DataFrame:
+    """Q2 without places."""
+    return _structured(rows).select(*OUT)
+
+
+def matrix(rows: DataFrame) -> DataFrame:
+    """Q3 without places."""
+    return _matrix(rows).select(*OUT)
+
+
+def simple_rows(rows: DataFrame) -> DataFrame:
+    """Q4 without places."""
+    return _simple_rows(rows).select(*OUT)
 
 
 def distinct_observations(rows: DataFrame) -> DataFrame:
@@ -109,14 +131,31 @@ def selected(observations: DataFrame, questions: DataFrame) -> DataFrame:
 
 
 def answers(questions: DataFrame, tables: DataFrame) -> DataFrame:
-    """Q7, Q8: (query_id, status, label, value, display_value, citation, reasoning). tables: query_id, table_id, evidence_index, headers, rows, context, raw_text."""
+    """Q7, Q8: (query_id, status, label, value, display_value, citation, reasoning). tables: query_id, table_id, evidence_index, headers, rows, context, raw_text.
+
+    Defined results: a question without metric or year is unsupported, one without figures has no observation, both without
+    reasoning. The text names up to eight figures of the chosen table, first ones first; of equal figures read from text, the first
+    counts. Questions with a null id have no tables.
+    """
     rows = asked(questions, tables)
-    text = distinct_observations(matrix(rows).unionByName(simple_rows(rows)))
-    seen = structured(rows).unionByName(text)
-    best = selected(seen, questions)
-    top = seen.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_set(F.concat_ws(": ", "label", "display_value"))), 1, 8).alias("others"))
+    same = ["query_id", "table_id", "evidence_index", "label", "metric", "year", "value"]
+    text = _matrix(rows).unionByName(_simple_rows(rows)).groupBy(*same).agg(F.min(F.struct("place", "display_value", "unit")).alias("o"))
+    seen = _structured(rows).unionByName(text.select(*same, "o.display_value", "o.unit", "o.place"))
+    best = selected(seen.drop("place"), questions)
+    chosen = best.select(F.col("query_id").alias("bq"), F.col("table_id").alias("bt"), F.col("evidence_index").alias("bi"))
+    # a chosen table's first eight: numbered, so that a long table is no array
+    near = seen.join(chosen, (F.col("query_id") == F.col("bq")) & (F.col("evidence_index") == F.col("bi")))
+    near = near.withColumn("nth", F.row_number().over(W.partitionBy("query_id").orderBy("place", "label", "value"))).where("nth <= 8")
+    near = near.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("nth", F.concat_ws(": ", "label", "display_value").alias("t")))).alias("near"))
     base = questions.select("query_id", intent(F.col("question")).alias("i"))
-    out = base.join(best, "query_id", "left").join(top, "query_id", "left")
+    out = base.join(best, "query_id", "left").join(near, "query_id", "left").withColumn("citation", F.concat(F.lit("T"), F.col("evidence_index").cast("string")))
     status = F.when(F.col("i.metric").isNull() | F.col("i.year").isNull(), "unsupported_intent").when(F.col("label").isNull(), "no_observation").otherwise("supported")
-    text_ = F.concat_ws("", F.col("i.operation"), F.lit(" of "), F.col("i.metric"), F.lit(" in "), F.col("i.year").cast("string"), F.lit(": "), "label", F.lit(" "), "display_value", F.lit(" among "), F.array_join("others", "; "))
-    return out.select("query_id", status.alias("status"), "label", "value", "display_value", F.concat(F.lit("T"), F.col("evidence_index").cast("string")).alias("citation"), F.when(F.col("label").isNotNull(), text_).alias("reasoning"))
+    named = F.lit("selected")
+    for operation, name in OPERATION_NAMES.items():
+        named = F.when(F.col("i.operation") == operation, name).otherwise(named)
+    # fixed values: the wording of a computed result
+    text_ = F.format_string(
+        "Computed table observation:\nMetric: %s\nYear: %d\nOperation: %s\nCandidates from %s: %s\nResult: %s has the %s value at %s. Cite %s for this result.",
+        "i.metric", "i.year", "i.operation", "citation", F.array_join("near.t", "; "), "label", named, "display_value", "citation",
+    )
+    return out.select("query_id", status.alias("status"), "label", "value", "display_value", "citation", F.when(F.col("label").isNotNull(), text_).alias("reasoning"))

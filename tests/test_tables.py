@@ -45,7 +45,22 @@ def test_structured_answer(spark):
     q = spark.createDataFrame([(0, "Which segment had the highest 2025 net income?")], "query_id int, question string")
     rows = [["Consumer & Community Banking", "$18,245", "$17,603"], ["Commercial & Investment Bank", "$27,761", "$24,846"]]
     t = spark.createDataFrame([(0, "t1", 1, ["Segment", "2025", "2024"], rows, "Segment net income by year", "")], "query_id int, table_id string, evidence_index int, headers array<string>, rows array<array<string>>, context string, raw_text string")
-    assert reasoning.answers(q, t).first()["label"] == "Commercial & Investment Bank"
+    got = reasoning.answers(q, t).first()
+    assert got["label"] == "Commercial & Investment Bank"
+    assert got["reasoning"] == (
+        "Computed table observation:\nMetric: net income\nYear: 2025\nOperation: max\nCandidates from T1: Consumer & Community Banking: $18,245; Commercial & Investment Bank: $27,761\n"
+        "Result: Commercial & Investment Bank has the highest value at $27,761. Cite T1 for this result."
+    )
+
+
+def test_candidates_are_the_first_eight_of_the_chosen_table(spark):
+    q = spark.createDataFrame([(0, "Which country had the lowest 2025 net income?")], "query_id int, question string")
+    rows = [[f"Land {i:02d}", str(100 - i)] for i in range(12)]
+    schema = "query_id int, table_id string, evidence_index int, headers array<string>, rows array<array<string>>, context string, raw_text string"
+    t = spark.createDataFrame([(0, "far", 2, ["Land", "2025"], [["Elsewhere", "500"]], "Net income", ""), (0, "near", 1, ["Land", "2025"], [*rows, *rows[:1], ["", None]], "Net income", None)], schema)
+    got = reasoning.answers(q, t).first()
+    assert (got["label"], got["value"], got["citation"]) == ("Land 11", 89.0, "T1")
+    assert "Elsewhere" not in got["reasoning"] and "Candidates from T1: " + "; ".join(f"Land {i:02d}: ${100 - i}" for i in range(8)) + "\n" in got["reasoning"]
 
 
 def test_grids(spark):
