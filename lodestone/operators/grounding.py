@@ -92,11 +92,12 @@ def observation_text(o: Column) -> Column:
     return F.concat_ws("\n", *lines, _line("Abstain Reason", filled(o["abstain_reason"])), _line("Reasoning", filled(o["reasoning"])))
 
 
-def visual_inputs(hits: DataFrame, limit: int) -> DataFrame:
-    """Hits (query_id, rank, visual struct) that are shown to a model: the first ``limit`` of each question, as V1, V2, ..."""
+def visual_inputs(hits: DataFrame, limit: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Hits (query_id, rank, visual struct) that are shown to a model: the first ``limit`` of each question, as V1, V2, ...
+    Columns of ``hits`` that are named in ``carry`` come along, so that no join is needed to find them again."""
     v = F.col("visual")
     shown = hits.where(F.col("rank") <= limit)
-    return shown.select("query_id", "rank", F.concat(F.lit("V"), F.col("rank")).alias("citation_id"), v["visual_id"].alias("visual_id"), visual_reading_text(v).alias("metadata_text"), source("visual", v["visual_id"], v["filename"], v["page_start"], v["page_end"]).alias("source"))
+    return shown.select("query_id", "rank", F.concat(F.lit("V"), F.col("rank")).alias("citation_id"), v["visual_id"].alias("visual_id"), visual_reading_text(v).alias("metadata_text"), source("visual", v["visual_id"], v["filename"], v["page_start"], v["page_end"]).alias("source"), *carry)
 
 
 def grounding(texts: DataFrame, tables: DataFrame, observations: DataFrame, reasoned: DataFrame | None = None) -> DataFrame:

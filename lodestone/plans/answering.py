@@ -22,8 +22,8 @@ def visual_texts(s, d):
     )
     rows = I.table(s, d, "part").select(F.col("p_size").alias("query_id"), F.lit(1).alias("rank"), "p_partkey", visual.alias("visual"))
     v = F.col("visual")
-    texts = rows.select("p_partkey", grounding.visual_embedding_text(v).alias("embedded"), grounding.visual_word_text(v).alias("words"), v["visual_id"].alias("visual_id"))
-    return texts.join(grounding.visual_inputs(rows, 1).select("visual_id", "citation_id", "metadata_text", "source"), "visual_id").drop("visual_id")
+    shown = grounding.visual_inputs(rows, 1, carry=("p_partkey", "visual"))
+    return shown.select("p_partkey", grounding.visual_embedding_text(v).alias("embedded"), grounding.visual_word_text(v).alias("words"), "citation_id", "metadata_text", "source")
 
 
 def table_texts(s, d):
