@@ -7,9 +7,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = 8 << 20
+BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _own: dict[str, str] = {}
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on, rows go to Python in batches of ``BATCH_BYTES`` at most in this session, however long they are."""
+    if not (size := spark.conf.get(BATCHES)).isdigit() or int(size) > BATCH_BYTES:
+        spark.conf.set(BATCHES, str(BATCH_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``; where it is unset, a temporary folder in local mode. A cluster must name one."""
     if found := spark.conf.get("spark.checkpoint.dir", None):

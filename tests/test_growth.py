@@ -1,6 +1,11 @@
 """What grows with the tables: plans without joins by value, bounded batches, compact postings."""
 
+from pyspark.sql import functions as F
+
+from lodestone.functions.text import tokens
+from lodestone.operators import word_index
 from lodestone.plans import answering
+from lodestone.sources import stored
 
 DIR = "/root/testdata/sf0.001"
 
@@ -13,3 +18,18 @@ def test_visual_texts_are_made_in_one_pass(spark):
     """Joined by id, the long texts were broadcast: Spark takes them for as small as the table that they are made from."""
     made = plan(answering.visual_texts(spark, DIR))
     assert "Join" not in made and "Exchange" not in made
+
+
+def test_postings_are_small_and_stay_in_their_task(spark, monkeypatch):
+    """Each posting had its document's id, number and length, and was shuffled, nearly a row each, to one of many shards."""
+    monkeypatch.setattr(word_index, "RANGE", 4)
+    docs = spark.range(300).select(F.col("id"), F.concat(F.lit("Ab, x"), F.col("id").cast("string"), F.lit(" \u0130stanbul\u212a ab")).alias("text"))
+    index = word_index.build(docs, "id", F.col("text"))
+    assert index.postings.columns == ["tag", "shard", "term", "places", "tfs"]
+    assert "Exchange" not in plan(index.postings) and index.postings.groupBy("shard", "term").count().where("count > 1").count() == 0
+    sizes = index.sizes.collect()
+    assert max(r["n"] for r in sizes) <= 4 * word_index.STRETCH and sum(r["n"] for r in sizes) == 300 and index.documents.select(F.explode("ids")).distinct().count() == 300
+    want = docs.select("id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("id", "term").count()
+    got = index.postings.join(index.documents, ["tag", "shard"]).select("term", "ids", F.explode(F.arrays_zip("places", "tfs")).alias("p")).select(F.expr("ids[p.places]").alias("id"), "term", F.col("p.tfs").cast("long").alias("count"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert int(spark.conf.get(stored.BATCHES)) <= stored.BATCH_BYTES
