@@ -15,7 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.sources.stored import small_batches
+
 PLACES = 6
+CELLS = 1 << 20  #: scores that a worker holds at once, about
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -59,12 +62,33 @@ def best_rows(ids: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
     return near[np.lexsort((ids[near], -row[near]))][:k]
 
 
+def slices(rows: int, width: int) -> Iterator[slice]:
+    """Stretches of rows whose products with ``width`` others have about ``CELLS`` cells."""
+    step = max(1, CELLS // max(1, width))
+    return (slice(at, at + step) for at in range(0, rows, step))
+
+
+def best_pairs(questions: np.ndarray, items: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of questions, of their ``k`` best items, and the scores; some questions at a time."""
+    who, at, best = [], [], []
+    for part in slices(len(questions), len(items)):
+        scores = rounded(questions[part] @ items.T)
+        near = [best_rows(ids, row, k) for row in scores]
+        own = np.repeat(np.arange(len(near)), [len(n) for n in near])
+        who.append(own + part.start)
+        at.append(np.concatenate(near))
+        best.append(scores[own, at[-1]])
+    return np.concatenate(who), np.concatenate(at), np.concatenate(best)
+
+
 def cosine_topk(items: DataFrame, id_col: str, vector_col: str, questions: DataFrame, query_id: str, query_vector: str, k: int, item_rows: int = 10_000, question_rows: int = 500) -> DataFrame:
     """(query_id, id, score): for each block of items, the k best of each question by (score, id); ``lexical.ranked`` picks among blocks.
 
     Items move once, to their block; only blocks of questions, a stated set, are sent to every block of items. A pair of blocks is
-    a product of about ``question_rows`` by ``item_rows``, so a task's memory is bounded. Scores have 6 places.
+    a product of about ``question_rows`` by ``item_rows``, of which a worker holds ``CELLS`` scores at once, and pairs go to Python in
+    small batches, so a task's memory is bounded. Scores have 6 places.
     """
+    small_batches(items.sparkSession)
     asked = questions.select(F.col(query_id).alias("id"), unit(F.col(query_vector)).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     rows = items.select(F.col(id_col).alias("id"), unit(F.col(vector_col)).alias("v")).where("id IS NOT NULL AND v IS NOT NULL")
     nq, ni = (max(1, -(-d.count() // n)) for d, n in ((questions, question_rows), (items, item_rows)))
@@ -78,12 +102,8 @@ def cosine_topk(items: DataFrame, id_col: str, vector_col: str, questions: DataF
             for r in range(batch.num_rows):
                 size = batch.column("size")[r].as_py()
                 asks, ids = batch.column("q_ids")[r].values, batch.column("i_ids")[r].values
-                plain = ids.to_numpy(zero_copy_only=False)
-                scores = rounded(matrix(batch.column("q_data")[r], size) @ matrix(batch.column("i_data")[r], size).T)
-                near = [best_rows(plain, row, k) for row in scores]
-                who = np.repeat(np.arange(len(near)), [len(n) for n in near])
-                at = np.concatenate(near)
-                yield pa.RecordBatch.from_arrays([asks.take(pa.array(who)), ids.take(pa.array(at)), pa.array(scores[who, at])], ["query_id", "id", "score"])
+                who, at, scores = best_pairs(matrix(batch.column("q_data")[r], size), matrix(batch.column("i_data")[r], size), ids.to_numpy(zero_copy_only=False), k)
+                yield pa.RecordBatch.from_arrays([asks.take(pa.array(who)), ids.take(pa.array(at)), pa.array(scores)], ["query_id", "id", "score"])
 
     pairs = sent.join(rows, ["i", "size"]).select("size", "q_ids", "q_data", "i_ids", "i_data")
     return pairs.mapInArrow(best, f"query_id {query_type}, id {id_type}, score double")

@@ -30,8 +30,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestone.operators.lexical import ranked
-from lodestone.operators.vector import best_rows, cosine_topk, dot, matrix, unit
-from lodestone.sources.stored import kept
+from lodestone.operators.vector import best_rows, cosine_topk, dot, matrix, slices, unit
+from lodestone.sources.stored import kept, small_batches
 
 TUNED, TUNED_HITS = 64, 10
 FINE = 127  #: the largest whole number of a residual
@@ -55,10 +55,12 @@ def _array(column: pa.ListArray, rows: int) -> np.ndarray:
 
 def nearest(v: np.ndarray, centroids: np.ndarray, n: int = 1) -> np.ndarray:
     """The ``n`` lists of each vector, nearest first."""
-    far = (centroids * centroids).sum(axis=1)[None, :] - 2 * (v @ centroids.T)
-    if n == 1:
-        return far.argmin(axis=1)[:, None]
-    return np.argsort(far, axis=1, kind="stable")[:, :n]
+    out = np.empty((len(v), n), np.int64)
+    norm = (centroids * centroids).sum(axis=1)[None, :]
+    for part in slices(len(v), len(centroids)):
+        far = norm - 2 * (v[part] @ centroids.T)
+        out[part] = far.argmin(axis=1)[:, None] if n == 1 else np.argsort(far, axis=1, kind="stable")[:, :n]
+    return out
 
 
 def fitted(rows: DataFrame, lists: int, rounds: int = 8) -> np.ndarray:
@@ -118,6 +120,7 @@ def _blocks(assigned: DataFrame, block_rows: int) -> DataFrame:
 def build(items: DataFrame, id_col: str, vector_col: str, lists: int | None = None, probes: int | None = None, target: float = 0.95, sample: int = 65_536, rounds: int = 8, block_rows: int = 4_096) -> VectorIndex:
     """An index of all rows of ``items``. ``lists`` is the root of their number (4,096 at most) where it is not given, ``probes`` what
     ``target`` asks for. The size of the vectors is the most frequent one, of several the smallest."""
+    small_batches(items.sparkSession)
     rows = kept(_vectors(items, id_col, vector_col), "index-vectors")
     sizes = rows.groupBy(F.size("v").alias("size")).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "size").limit(1).collect()
     size, n = (sizes[0]["size"], sizes[0]["n"]) if sizes else (0, 0)
@@ -165,6 +168,7 @@ def loaded(spark, path: str) -> VectorIndex:
 
 def search(index: VectorIndex, questions: DataFrame, query_id: str, query_vector: str, items: DataFrame, id_col: str, vector_col: str, k: int, refine: int = 4, question_rows: int = 500) -> DataFrame:
     """(query_id, id, score): at least the ``k`` best that the index finds of each question, with exact scores of 6 places."""
+    small_batches(items.sparkSession)
     c, probes, keep = index.centroids, min(index.probes, len(index.centroids)), k * refine
     asked = _vectors(questions, query_id, query_vector).where(F.size("v") == (c.shape[1] if len(c) else -1))
     query_type, id_type = asked.schema["id"].dataType.simpleString(), index.blocks.schema["ids"].dataType.elementType.simpleString()
@@ -173,8 +177,11 @@ def search(index: VectorIndex, questions: DataFrame, query_id: str, query_vector
         for batch in batches:
             if batch.num_rows and probes:
                 near = nearest(_array(batch.column("v"), batch.num_rows), c, probes)
-                who = pa.array(np.repeat(np.arange(batch.num_rows), probes))
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int32)), batch.column("id").take(who), batch.column("v").take(who)], ["list", "id", "v"])
+                # a question's vector goes to every list: some questions at a time
+                for part in slices(batch.num_rows, near.shape[1] * c.shape[1]):
+                    some = batch.slice(part.start, part.stop - part.start)
+                    who = pa.array(np.repeat(np.arange(some.num_rows), probes))
+                    yield pa.RecordBatch.from_arrays([pa.array(near[part].ravel().astype(np.int32)), some.column("id").take(who), some.column("v").take(who)], ["list", "id", "v"])
 
     sent = asked.mapInArrow(probe, f"list int, id {query_type}, v array<double>")
     # a list that many questions look into gets them in several rows
@@ -186,13 +193,15 @@ def search(index: VectorIndex, questions: DataFrame, query_id: str, query_vector
         for batch in batches:
             for r in range(batch.num_rows):
                 own = c[batch.column("list")[r].as_py()]
-                q = matrix(batch.column("data")[r], len(own))
-                asks, ids = batch.column("asks")[r].values, batch.column("ids")[r].values
-                codes = np.frombuffer(b"".join(batch.column("codes")[r].as_py()), np.int8).reshape(-1, len(own))
-                scores = (q @ own)[:, None] + (q @ codes.T.astype(np.float64)) * batch.column("scales")[r].values.to_numpy()[None, :]
-                near = [best_rows(ids.to_numpy(zero_copy_only=False), row, keep) for row in scores]
-                who, at = np.repeat(np.arange(len(near)), [len(n) for n in near]), np.concatenate(near)
-                yield pa.RecordBatch.from_arrays([asks.take(pa.array(who)), ids.take(pa.array(at)), pa.array(scores[who, at])], ["query_id", "id", "near"])
+                q, ids = matrix(batch.column("data")[r], len(own)), batch.column("ids")[r].values
+                codes = np.frombuffer(b"".join(batch.column("codes")[r].as_py()), np.int8).reshape(-1, len(own)).astype(np.float64)
+                scales, plain = batch.column("scales")[r].values.to_numpy()[None, :], ids.to_numpy(zero_copy_only=False)
+                for part in slices(len(q), len(codes)):
+                    some, asks = q[part], batch.column("asks")[r].values[part]
+                    scores = (some @ own)[:, None] + (some @ codes.T) * scales
+                    near = [best_rows(plain, row, keep) for row in scores]
+                    who, at = np.repeat(np.arange(len(near)), [len(n) for n in near]), np.concatenate(near)
+                    yield pa.RecordBatch.from_arrays([asks.take(pa.array(who)), ids.take(pa.array(at)), pa.array(scores[who, at])], ["query_id", "id", "near"])
 
     found = sent.join(index.blocks, "list").mapInArrow(approximate, f"query_id {query_type}, id {id_type}, near double")
     order = W.partitionBy("query_id").orderBy(F.col("near").desc(), "id")

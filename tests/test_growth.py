@@ -1,9 +1,12 @@
 """What grows with the tables: plans without joins by value, bounded batches, compact postings."""
 
+import tracemalloc
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens
-from lodestone.operators import word_index
+from lodestone.operators import vector, vector_index, word_index
 from lodestone.plans import answering
 from lodestone.sources import stored
 
@@ -33,3 +36,25 @@ def test_postings_are_small_and_stay_in_their_task(spark, monkeypatch):
     got = index.postings.join(index.documents, ["tag", "shard"]).select("term", "ids", F.explode(F.arrays_zip("places", "tfs")).alias("p")).select(F.expr("ids[p.places]").alias("id"), "term", F.col("p.tfs").cast("long").alias("count"))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     assert int(spark.conf.get(stored.BATCHES)) <= stored.BATCH_BYTES
+
+
+def peak_mb(run):
+    tracemalloc.start()
+    try:
+        return run(), tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_scores_of_blocks_are_held_in_parts():
+    """All scores of a block of questions with a block of items, and of all rows with all centroids, were held several times over."""
+    draw = np.random.default_rng(1)
+    q, items, ids = draw.normal(size=(500, 8)), draw.normal(size=(10_000, 8)), np.arange(10_000)
+    (who, at, scores), mb = peak_mb(lambda: vector.best_pairs(q, items, ids, 5))
+    assert mb < 60
+    whole = vector.rounded(q @ items.T)
+    assert all(list(at[who == n]) == list(vector.best_rows(ids, whole[n], 5)) for n in range(500)) and np.array_equal(scores, whole[who, at])
+    near, mb = peak_mb(lambda: vector_index.nearest(items, q))
+    far = (q * q).sum(axis=1)[None, :] - 2 * (items @ q.T)
+    assert mb < 60 and np.array_equal(near[:, 0], far.argmin(axis=1))
+    assert np.array_equal(vector_index.nearest(items, q, 3), np.argsort(far, axis=1, kind="stable")[:, :3])
