@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.operators import grounding, lexical, registry
+from lodestone.operators import grounding, registry
 from lodestone.plans import evaluation, retrieval
 from lodestone.plans import inputs as I
-from lodestone.sources import io
+from lodestone.sources import io, stored
 
 SCOPES = ["single", "doc_ids", "all", "some"]
 NODE_LABELS = ["table", "table_item", "promo", "economy"]
@@ -53,7 +53,7 @@ def grounding_prompts(s, d):
 def answer_outcomes(s, d):
     """From questions to checked answers: hits of a score of 30 or more are the evidence, an extract of the first is the answer."""
     questions = I.questions(s, d).select("query_id", F.element_at(F.array(*[F.lit(m) for m in ("text", "table", "visual")]), (F.col("query_id") % 3 + 1).cast("int")).alias("mode"))
-    hits = lexical.ranked(retrieval._bm25(s, d), 5).where("score >= 30")
+    hits = stored.kept(retrieval._words(s, d, 5).where("score >= 30"), "hits")
     answers = hits.where("rank = 1").select("query_id", F.concat(F.lit("See document "), F.col("id").cast("string"), F.lit(" [C1].")).alias("answer"))
     verdict = F.element_at(F.array(F.lit("unsupported"), F.lit("partially_supported"), F.lit("supported")), (F.col("query_id") % 4 + 1).cast("int"))
     verdicts = I.questions(s, d).where("query_id % 4 < 3").select("query_id", verdict.alias("verdict"), F.when(F.col("query_id") % 8 == 1, "In part [C1].").otherwise("").alias("revised_answer"))
@@ -61,8 +61,13 @@ def answer_outcomes(s, d):
 
 
 def retrieval_modes(s, d):
-    """The three modes, five hits a question."""
-    dense, words = (lambda k: retrieval._cosine(s, d, k)), (lambda k: lexical.ranked(retrieval._bm25(s, d), k))
+    """The three modes, five hits a question; vectors and words are each searched once, for as many hits as the modes need."""
+
+    def once(hits):
+        found = stored.kept(hits, "hits")
+        return lambda k: found.where(F.col("rank") <= k)
+
+    dense, words = once(retrieval._cosine(s, d, 10)), once(retrieval._words(s, d, 10))
     parts = [grounding.search(m, dense, words, 5).select(F.lit(m).alias("mode"), "query_id", "rank", F.col("id").cast("long").alias("id"), "score") for m in ("dense", "bm25", "hybrid")]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
@@ -79,7 +84,7 @@ def _by_length():
 def rerank_fallback(s, d):
     """Hits by length of their texts; questions whose length divides by 3 fail and keep their order."""
     n = grounding.candidates(True, 20, 5)
-    pairs = lexical.ranked(retrieval._bm25(s, d), n).join(I.questions(s, d), "query_id").join(I.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
+    pairs = stored.kept(retrieval._words(s, d, n), "hits").join(I.questions(s, d), "query_id").join(I.table(s, d, "documents").select(F.col("doc_id").alias("id"), "text"), "id")
     out = grounding.optionally_reranked(pairs, _by_length, 5)
     return out.select("query_id", F.col("id").alias("doc_id"), "pre_rank", "rank", "rerank_score", "status")
 

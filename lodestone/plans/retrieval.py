@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lodestone.functions.text import tokens
 from lodestone.operators import fusion, lexical, ranking, registry, vector, vector_index, word_index
 from lodestone.plans import inputs as I
+from lodestone.sources import stored
 
 TOK = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
 SCOPE = ["src1", "src2", "src3"]
@@ -26,14 +27,9 @@ def doc_frequency(s, d):
     return lexical.document_frequency(_post(s, d))
 
 
-def _bm25(s, d, docs=None, questions=None):
-    docs = I.table(s, d, "documents") if docs is None else docs
-    return lexical.bm25(docs, "doc_id", F.col("text"), I.questions(s, d) if questions is None else questions, "query_id", F.col("question"))
-
-
-def _words(s, d, k, label=None):
-    """The k best documents of each benchmark question, by a stored inverted index of all documents."""
-    index = word_index.build(I.table(s, d, "documents"), "doc_id", F.col("text"))
+def _words(s, d, k, label=None, docs=None):
+    """The k best documents of each benchmark question, by a stored inverted index of all documents, or of ``docs``."""
+    index = word_index.build(I.table(s, d, "documents") if docs is None else docs, "doc_id", F.col("text"))
     hits = word_index.topk(index, I.questions(s, d), "query_id", F.col("question"), k)
     return lexical.ranked(hits.select("query_id", "id", "score"), k, label=label)
 
@@ -53,7 +49,7 @@ def bm25_appended_topk(s, d):
 
 def bm25_scoped_topk(s, d):
     docs = registry.in_scope(I.table(s, d, "documents"), "source", SCOPE)
-    return lexical.ranked(_bm25(s, d, docs), 10).select("query_id", "rank", F.col("id").alias("doc_id"), "score")
+    return _words(s, d, 10, docs=docs).select("query_id", "rank", F.col("id").alias("doc_id"), "score")
 
 
 def bm25_batch_topk(s, d):
@@ -64,7 +60,7 @@ def bm25_boosted_topk(s, d):
     """Documents as tables, their first line as the heading; the boost alone can make a hit."""
     q = s.createDataFrame([(0, BOOST_QUESTION)], "query_id int, question string")
     docs = I.table(s, d, "documents")
-    plain = _bm25(s, d, docs, q).select("id", F.col("score").alias("plain"))
+    plain = lexical.bm25(docs, "doc_id", F.col("text"), q, "query_id", F.col("question")).select("id", F.col("score").alias("plain"))
     heading = F.substring_index("text", "\n", 1)
     boost = docs.select(F.col("doc_id").alias("id"), lexical.table_boost(F.lit(BOOST_QUESTION), F.col("text"), heading).alias("boost"))
     both = boost.join(plain, "id", "left").select(F.lit(0).alias("query_id"), "id", "boost", F.round(F.coalesce("plain", F.lit(0.0)) + F.col("boost"), 6).alias("score")).where("score > 0")
@@ -118,8 +114,8 @@ def hybrid_weighted(s, d):
 
 
 def _hits(s, d):
-    """BM25 hits with the source of their document."""
-    hits = _words(s, d, 50)
+    """BM25 hits with the source of their document. Few hits meet all documents: written, their size is known to the join."""
+    hits = stored.kept(_words(s, d, 50), "hits")
     return hits.join(I.table(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("document")), "id")
 
 

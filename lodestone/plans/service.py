@@ -22,7 +22,8 @@ def cited_answers(s, d):
     def search(questions, k):
         hits = word_index.topk(index, questions, "query_id", F.col("question"), k).select("query_id", "id", "score")
         texts = docs.select(F.col("doc_id").alias("id"), "text", F.concat(F.lit("file "), F.col("doc_id").cast("string")).alias("source"))
-        return lexical.ranked(hits, k).join(texts, "id").select("query_id", "rank", "id", "text", "source")
+        # few hits meet all texts: written, their size is known to the join
+        return stored.kept(lexical.ranked(hits, k), "hits").join(texts, "id").select("query_id", "rank", "id", "text", "source")
 
     def read(rows):
         shown = r"\[(C[0-9]+)\] Source: file ([0-9]*[05])\n"
