@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import vocabulary as V
 from lodestone.functions.text import collapsed, stripped
 from lodestone.operators import tables, visuals
+from lodestone.sources.stored import kept
 
 PART = ("doc", "section")
 TABLE = ["doc", "kind", "start", "page", "title", "section_heading", "raw_text", "markdown_table", "n_rows", "n_cols", "has_header", "empty_cell_ratio", "readiness", "risk_flags", "source_chunk_id", "span_hash"]
@@ -38,19 +39,21 @@ def grid_records(grids: DataFrame) -> DataFrame:
     return out.select("doc", F.lit(0).alias("kind"), F.col("ord").alias("start"), "page", F.col("caption").alias("title"), F.col("heading").alias("section_heading"), "raw_text", "markdown_table", "n_rows", "n_cols", "has_header", "empty_cell_ratio", "readiness", "risk_flags", F.lit(None).cast("string").alias("source_chunk_id"), F.sha2("raw_text", 256).alias("span_hash"))
 
 
-def pipe_records(rows: DataFrame, chunks: DataFrame | None = None, fallback_used: bool = False) -> DataFrame:
-    """Lines (doc, ord, line) to records of pipe tables, page by page.
+def pipe_records(rows: DataFrame, chunks: DataFrame | None = None, fallback_used: bool = False, split: DataFrame | None = None) -> DataFrame:
+    """Lines (doc, ord, line) to records of pipe tables, page by page. ``split``: ``tables.pages`` of the lines where they are
+    written already.
 
     A run of lines with a bar holds at most one table: from the first line that a separator follows to the run's end. Rows
     without a filled cell are dropped. The title is the nearest line of up to nine before it that has no number.
     """
-    split = tables.pages(rows)
+    split = tables.pages(rows) if split is None else split
     order = W.partitionBy(*PART).orderBy("ord")
     piped = F.coalesce(F.contains("line", F.lit("|")), F.lit(False))
     marked = split.withColumn("before", F.collect_list("line").over(order.rowsBetween(-9, -1)))
     marked = marked.withColumn("piped", piped).withColumn("run", F.sum((~F.col("piped")).cast("int")).over(order))
     head = F.col("piped") & F.coalesce(F.lead(F.col("line").rlike(V.SEPARATOR_LINE)).over(order), F.lit(False))
-    marked = marked.withColumn("head", head).where("piped").withColumn("start", F.min(F.when(F.col("head"), F.col("ord"))).over(W.partitionBy(*PART, "run")))
+    # only a table's first line is asked for the lines before it: the others don't carry them through the next sort
+    marked = marked.withColumn("head", head).withColumn("before", F.when(F.col("head"), F.col("before"))).where("piped").withColumn("start", F.min(F.when(F.col("head"), F.col("ord"))).over(W.partitionBy(*PART, "run")))
     marked = marked.where("ord >= start").withColumn("before", F.when(F.col("ord") == F.col("start"), F.reverse("before")))
     line = F.when(F.col("has_markers"), F.regexp_replace("line", r"\s+$", "")).otherwise(F.col("line"))
     made = marked.groupBy(*PART, "run", "start", "page", "has_markers").agg(F.max("before").alias("before"), F.array_sort(F.collect_list(F.struct("ord", line.alias("line")))).alias("l"))
@@ -82,9 +85,11 @@ def table_records(rows: DataFrame, grids: DataFrame | None = None, chunks: DataF
     has_header, empty_cell_ratio, readiness, risk_flags, source_chunk_id, span_hash). Grids and pipe tables have their number in
     their id, table-like text its number within the nearest chunk, else page.
     """
-    whole = pipe_records(rows, chunks, fallback_used).select(*TABLE)
-    whole = _first(whole if grids is None else grid_records(grids).select(*TABLE).unionByName(whole))
-    like = tables.span_records(rows, chunks, fallback_used, most, whole.select("doc", "span_hash"))
+    # lines are split by page once for all kinds; grids and pipe tables are read twice, as records and as texts that are not repeated
+    split = kept(tables.pages(rows), "table-lines")
+    whole = pipe_records(rows, chunks, fallback_used, split).select(*TABLE)
+    whole = kept(_first(whole if grids is None else grid_records(grids).select(*TABLE).unionByName(whole)), "table-records")
+    like = tables.span_records(rows, chunks, fallback_used, most, whole.select("doc", "span_hash"), split)
     none = {"markdown_table": "string", "n_cols": "int", "empty_cell_ratio": "double"}
     like = like.withColumns({c: F.lit(None).cast(t) for c, t in none.items()} | {"kind": F.lit(2), "has_header": F.lit(False), "readiness": F.lit("weak"), "section_heading": F.col("title")})
     every = whole.withColumn("table_id", F.lit(None).cast("string")).unionByName(like.select(*TABLE, "table_id"))

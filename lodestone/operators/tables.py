@@ -57,14 +57,18 @@ def line_score(line: Column) -> Column:
     return score + F.when(line.rlike(r"[0-9]\s{2,}[0-9]"), 1).otherwise(0)
 
 
-def spans(rows: DataFrame, least: int = 3, by: tuple[str, ...] = ("doc",)) -> DataFrame:
-    """(doc, first, last, highs): islands of high lines; one line that is not blank may lie between two of them. They end with a part ``by``."""
+def spans(rows: DataFrame, least: int = 3, by: tuple[str, ...] = ("doc",), behind: int = 0) -> DataFrame:
+    """(doc, first, last, highs): islands of high lines; one line that is not blank may lie between two of them. They end with a part
+    ``by``. With ``behind``, so many lines before the first come along, the nearest first."""
     order = W.partitionBy(*by).orderBy("ord")
     scored = rows.withColumn("high", line_score(F.col("line")) >= least).withColumn("before_blank", F.trim(F.lag("line").over(order)) == "")
+    if behind:
+        scored = scored.withColumn("behind", lines_before(behind, by))
     high = scored.where("high").withColumn("gap", F.col("ord") - F.lag("ord").over(order))
     fresh = F.col("gap").isNull() | (F.col("gap") > 2) | ((F.col("gap") == 2) & F.col("before_blank"))
     high = high.withColumn("island", F.sum(fresh.cast("int")).over(order))
-    out = high.groupBy(*by, "island").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.count("*").alias("highs"))
+    own = [F.max(F.when(fresh, F.col("behind"))).alias("behind")] if behind else []  # one line of an island is its first
+    out = high.groupBy(*by, "island").agg(F.min("ord").alias("first"), F.max("ord").alias("last"), F.count("*").alias("highs"), *own)
     return out.where("highs >= 2 AND last - first + 1 >= 3").drop("island")
 
 
@@ -74,34 +78,43 @@ def heading(before: Column) -> Column:
     return F.try_element_at(F.filter(bare, lambda t: (t != "") & (F.length(t) <= 120) & ~F.call_function("regexp_like", t, F.lit("[0-9]"))), F.lit(1))
 
 
-def look_behind(rows: DataFrame, by: tuple[str, ...] = ("doc",)) -> DataFrame:
-    """Each line with the start of a span that would begin at it, and the heading before it."""
-    window = lambda n: F.collect_list(F.struct("ord", "line")).over(W.partitionBy(*by).orderBy("ord").rowsBetween(-n, -1))
-    out = rows.withColumn("seven", F.reverse(window(7))).withColumn("nine", F.reverse(window(9)))
+def span_start(ord_: Column, before: Column) -> Column:
+    """Where a span that would begin at a line starts, by the lines before it (ord, line), the nearest first."""
 
     def step(s: Column, x: Column) -> Column:
         low = F.lower(x["line"])
         goes = ~s["stop"] & (stripped(x["line"]) != "") & ((F.length(stripped(x["line"])) <= 140) | contains_any(low, V.FINANCIAL_TERMS))
         return F.struct(F.when(goes, x["ord"]).otherwise(s["at"]).alias("at"), (~goes).alias("stop"))
 
-    start = F.aggregate("seven", F.struct(F.col("ord").alias("at"), F.lit(False).alias("stop")), step)["at"]
-    return out.select(*by, "ord", start.alias("span_start"), heading(F.transform("nine", lambda x: x["line"])).alias("heading"))
+    return F.aggregate(before, F.struct(ord_.alias("at"), F.lit(False).alias("stop")), step)["at"]
+
+
+def lines_before(n: int, by: tuple[str, ...]) -> Column:
+    """The ``n`` lines (ord, line) before each line, the nearest first."""
+    return F.reverse(F.collect_list(F.struct("ord", "line")).over(W.partitionBy(*by).orderBy("ord").rowsBetween(-n, -1)))
+
+
+def look_behind(rows: DataFrame, by: tuple[str, ...] = ("doc",)) -> DataFrame:
+    """Each line with the start of a span that would begin at it, and the heading before it."""
+    out = rows.withColumn("seven", lines_before(7, by)).withColumn("nine", lines_before(9, by))
+    return out.select(*by, "ord", span_start(F.col("ord"), F.col("seven")).alias("span_start"), heading(F.transform("nine", lambda x: x["line"])).alias("heading"))
 
 
-def span_records(rows: DataFrame, chunks: DataFrame | None = None, fallback_used: bool = False, most: int | None = 10_000, seen: DataFrame | None = None) -> DataFrame:
+def span_records(rows: DataFrame, chunks: DataFrame | None = None, fallback_used: bool = False, most: int | None = 10_000, seen: DataFrame | None = None, split: DataFrame | None = None) -> DataFrame:
     """Lines (doc, ord, line) to table-like text as evidence, page by page.
 
     (doc, start, table_id, page, title, raw_text, n_rows, risk_flags, source_chunk_id, span_hash): spans with the lines before them,
     of three lines or more after a cut at ``most`` characters (the record's own limit; None cuts nothing), each text once a document
     and none that ``seen`` (doc, span_hash) has. Ids count within the nearest chunk of ``chunks``, else the page, else 0.
+    ``split``: ``pages`` of the lines where they are written already.
     """
     part = ("doc", "section")
-    lines_ = pages(rows)
-    behind = look_behind(lines_, part)
-    first = behind.select("doc", F.col("ord").alias("first"), "span_start")
-    title = behind.select("doc", F.col("ord").alias("start"), F.col("heading").alias("title"))
-    found = spans(lines_, by=part).join(first, ["doc", "first"]).select("doc", F.col("span_start").alias("start"), "first", F.explode(F.sequence("span_start", "last")).alias("ord"))
-    text = found.join(lines_, ["doc", "ord"]).groupBy("doc", "start", "first", "page", "has_markers").agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("l"))
+    lines_ = pages(rows) if split is None else split
+    # a span starts up to 7 lines before its first line, its heading is one of the 9 before that: only spans are looked at
+    found = spans(lines_, by=part, behind=16).withColumn("start", span_start(F.col("first"), F.slice("behind", 1, 7)))
+    title = heading(F.transform(F.slice(F.filter("behind", lambda x: x["ord"] < F.col("start")), 1, 9), lambda x: x["line"]))
+    found = found.select("doc", "start", "first", title.alias("title"), F.explode(F.sequence("start", "last")).alias("ord"))
+    text = found.join(lines_, ["doc", "ord"]).groupBy("doc", "start", "first", "page", "has_markers").agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("l"), F.max("title").alias("title"))
     text = text.withColumn("raw_text", stripped(F.array_join("l.line", "\n")))
     if most is not None:
         text = text.withColumn("raw_text", F.when(F.length("raw_text") > most, stripped(F.substring("raw_text", 1, most))).otherwise(F.col("raw_text")))
@@ -109,7 +122,7 @@ def span_records(rows: DataFrame, chunks: DataFrame | None = None, fallback_used
     if seen is not None:
         text = text.join(seen, ["doc", "span_hash"], "left_anti")
     once = text.withColumn("n", F.row_number().over(W.partitionBy("doc", "span_hash").orderBy("first"))).where("n = 1")
-    out = once.drop("l", "n").join(title, ["doc", "start"], "left")
+    out = once.drop("l", "n")
     if chunks is None:
         out = out.withColumn("chunk_index", F.lit(None).cast("int")).withColumn("source_chunk_id", F.lit(None).cast("string"))
     else:

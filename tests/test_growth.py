@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokens
 from lodestone.operators import vector, vector_index, word_index
-from lodestone.plans import answering
+from lodestone.plans import answering, evidence_records
 from lodestone.sources import stored
 
 DIR = "/root/testdata/sf0.001"
@@ -58,3 +58,9 @@ def test_scores_of_blocks_are_held_in_parts():
     far = (q * q).sum(axis=1)[None, :] - 2 * (items @ q.T)
     assert mb < 60 and np.array_equal(near[:, 0], far.argmin(axis=1))
     assert np.array_equal(vector_index.nearest(items, q, 3), np.argsort(far, axis=1, kind="stable")[:, :3])
+
+
+def test_table_records_read_their_lines_once_written(spark):
+    """Statements were made from orders, split by page and read for pipe tables several times over."""
+    made = plan(evidence_records.table_records(spark, DIR))
+    assert "orders.parquet" not in made and "Generate posexplode" not in made
