@@ -1,7 +1,8 @@
 """Exact top-k inner-product search by distributed histogram selection.
 
 Vectors become integers, floor(scale * x), and are put into blocks: a block of queries and a block of candidates are each one
-row with a matrix. Every block of queries meets every block of candidates once a pass, as a product of two matrices:
+row with a matrix, of the narrowest whole numbers that hold its table's. Every block of queries meets every block of candidates
+once a pass, as a product of two matrices; tasks take pairs of parts of both tables, and neither is broadcast or shuffled:
 
 1. a pass counts each query's scores in bins over the range that scores can have; counts are summed over all candidates and
    the bin in which the kth largest score lies is found;
@@ -42,17 +43,23 @@ def integers(vector: Column, scale: int = 64) -> Column:
     return F.when(F.coalesce(usable, F.lit(False)), x)
 
 
+def narrow(largest: int) -> str:
+    """The narrowest type of whole numbers up to ``largest``, of either sign."""
+    return next((t for t, most in (("tinyint", 2**7), ("smallint", 2**15), ("int", 2**31)) if largest < most), "bigint")
+
+
 def blocks(vectors: DataFrame, rows: int, name: str) -> DataFrame:
     """(id, v, at) to one row per block: name, ids, data. A block has about ``rows`` rows, by the count."""
     n = max(1, -(-vectors.count() // rows))
-    spread = vectors.withColumn(name, F.pmod(F.xxhash64("at"), F.lit(n)))
+    parts = min(n, 4 * vectors.sparkSession.sparkContext.defaultParallelism)
+    spread = vectors.withColumn(name, F.pmod(F.xxhash64("at"), F.lit(n))).repartition(parts, name)
     rows = F.collect_list(F.struct("id", "at", "v"))
     return spread.groupBy(name).agg(rows.alias("r")).select(name, F.col("r.id").alias(f"{name}_ids"), F.col("r.at").alias(f"{name}_at"), F.flatten("r.v").alias(f"{name}_data"))
 
 
 def scores(ids, data) -> np.ndarray:
-    """A block's matrix, rows by id, in float64 where products are exact in it."""
-    return data.values.to_numpy().reshape(len(ids), -1)
+    """A block's matrix, rows by id."""
+    return data.values.to_numpy().reshape(len(ids), -1).astype(np.int64)
 
 
 def _largest(x: np.ndarray) -> int:
@@ -83,6 +90,12 @@ def _wide(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.clip(q.astype(object) @ c.astype(object).T, -MOST, MOST).astype(np.int64)
 
 
+def met(q: DataFrame, c: DataFrame) -> DataFrame:
+    """Every block of queries with every block of candidates. Spark would broadcast one side by the size of its file, which says
+    little of its size in memory, so it is told not to."""
+    return c.hint("shuffle_replicate_nl").crossJoin(q)
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 64, query_rows: int = 512, candidate_rows: int = 4096) -> DataFrame:
     """query_id, rank, id, score: each query's ``k`` best candidates (all, if fewer)."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), integers(F.col(vector_col), scale).alias("v"), is_query.alias("is_query"))
@@ -90,12 +103,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     rows = written(rows, "topk-vectors")
     dim = rows.agg(F.max(F.size("v")), F.max(F.array_max("v")), F.min(F.array_min("v"))).first()
     width, largest = max(1, dim[0] or 0), max(1, abs(dim[1] or 0), abs(dim[2] or 0))
-    rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size("v"))))
+    rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0).cast("long"), F.lit(width) - F.size("v"))).cast(f"array<{narrow(largest)}>"))
     q = written(blocks(rows.where("is_query"), query_rows, "q"), "topk-queries")
     c = written(blocks(rows, candidate_rows, "c"), "topk-candidates")
-    groups = c.select("c").distinct().count()
-    # each query block is sent to each candidate block: queries are a stated set, met in blocks
-    met = q.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(0, groups - 1)).cast("long"))))
 
     low0 = -min(largest * largest * width, MOST)
     span = 1 - 2 * low0
@@ -103,18 +113,16 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     while step * BINS < span:
         step *= BINS
     # where the kth value of each query lies: (query, low, need): the kth is the need-th largest among scores in [low, low + step * BINS)
-    state = None
+    asked, first = q, True
     while True:
-        found = met if state is None else met.join(state, "q", "left")
-        kth = _located(found.join(c, "c"), step, low0, k, state is None)
         # the bounds of a block's queries, in its order: a row a block, as large as the block
-        kth = written(kth, "topk-bounds")
+        kth = written(_located(met(asked, c), step, low0, k, first), "topk-bounds")
+        state = kth.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("pos", "low", "need"))).alias("bounds"))
+        asked, first = written(q.join(state, "q", "left"), "topk-asked"), False
         if step == 1:
             break
-        state = kth.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("pos", "low", "need"))).alias("bounds"))
         step //= BINS
-    state = kth.groupBy("q").agg(F.sort_array(F.collect_list(F.struct("pos", "low", "need"))).alias("bounds"))
-    best = _kept(met.join(state, "q", "left").join(c, "c"), k)
+    best = _kept(met(asked, c), k)
     order = W.partitionBy("query_id", "query_at").orderBy(F.col("score").desc(), F.col("id"))
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
 
