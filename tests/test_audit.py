@@ -63,3 +63,8 @@ def as_in_sql(spark, folder, name):
 def test_summary_is_that_of_sql(spark, tmp_path):
     got, want = as_in_sql(spark, tmp_path, "audit_summary")
     assert got == want
+
+
+def test_verdicts_are_those_of_sql(spark, tmp_path):
+    got, want = as_in_sql(spark, tmp_path, "audit_verdicts")
+    assert got == want
